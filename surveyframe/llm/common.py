@@ -10,6 +10,7 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def slices(batches: Iterable[pa.RecordBatch], name: str = "text") -> Iterator[pa
     """The batches, cut where the texts reach SLICE_BYTES."""
     for batch in batches:
         start = held = 0
-        lengths = pa.compute.binary_length(batch.column(name)).to_pylist()
+        lengths = pc.binary_length(batch.column(name)).to_pylist()
         for i, n in enumerate(lengths):
             held += n or 0
             if held >= SLICE_BYTES:
