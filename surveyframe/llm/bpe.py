@@ -190,7 +190,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 
 def decode_documents(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """Rows (doc_id, n_tokens, ids_sha256, decoded binary, decoded_sha256) of rows (doc_id, ids); null ids are none."""
+    """Rows (doc_id, ids, n_tokens, ids_sha256, decoded_sha256, decoded binary) of rows (doc_id, ids); null ids are none."""
 
     def run(batches):
         enc = encoder(path)
@@ -204,9 +204,9 @@ def decode_documents(encoded: DataFrame, path: str, ids_col: str = "ids") -> Dat
                     data = enc.decode(ids)
                     out.append((len(ids), hashlib.sha256(b" ".join(map(digits.__getitem__, ids))).hexdigest(), data, hashlib.sha256(data).hexdigest()))
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.binary(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"])
 
-    return encoded.select("doc_id", F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string")
+    return encoded.select("doc_id", F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string")
 
 
 @lru_cache(maxsize=4)

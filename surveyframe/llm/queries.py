@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cuckoo, decontam, licenses, sharding, simhash
+from . import bpe, chat, cuckoo, decontam, langid, licenses, sharding, simhash, tokenfile, toxicity
+from .common import shared_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +26,24 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(probe)))
 
 
+def categories() -> dict[str, Column]:
+    """The chain, in its order, over the columns of ``labels``."""
+    return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), categories())
+    return toxicity.predict(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    out = langid.identify(docs, profiles)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleave(table(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "position")
@@ -56,14 +76,23 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode_documents(encoded, RANKS).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    tokenfile.write_token_files(table(spark, sf_dir, "documents"), folder, lambda: tokenfile.word_tokenizer(WORD_BPE, 2))
+    return tokenfile.read_documents(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
     "op5_simhash": op5_simhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_decontamination": op8_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {
