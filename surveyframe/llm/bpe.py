@@ -36,15 +36,23 @@ class Vocabulary:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.longest = max(map(len, ranks))
-        self._whole: dict[bytes, bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
-
-    def merge(self, data: bytes) -> list[int]:
-        """Merges the pair of lowest rank, the leftmost of equals, until none is left. Used on a token or two."""
+        #: The length of the longest token that ends in each byte.
+        self.reach = [max((len(t) for t in ends), default=0) for ends in self._by_last_byte()]
+        self.longest = max(self.reach)
+        self._halves: dict[int, tuple[int, int] | None] = {}
+        self._pairs: dict[int, bool] = {}
+
+    def _by_last_byte(self) -> list[list[bytes]]:
+        out: list[list[bytes]] = [[] for _ in range(256)]
+        for token in self.ranks:
+            out[token[-1]].append(token)
+        return out
+
+    def merge(self, data: bytes, stop: int = 1) -> list[int]:
+        """Merges the pair of lowest rank, the leftmost of equals, until none or only ``stop`` parts are left."""
         parts = [data[i : i + 1] for i in range(len(data))]
         ranks = self.ranks
-        while len(parts) > 1:
+        while len(parts) > stop:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = ranks.get(parts[i] + parts[i + 1])
@@ -55,22 +63,50 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
-    def whole(self, token: bytes) -> bool:
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that are merged last to make this one; None for one byte, and for a token that merging its
+        own bytes doesn't give."""
+        if token not in self._halves:
+            data = self.bytes_of[token]
+            two = self.merge(data, 2) if len(data) > 1 else []
+            self._halves[token] = tuple(two) if len(two) == 2 else None
+        return self._halves[token]
+
+    def whole(self, token: int) -> bool:
         """Whether merging the token's own bytes gives the token."""
-        known = self._whole.get(token)
-        if known is None:
-            known = self._whole[token] = self.merge(token) == [self.ranks[token]]
-        return known
+        return len(self.bytes_of[token]) == 1 or self.halves(token) is not None
 
     def follows(self, last: int, token: int) -> bool:
-        """Whether the two tokens may stand next to each other."""
-        known = self._pairs.get((last, token))
+        """Whether the two tokens may stand next to each other: merging their bytes gives just them."""
+        key = last << 32 | token
+        known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) >= MEMO:
                 self._pairs.clear()
-            known = self._pairs[last, token] = self.merge(self.bytes_of[last] + self.bytes_of[token]) == [last, token]
+            known = self._pairs[key] = self._stay_apart(last, token)
         return known
 
+    def _stay_apart(self, left: int, right: int) -> bool:
+        """Goes back through the merges on both sides, latest first. What touches the boundary at any time must not
+        have a merge across it that would have come before the next merge on either side."""
+        if not (self.whole(left) and self.whole(right)):
+            return False
+        bytes_of, ranks = self.bytes_of, self.ranks
+        # The merge that comes next in time, as it would be compared: by rank, then from the left.
+        later = (len(ranks) + 1, 0)
+        while True:
+            across = ranks.get(bytes_of[left] + bytes_of[right])
+            if across is not None and (across, 1) < later:
+                return False
+            a = self.halves(left) if len(bytes_of[left]) > 1 else None
+            b = self.halves(right) if len(bytes_of[right]) > 1 else None
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and left > right):
+                later, left = (left, 0), a[1]
+            else:
+                later, right = (right, 2), b[0]
+
 
 @lru_cache(maxsize=4)
 def load_ranks(path: str) -> Vocabulary:
@@ -79,6 +115,30 @@ def load_ranks(path: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
 
 
+def extend(vocabulary: Vocabulary, data: bytes | bytearray, last: list[int]) -> None:
+    """Adds to ``last`` the last tokens of the prefixes of ``data`` that it doesn't have yet."""
+    get, follows, whole, reach = vocabulary.ranks.get, vocabulary.follows, vocabulary.whole, vocabulary.reach
+    pairs = vocabulary._pairs
+    first = len(last) - vocabulary.longest
+    base = max(0, first)
+    data = bytes(data[base:])  # slices of bytes are keys as they are
+    for end in range(len(last) - base + 1, len(data) + 1):
+        start = end - reach[data[end - 1]]
+        for start in range(start if start > 0 else 0, end):
+            token = get(data[start:end])
+            if token is None:
+                continue
+            if start or base:
+                before = last[base + start - 1]
+                known = pairs.get(before << 32 | token)
+                if known or (known is None and follows(before, token)):
+                    last.append(token)
+                    break
+            elif whole(token):
+                last.append(token)
+                break
+
+
 class Prefixes:
     """The last token of every prefix of a byte string: ``last[i]`` belongs to the prefix of i + 1 bytes."""
 
@@ -88,21 +148,10 @@ class Prefixes:
         self.last: list[int] = []
         self.append(data)
 
-    def _find(self, end: int) -> int:
-        ranks, follows, whole = self.vocabulary.ranks, self.vocabulary.follows, self.vocabulary.whole
-        data, last = self.data, self.last
-        for start in range(max(0, end - self.vocabulary.longest), end):
-            piece = bytes(data[start:end])
-            token = ranks.get(piece)
-            if token is not None and whole(piece) and (start == 0 or follows(last[start - 1], token)):
-                return token
-        raise AssertionError("every prefix has an encoding")
-
     def append(self, data: bytes) -> None:
         """Exact: earlier prefixes keep their tokens."""
-        for b in data:
-            self.data.append(b)
-            self.last.append(self._find(len(self.data)))
+        self.data += data
+        extend(self.vocabulary, self.data, self.last)
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Replaces bytes start..end; returns how many prefixes were looked at again.
@@ -115,8 +164,7 @@ class Prefixes:
         self.append(new)
         same = 0
         for i, b in enumerate(tail):
-            self.data.append(b)
-            self.last.append(self._find(len(self.data)))
+            self.append(bytes([b]))
             same = same + 1 if self.last[-1] == old[i] and i >= self.vocabulary.longest else 0
             if same >= self.vocabulary.longest:
                 self.data += tail[i + 1 :]
@@ -137,7 +185,14 @@ def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
     """The ids of one match of the pattern. A piece that is in the vocabulary is that token, however it would merge."""
     if piece in vocabulary.ranks:
         return [vocabulary.ranks[piece]]
-    return Prefixes(vocabulary, piece).tokens()
+    last: list[int] = []
+    extend(vocabulary, piece, last)
+    out, at = [], len(piece)
+    while at:
+        token = last[at - 1]
+        out.append(token)
+        at -= len(vocabulary.bytes_of[token])
+    return out[::-1]
 
 
 class Encoder:
