@@ -94,12 +94,16 @@ def linked(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     wild = F.explode(F.sequence(F.lit(0), F.lit(63)))
     variants = distinct.select("fp", wild.alias("w")).select("fp", "w", (F.col("w") >= 32).alias("high"), (F.col("w") % 32).alias("bit"))
     variants = variants.select("fp", "w", F.call_function("shiftleft", F.col("w").cast("long"), F.lit(32)).bitwiseOR(_without(_half(F.col("fp"), F.col("high")), F.col("bit"))).alias("key"))
-    counted = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    counted = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("all")).where("n > 1")
     counted = cut(counted)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     pairs = counted.where("n = 2").where(near).select("a", "b")
 
-    shared = cut(variants.join(counted.where("n > 2").select("key", "n"), "key"))
+    # Whether both values of the wildcard bit occur under the key.
+    bit_of = F.shiftrightunsigned("key", 32).cast("int")
+    place = F.call_function("shiftleft", F.lit(1).cast("long"), bit_of)
+    mixed = F.col("some").bitwiseXOR(F.col("all")).bitwiseAND(place) != 0
+    shared = cut(variants.join(counted.where("n > 2").select("key", "n", mixed.alias("mixed")), "key"))
     few = shared.where(F.col("n") <= hot).select("key", "fp")
     left, right = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
     joined = left.join(right, (left.key == right.key) & (F.col("a") < F.col("b")) & near).select("a", "b")
@@ -108,11 +112,13 @@ def linked(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     other = _half(F.col("fp"), F.col("w") < 32)
     own = _half(F.col("fp"), F.col("w") >= 32)
     bit = F.explode(F.sequence(F.lit(0), F.lit(31)))
-    crossed = many.select("fp", "key", other.alias("other"), bit.alias("j")).select("fp", "key", F.col("j").alias("i"), _without(F.col("other"), F.col("j")).alias("rest"))
+    # Dealt anew, as the rows of a hot key lie together. Without both values the whole segment is equal: see below.
+    crossed = many.where("mixed").repartition("fp", "key").select("fp", "key", other.alias("other"), bit.alias("j")).select("fp", "key", F.col("j").alias("i"), _without(F.col("other"), F.col("j")).alias("rest"))
     # The key's own segment equal, two wildcards in the other: once for each segment, whatever the key's wildcard.
     both = many.select("fp", own.alias("own"), other.alias("other"), (F.col("w") >= 32).alias("high")).distinct()
-    two = both.select("fp", F.when(F.col("high"), F.col("own")).otherwise(-1 - F.col("own")).alias("key"), "other", F.explode(F.array(*[F.lit(32 * j + i) for j in range(32) for i in range(j)])).alias("ij"))
-    two = two.select("fp", "key", (F.col("ij") + 32).alias("i"), _without(_without(F.col("other"), F.col("ij") % 32), F.expr("ij div 32")).alias("rest"))
+    ones = both.select("fp", F.when(F.col("high"), F.col("own")).otherwise(-1 - F.col("own")).alias("key"), "other", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("i")).repartition("fp", "key", "i")
+    two = ones.select("fp", "key", "other", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(31))).alias("j"))
+    two = two.select("fp", "key", (32 + 32 * F.col("j") + F.col("i")).alias("i"), _without(_without(F.col("other"), F.col("i")), F.col("j")).alias("rest"))
     groups = crossed.unionByName(two).groupBy("key", "i", "rest").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
     star = groups.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
     return pairs.unionByName(joined).unionByName(star).distinct()
