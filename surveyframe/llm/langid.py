@@ -25,7 +25,7 @@ MAX_LANGUAGES = 10_000
 SEED = 42
 UNKNOWN = "und"
 _SPACE = 32
-#: Characters profiled at a time; the counts of a longer text are added up.
+#: Characters turned into n-grams at a time.
 BLOCK = 1 << 20
 
 
@@ -37,28 +37,26 @@ def _letters() -> np.ndarray:
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of the letters of a text, as numbers in rising order, and their counts; none without letters."""
     text = text.lower()
-    parts = [_block_counts(text[max(0, at - 2) : at + BLOCK], min(at, 2)) for at in range(0, len(text), BLOCK)]
-    if len(parts) < 2:
-        return parts[0] if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
-    grams, inverse = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-    return grams, np.bincount(inverse, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
-
-
-def _block_counts(text: str, seen: int) -> tuple[np.ndarray, np.ndarray]:
-    """``seen`` characters at the start belong to the block before; n-grams within them were counted there."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    points = np.where(_letters()[points], points, _SPACE)
-    points = np.concatenate(([_SPACE], points, [_SPACE])) if not seen else np.append(points, _SPACE)
-    start = np.zeros(len(points), dtype=bool)
-    start[:seen] = True
-    keep = np.append(True, (points[1:] != _SPACE) | (points[:-1] != _SPACE))
-    points, start = points[keep], start[keep]
-    one = points[(points != _SPACE) & ~start]
-    two = (points[:-1] << 21 | points[1:])[~start[1:]]
-    three = (points[:-2] << 42 | points[1:-1] << 21 | points[2:])[(points[1:-1] != _SPACE) & ~start[2:]]
-    if not len(one) and not seen:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.unique(np.concatenate([one, two, three]), return_counts=True)
+    parts, carry = [], np.array([_SPACE])
+    for at in range(0, len(text), BLOCK):
+        points = np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        points = np.where(_letters()[points], points, _SPACE)
+        if at + BLOCK >= len(text):
+            points = np.append(points, _SPACE)
+        points = np.concatenate((carry, points))
+        points = points[np.append(True, (points[1:] != _SPACE) | (points[:-1] != _SPACE))]
+        parts.append(_new_grams(points, len(carry)))
+        carry = points[-2:]
+    grams = np.concatenate(parts) if parts else np.empty(0, np.int64)
+    return np.unique(grams, return_counts=True) if len(grams) else (grams, grams)
+
+
+def _new_grams(points: np.ndarray, seen: int) -> np.ndarray:
+    """The n-grams that end behind the first ``seen`` characters."""
+    one = points[seen:][points[seen:] != _SPACE]
+    two = (points[:-1] << 21 | points[1:])[seen - 1 :]
+    three = (points[:-2] << 42 | points[1:-1] << 21 | points[2:])[max(0, seen - 2) :]
+    return np.concatenate([one, two, three[(three >> 21 & 0x1FFFFF) != _SPACE]])
 
 
 def gram_text(gram: int) -> str:

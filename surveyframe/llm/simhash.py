@@ -198,33 +198,37 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_col:
     """Rows (a, b) of text hashes whose shingle sets have at least that Jaccard similarity.
 
     Texts that share a sample's fingerprint are candidates. In a group of up to ``hot`` all pairs are verified. In a
-    larger one each text is verified against the group's smallest and linked through it; those that fail are grouped
-    anew by a further, later sample. So a group of near copies costs as many comparisons as it has members, and texts
-    that share no more than a frequent passage fall apart into small groups. The rounds end with the last sample.
+    larger one each text is verified against the group's most central and linked through it: the text whose fingerprints
+    are shared most often, which the copies of one text all resemble even where they differ from each other. Those that
+    fail are grouped anew by a further, later sample. So a group of near copies costs as many comparisons as it has
+    members, and texts that share no more than a frequent passage fall apart into small groups. The rounds end with the
+    last sample.
     """
-    prints = cut(sample_fingerprints(docs, width, text_col=text_col).distinct())
-    keyed = prints.select(F.xxhash64("sample", "fp").alias("key"), "sample", "node")
+    every = cut(sample_fingerprints(docs, width, text_col=text_col).distinct())
+    sizes = every.groupBy("sample", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = every.join(sizes, ["sample", "fp"])
+    prints = cut(held.join(held.groupBy("node").agg(F.sum("n").alias("weight")), "node").drop("n"))
+    keyed = prints.select(F.xxhash64("sample", "fp").alias("key"), "sample", "node", "weight")
     text = docs.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
+    by_node = text.join(prints.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     found = None
     while True:
-        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-        members = cut(keyed.join(shared, "key"))
+        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "node")).alias("centre")).where("n > 1")
+        members = cut(keyed.join(shared.select("key", "n", F.col("centre.node").alias("centre")), "key"))
         if members.isEmpty():
             break
-        if found is None:
-            by_node = text.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
         small = members.where(F.col("n") <= hot).select("key", "node")
         pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
-        large = members.where((F.col("n") > hot) & (F.col("node") != F.col("least")))
-        pairs = pairs.unionByName(large.select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
+        large = members.where((F.col("n") > hot) & (F.col("node") != F.col("centre"))).withColumns({"a": F.least("centre", "node"), "b": F.greatest("centre", "node")})
+        pairs = pairs.unionByName(large.select("a", "b")).distinct()
         if found is not None:
             pairs = pairs.join(found, ["a", "b"], "left_anti")
         good = cut(_verified(pairs, by_node, width, similarity))
         found = good if found is None else found.unionByName(good)
-        failed = large.join(found.select(F.col("a").alias("least"), F.col("b").alias("node")), ["least", "node"], "left_anti").select("key", "sample", "node")
+        failed = large.join(found, ["a", "b"], "left_anti").select("key", "sample", "node", "weight")
         later = prints.select("node", F.col("sample").alias("next"), "fp")
-        keyed = failed.join(later, "node").where("next > sample").select(F.xxhash64("key", "next", "fp").alias("key"), F.col("next").alias("sample"), "node")
-    return prints.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found
+        keyed = failed.join(later, "node").where("next > sample").select(F.xxhash64("key", "next", "fp").alias("key"), F.col("next").alias("sample"), "node", "weight")
+    return every.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
