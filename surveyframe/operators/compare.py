@@ -21,10 +21,18 @@ def duplicate_hits(grouped: DataFrame) -> DataFrame:
 
 
 def pivot_to_wide(grouped: DataFrame, groups: list[int] | None = None) -> DataFrame:
-    """file_name, sheet, and q<g>, a<g>, m<g> (question, answer, match score) for each group; '' and null where absent."""
+    """Questionnaire, Sheet and, for each group g, Actual_Question Qg, Qg Answer and Qg Match Percentage; '' and null where
+    absent. ``groups`` count from 0, the columns from 1."""
     if groups is None:
         groups = [r[0] for r in grouped.select("group").distinct().orderBy("group").collect()]
     hits = first_hits(grouped)
     wide = hits.groupBy("file_name", "sheet").pivot("group", groups).agg(F.first("question").alias("q"), F.first("answer").alias("a"), F.first("match_score").alias("m"))
-    columns = [c for g in groups for c in (F.coalesce(F.col(f"{g}_q"), F.lit("")).alias(f"q{g + 1}"), F.coalesce(F.col(f"{g}_a"), F.lit("")).alias(f"a{g + 1}"), F.col(f"{g}_m").alias(f"m{g + 1}"))]
-    return wide.select("file_name", "sheet", *columns).orderBy("file_name", "sheet")
+    columns = [c for g in groups for c in (F.coalesce(F.col(f"{g}_q"), F.lit("")).alias(f"Actual_Question Q{g + 1}"), F.coalesce(F.col(f"{g}_a"), F.lit("")).alias(f"Q{g + 1} Answer"), F.col(f"{g}_m").alias(f"Q{g + 1} Match Percentage"))]
+    return wide.select(F.col("file_name").alias("Questionnaire"), F.col("sheet").alias("Sheet"), *columns).orderBy("Questionnaire", "Sheet")
+
+
+def widths(columns: list[str]) -> list[float]:
+    """The widths of the comparison's columns in a workbook."""
+    # Widths by what the column's name begins or ends with.
+    kinds = [("Questionnaire", 28), ("Sheet", 22), ("Actual_Question ", 48), (" Answer", 36), (" Match Percentage", 10)]
+    return [next((w for k, w in kinds if c.startswith(k) or c.endswith(k)), 18) for c in columns]

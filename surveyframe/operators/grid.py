@@ -210,14 +210,19 @@ def slot_answers(cells: DataFrame, merges: DataFrame | None = None) -> DataFrame
     return held.groupBy("sheet", "question_id").agg(lines.alias("answer"))
 
 
-def nested_sheets(flat: DataFrame, notes: DataFrame) -> DataFrame:
-    """One JSON text for each file: its sheets with their questions and remarks."""
-    sub = F.struct("sub_idx", *[c for c in PARSED_COLUMNS if c not in ("file_name", "sheet", "section", "question_id", "sub_idx")])
-    questions = flat.groupBy(*KEY, "segment", "section", "question_id").agg(F.array_sort(F.collect_list(sub)).alias("sub_questions"))
-    per_sheet = questions.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("segment", "section", "question_id", "sub_questions"))).alias("questions"))
+def nested_sheets(flat: DataFrame, notes: DataFrame, rows: DataFrame) -> DataFrame:
+    """One JSON text for each file: by sheet its questions, with sub-questions, blocks and source rows, and its remarks."""
+    parts = ["option_label", "prompt", "hint", "answer", "answer_cell", "side_answer", "side_answer_options", "side_answer_cell"]
+    blocks = F.transform("blocks", lambda b: F.struct(*[b[c].alias(c) for c in ("text", "cell", "italic", "bold", "fill", "role")]))
+    sub = F.struct("sub_idx", F.struct(*parts, blocks.alias("blocks")).alias("sub"))
+    subs = flat.groupBy(*KEY, "segment", "section", "question_id").agg(F.transform(F.array_sort(F.collect_list(sub)), lambda x: x["sub"]).alias("sub_questions"))
+    held = subs.join(rows.select(*KEY, "segment", "source_rows"), [*KEY, "segment"], "left")
+    question = F.struct("segment", F.struct("section", "question_id", "sub_questions", "source_rows").alias("q"))
+    questions = held.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(question)), lambda x: x["q"]).alias("questions"))
     per_notes = notes.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("remarks"))
-    sheets = per_sheet.join(per_notes, KEY, "full").groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("sheet", "questions", "remarks"))).alias("sheets"))
-    return sheets.select("file_name", F.to_json("sheets").alias("json"))
+    sheet = F.struct("sheet", F.struct("questions", "remarks").alias("payload"))
+    files = questions.join(per_notes, KEY, "full").groupBy("file_name").agg(F.array_sort(F.collect_list(sheet)).alias("sheets"))
+    return files.select("file_name", F.to_json(F.map_from_entries("sheets")).alias("json"))
 
 
 def sheet_last_row(cells: DataFrame) -> DataFrame:

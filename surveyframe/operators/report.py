@@ -98,14 +98,14 @@ def coverage_matrix(long: DataFrame, labels: DataFrame, names: list[str] | None
 
 
 def question_presence(long: DataFrame, labels: DataFrame) -> DataFrame:
-    """Questions that some questionnaire lacks, the most absent first."""
+    """Questions that some questionnaire lacks, those that the fewest lack first."""
     every = long.agg(F.array_sort(F.collect_set("questionnaire")).alias("every"))
     held = long.groupBy("cluster").agg(F.array_sort(F.collect_set("questionnaire")).alias("held"))
     rows = held.crossJoin(F.broadcast(every)).where("size(held) < size(every)").join(labels, "cluster")
     return rows.select(
         canonical_id().alias("canonical_id"), "canonical_text", F.size("held").alias("present_count"), (F.size("every") - F.size("held")).alias("missing_count"),
         F.array_join("held", "; ").alias("present_in"), F.array_join(F.array_except("every", "held"), "; ").alias("missing_from"),
-    ).orderBy(F.desc("missing_count"), "canonical_id")
+    ).orderBy("missing_count", "canonical_id")
 
 
 def missing_pairs(long: DataFrame) -> DataFrame:
@@ -126,21 +126,28 @@ def clusters_audit(long: DataFrame, labels: DataFrame) -> DataFrame:
     scored = pairs.select("cluster", "question_text", "canonical_text", score.alias("match_to_canonical"))
     rows = long.join(scored, ["cluster", "question_text"])
     return rows.select(
-        canonical_id().alias("canonical_id"), "canonical_text", "questionnaire", "file_name", "sheet", "question_id", "question_text", "match_to_canonical", "answer", "is_blank", "conditional",
+        canonical_id().alias("canonical_id"), "canonical_text", "match_to_canonical", "questionnaire", "file_name", "sheet", "question_id", "question_text", "answer", "is_blank", "conditional",
     ).orderBy("canonical_id", "questionnaire")
 
 
-OVERVIEW = ["questionnaires", "files", "questions (rows)", "canonical questions", "answered", "blank", "overall answer rate", "conditional questions", "required questions", "required missing", "required answer rate", "questions with several wordings", "of these substantive", "questions absent somewhere"]
+# The metrics of the overview and the legend of the coverage matrix.
+OVERVIEW = [
+    "questionnaires", "canonical questions", "question instances (rows)", "answered instances", "blank instances", "overall answer rate", "required answer rate (excl. conditional)",
+    "conditional questions (instances)", "required answers missing", "questions with changed wording (substantive)", "questions with formatting-only drift", "questions not present in every questionnaire",
+    "fuzzy match threshold", "cell legend",
+]
+LEGEND = "answered / blank (missing) / blank (optional) / '' = absent"
 
 
-def overview(long: DataFrame) -> DataFrame:
+def overview(long: DataFrame, threshold: float = 85) -> DataFrame:
     """metric, value (as text), value_num, in the order of ``OVERVIEW``."""
     blank, cond = F.col("is_blank"), F.col("conditional")
-    main = long.agg(F.count_distinct("questionnaire").alias("a"), F.count_distinct("file_name").alias("b"), F.count(F.lit(1)).alias("c"), F.count_distinct("cluster").alias("d"), _count(~blank, "e"), _count(blank, "f"), _count(cond, "h"), _count(~cond, "i"), _count(~cond & blank, "j"))
+    main = long.agg(F.count_distinct("questionnaire").alias("a"), F.count_distinct("cluster").alias("b"), F.count(F.lit(1)).alias("c"), _count(~blank, "d"), _count(blank, "e"), _count(cond, "h"), _count(~cond, "r"), _count(~cond & blank, "i"))
     per = long.groupBy("cluster").agg(F.count_distinct("question_text").alias("texts"), F.count_distinct(T.norm_match("question_text")).alias("forms"), F.count_distinct("questionnaire").alias("held"))
-    more = per.crossJoin(F.broadcast(main.select("a"))).agg(_count(F.col("texts") > 1, "l"), _count((F.col("texts") > 1) & (F.col("forms") > 1), "m"), _count(F.col("held") < F.col("a"), "n"))
-    one = main.crossJoin(more).withColumns({"g": T.rate(F.col("e"), F.col("c")), "k": T.rate(F.col("i") - F.col("j"), F.col("i"))})
-    pairs = F.array(*[F.struct(F.lit(n).alias("nr"), F.lit(m).alias("metric"), F.col(c).cast("string").alias("value"), F.col(c).cast("double").alias("value_num")) for n, (m, c) in enumerate(zip(OVERVIEW, "abcdefghijklmn", strict=True))])
+    changed = F.col("texts") > 1
+    more = per.crossJoin(F.broadcast(main.select("a"))).agg(_count(changed & (F.col("forms") > 1), "j"), _count(changed & (F.col("forms") == 1), "k"), _count(F.col("held") < F.col("a"), "l"))
+    one = main.crossJoin(more).withColumns({"f": T.rate(F.col("d"), F.col("c")), "g": T.rate(F.col("r") - F.col("i"), F.col("r")), "m": F.lit(threshold), "n": F.lit(LEGEND)})
+    pairs = F.array(*[F.struct(F.lit(n).alias("nr"), F.lit(m).alias("metric"), F.col(c).cast("string").alias("value"), F.col(c).cast("string").try_cast("double").alias("value_num")) for n, (m, c) in enumerate(zip(OVERVIEW, "abcdefghijklmn", strict=True))])
     return one.select(F.explode(pairs).alias("p")).select("p.*").orderBy("nr").drop("nr")
 
 
@@ -156,7 +163,8 @@ def substantive_clusters(changes: DataFrame, n: int = 8) -> DataFrame:
 
 
 def top_gaps(presence: DataFrame, n: int = 10) -> DataFrame:
-    return presence.orderBy(F.desc("missing_count"), "canonical_id").limit(n)
+    """The head of the presence table."""
+    return presence.orderBy("missing_count", "canonical_id").limit(n)
 
 
 def distinct_counts(long: DataFrame) -> DataFrame:

@@ -66,8 +66,10 @@ def flat_items(items: DataFrame) -> DataFrame:
     return items.select(file_name.alias("file_name"), F.coalesce("sheet", F.lit("")).alias("sheet"), "question_id", "question", "answer", F.coalesce("answer_source", F.lit("llm")).alias("answer_source"), pages.alias("source_pages"))
 
 
-def nested_items(flat: DataFrame) -> DataFrame:
-    """One JSON text for each file: file_name and its questions."""
-    item = F.struct("sheet", "question_id", "question", "answer", "answer_source", "source_pages")
-    one = flat.groupBy("file_name").agg(F.array_sort(F.collect_list(item)).alias("questions"))
-    return one.select("file_name", F.to_json(F.struct("file_name", "questions")).alias("json"))
+def nested_items(items: DataFrame) -> DataFrame:
+    """One JSON text for each file: file_name and its questions, pages as numbers."""
+    file_name = F.col("file_name") if "file_name" in items.columns else F.lit("")
+    order = F.struct("sheet", T.digit_runs("question_id").alias("numbers"), "question_id")
+    item = F.struct("question_id", "question", "answer", "source_pages", "answer_source", "sheet")
+    one = items.groupBy(file_name.alias("file_name")).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), item.alias("item")))).alias("q"))
+    return one.select("file_name", F.to_json(F.struct("file_name", F.transform("q", lambda x: x["item"]).alias("questions"))).alias("json"))

@@ -8,6 +8,8 @@ from ..operators import cluster, compare, grid, longframe, report, windows
 from ..sources import extract, xlsx
 from ..storage import cut
 
+# Columns of the report that are shown wide.
+REPORT_WIDE = {"canonical_text", "question_text", "variant_text", "Question", "used_by", "present_in", "missing_from", "source_question_ids", "answer"}
 LLM_COLUMNS = ["file_name", "sheet", "question_id", "question", "answer", "answer_source", "source_pages"]
 
 
@@ -16,13 +18,13 @@ def analyse(long: DataFrame, threshold: float = 85) -> dict[str, DataFrame]:
     rows = cut(cluster.with_clusters(long, threshold))
     labels = cut(report.canonical_labels(rows))
     return {
-        "overview": report.overview(rows),
-        "per_questionnaire": report.per_questionnaire(rows),
-        "per_question": report.per_question(rows, labels),
+        "overview": report.overview(rows, threshold),
+        "questionnaire_missing": report.per_questionnaire(rows),
+        "question_answer_rate": report.per_question(rows, labels),
         "question_changes": report.question_changes(rows, labels),
         "coverage_matrix": report.coverage_matrix(rows, labels),
         "question_presence": report.question_presence(rows, labels),
-        "clusters_audit": report.clusters_audit(rows, labels),
+        "clusters": report.clusters_audit(rows, labels),
     }
 
 
@@ -35,26 +37,41 @@ def analyse_files(spark: SparkSession, path: str, output: str | None = None, thr
         raise ValueError("no questions found")
     tables = analyse(long, threshold)
     if output:
-        xlsx.write_workbook(tables, output)
+        xlsx.write_workbook(tables, output, wide_columns=REPORT_WIDE)
     return tables
 
 
+def digest(tables: dict[str, DataFrame]) -> list[str]:
+    """The report in a few lines: answers missing, the lowest rates, changed wordings and gaps."""
+    out = ["Missing answers"]
+    for r in tables["questionnaire_missing"].toLocalIterator():
+        rate = "n/a" if r.required_answer_rate is None else f"{r.required_answer_rate:.0%}"
+        out.append(f"  {r.questionnaire}: {r.n_answered} of {r.n_questions} ({r.answer_rate:.0%}), required missing {r.n_required_missing} (rate {rate})")
+    out.append("Lowest answer rates")
+    out += [f"  {r.canonical_id} {r.answer_rate:.0%}{' [conditional]' if r.is_conditional else ''}: {r.canonical_text[:70]}" for r in report.low_rates(tables["question_answer_rate"]).collect()]
+    out.append("Changed wordings")
+    out += [f"  {r.canonical_id}, {r.n_variants} wordings: {r.Question[:80]}" for r in report.substantive_clusters(tables["question_changes"]).collect()]
+    out.append("Gaps")
+    out += [f"  {r.canonical_id} in {r.present_count}, missing from {r.missing_from[:60]}: {r.canonical_text[:50]}" for r in report.top_gaps(tables["question_presence"]).collect()]
+    return out
+
+
 def compare_files(spark: SparkSession, path: str, output: str | None = None, threshold: int = 80) -> DataFrame:
     """Parsed workbooks to the wide comparison."""
     rows = longframe.load_all([xlsx.read_tables(xlsx.list_files(spark, path), longframe.PARSED_COLUMNS, sheet=None)])
     grouped = cut(cluster.cluster_rows(cut(rows), threshold))
     wide = compare.pivot_to_wide(grouped)
     if output:
-        xlsx.write_workbook({"comparison": wide}, output)
+        xlsx.write_workbook({"comparison": wide}, output, {"comparison": compare.widths(wide.columns)}, freeze=False)
     return wide
 
 
 def parse_files(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Styled workbooks to sub_questions, remarks and json."""
+    """Styled workbooks to cells (resolved), sub_questions, remarks and json."""
     files = xlsx.list_files(spark, path, "parse")
     resolved = cut(grid.resolved_cells(xlsx.read_cells(files), xlsx.read_merges(files), xlsx.read_dropdowns(files)))
     flat, notes = cut(grid.sub_questions(resolved)), grid.remarks(resolved)
-    return {"sub_questions": flat, "remarks": notes, "json": grid.nested_sheets(flat, notes)}
+    return {"cells": resolved, "sub_questions": flat, "remarks": notes, "json": grid.nested_sheets(flat, notes, grid.source_rows(resolved))}
 
 
 def extract_items(pages: DataFrame, make_extractor, window: int = 2, stride: int = 1, truth: DataFrame | None = None, attempts: int = extract.ATTEMPTS) -> DataFrame:

@@ -209,7 +209,7 @@ def question_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.question_presence(*_reports(spark, sf_dir, False))
 
 
-@query(f"with {_GIVEN}, pr as ({_PRESENCE}) select * from pr order by missing_count desc, canonical_id limit 10")
+@query(f"with {_GIVEN}, pr as ({_PRESENCE}) select * from pr order by missing_count, canonical_id limit 10")
 def top_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.top_gaps(report.question_presence(*_reports(spark, sf_dir, False)))
 
@@ -229,9 +229,9 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.distinct_counts(given(spark, sf_dir))
 
 
-@query(f"""with {_GIVEN}, pe as (select cluster, count(distinct question_text) as texts, count(distinct norm) as forms, count(distinct questionnaire) as held from g group by cluster), t as (select count(distinct questionnaire) a, count(distinct file_name) b, count(*) c, count(distinct cluster) d, count_if(not is_blank) e, count_if(is_blank) f, count_if(conditional) h, count_if(not conditional) i, count_if(not conditional and is_blank) j from g),
- v as (select unnest([{', '.join(f"'{m}'" for m in report.OVERVIEW)}]) as metric, unnest([a::double, b, c, d, e, f, round(e::double / c, 4), h, i, j, round((i - j)::double / i, 4), (select count(*) from pe where texts > 1), (select count(*) from pe where texts > 1 and forms > 1), (select count(*) from pe where held < a)]) as value_num from t)
- select metric, case when metric like '%rate' then value_num::varchar else value_num::bigint::varchar end as value, value_num from v""")
+@query(f"""with {_GIVEN}, pe as (select cluster, count(distinct question_text) as texts, count(distinct norm) as forms, count(distinct questionnaire) as held from g group by cluster), t as (select count(distinct questionnaire) a, count(distinct cluster) b, count(*) c, count_if(not is_blank) d, count_if(is_blank) e, count_if(conditional) h, count_if(not conditional) r, count_if(not conditional and is_blank) i from g),
+ v as (select unnest([{', '.join("'" + m.replace("'", "''") + "'" for m in report.OVERVIEW)}]) as metric, unnest([a::double, b, c, d, e, round(d::double / c, 4), round((r - i)::double / r, 4), h, i, (select count(*) from pe where texts > 1 and forms > 1), (select count(*) from pe where texts > 1 and forms = 1), (select count(*) from pe where held < a), 85, null]) as value_num from t)
+ select metric, case when metric = 'cell legend' then '{_sql(report.LEGEND)}' when metric like '%rate%' then value_num::varchar else value_num::bigint::varchar end as value, value_num from v""")
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.overview(given(spark, sf_dir))
 
@@ -296,7 +296,7 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ord", "file_name", "sheet", F.col("question").alias("prompt"), "answer", F.when(F.col("ord") % 10 == 0, "Option A").alias("option_label"), F.when(F.col("ord") % 6 == 0, "YES").alias("side_answer"), (F.substr("question_id", F.lit(2)).cast("int") - 1).alias("group"), (F.col("ord") % 101).cast("int").alias("match_score"))
 
 
-@query(f"with {_HITS} select file_name, sheet, " + ", ".join(f"coalesce(max(question) filter (grp = {g}), '') as q{g + 1}, coalesce(max(answer) filter (grp = {g}), '') as a{g + 1}, max(match_score) filter (grp = {g}) as m{g + 1}" for g in range(SIZES)) + " from h group by all")
+@query(f"with {_HITS} select file_name as \"Questionnaire\", sheet as \"Sheet\", " + ", ".join(f"coalesce(max(question) filter (grp = {g}), '') as \"Actual_Question Q{g + 1}\", coalesce(max(answer) filter (grp = {g}), '') as \"Q{g + 1} Answer\", max(match_score) filter (grp = {g}) as \"Q{g + 1} Match Percentage\"" for g in range(SIZES)) + " from h group by all")
 def comparison_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.pivot_to_wide(_grouped(spark, sf_dir), list(range(SIZES)))
 
@@ -339,6 +339,15 @@ def reconcile_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.flat_items(_reconciled(spark, sf_dir)).withColumn("sheet", F.col("sheet").cast("long"))
 
 
+@query(f"""with {_RECONCILED} select '' as file_name, count(*) as n, sum(length(question))::bigint as chars from rc""")
+def nested_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON of a file, read again."""
+    nested = windows.nested_items(_reconciled(spark, sf_dir).withColumn("sheet", F.col("sheet").cast("string")))
+    kind = "struct<file_name:string,questions:array<struct<question_id:string,question:string>>>"
+    items = nested.select(F.from_json("json", kind).alias("j")).select("j.file_name", F.explode("j.questions").alias("q"))
+    return items.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("q.question")).alias("chars"))
+
+
 @query(f"with {_RECONCILED} select count_if(answer_source = 'xlsx_reconciled')::bigint as n_substituted from rc")
 def substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.substitutions(_reconciled(spark, sf_dir))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import json
 import time
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -47,19 +48,35 @@ def retry_delays(df: DataFrame, attempts: str = "attempts", base: float = BASE_D
 
 
 def render_pages(files: DataFrame, make_renderer: Callable[[], Callable[[bytes, int], list[bytes]]], dpi: int = 200) -> DataFrame:
-    """file_name, page_no, png, error: the pages of each file; a file that can't be rendered gives one row with its error."""
+    """file_name, sheet, page_no, png, error: the pages of each file, counted from 1 on each sheet.
+
+    A renderer gives images, or pairs of sheet and image for a workbook; without a sheet it is the file's stem. A file that
+    can't be rendered gives one row with its error.
+    """
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         renderer = make_renderer()
         for frame in frames:
             for name, data in zip(frame["file_name"], frame["content"], strict=True):
                 try:
-                    rows = [(name, i, page, None) for i, page in enumerate(renderer(bytes(data), dpi), 1)]
+                    rows, count = [], Counter()
+                    for page in renderer(bytes(data), dpi):
+                        sheet, png = page if isinstance(page, tuple) else (name.rpartition(".")[0] or name, page)
+                        count[sheet] += 1
+                        rows.append((name, sheet, count[sheet], png, None))
                 except Exception as e:
-                    rows = [(name, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["file_name", "page_no", "png", "error"]).astype({"page_no": "Int32"})
+                    rows = [(name, None, None, None, str(e))]
+                yield pd.DataFrame(rows, columns=["file_name", "sheet", "page_no", "png", "error"]).astype({"page_no": "Int32"})
+
+    return files.select("file_name", "content").mapInPandas(run, "file_name string, sheet string, page_no int, png binary, error string")
+
+
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """Page images as files page_001.png and so on in a folder of each file's and sheet's name; for looking at, one page at a time."""
+    from .xlsx import write_bytes
 
-    return files.select("file_name", "content").mapInPandas(run, "file_name string, page_no int, png binary, error string")
+    for r in pages.where("png is not null").toLocalIterator():
+        write_bytes(pages.sparkSession, f"{folder}/{r.file_name}/{r.sheet}/page_{r.page_no:03d}.png", bytes(r.png))
 
 
 def image_url(png: str = "png"):

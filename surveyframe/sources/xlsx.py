@@ -209,7 +209,7 @@ def _cell(ref: str, value) -> str:
     return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
-def workbook_bytes(sheets: dict[str, tuple[list[str], list[tuple]]], widths: dict[str, list[float]] | None = None, freeze: bool = True) -> bytes:
+def workbook_bytes(sheets: dict[str, tuple[list[str], list[tuple]]], widths: dict[str, list[float]] | None = None, freeze: bool = True, wide_columns: set[str] = frozenset()) -> bytes:
     """A workbook of (header, rows) by sheet name; names are cut to 31 characters, the header row stays in view."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -217,7 +217,7 @@ def workbook_bytes(sheets: dict[str, tuple[list[str], list[tuple]]], widths: dic
         for k, (name, (header, rows)) in enumerate(sheets.items(), 1):
             if len(rows) >= MAX_ROWS:
                 raise ValueError(f"{name} has more rows than a sheet can hold")
-            wide = (widths or {}).get(name) or fitted_widths(header, rows)
+            wide = (widths or {}).get(name) or fitted_widths(header, rows, wide_columns)
             cols = "".join(f'<col min="{i}" max="{i}" width="{w}" customWidth="1"/>' for i, w in enumerate(wide, 1))
             body = "".join(f'<row r="{r}">{"".join(_cell(f"{_letters(c)}{r}", v) for c, v in enumerate(row, 1))}</row>' for r, row in enumerate([header, *rows], 1))
             view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>' if freeze else ""
@@ -232,9 +232,10 @@ def workbook_bytes(sheets: dict[str, tuple[list[str], list[tuple]]], widths: dic
     return out.getvalue()
 
 
-def fitted_widths(header: list[str], rows: list[tuple], least: int = 10, most: int = 70) -> list[float]:
-    """Column widths from the first 200 rows."""
-    return [min(most, max(least, 2 + max(len(str(x)) for x in (h, *(r[i] for r in rows[:200]))))) for i, h in enumerate(header)]
+def fitted_widths(header: list[str], rows: list[tuple], wide_columns: set[str] = frozenset(), least: int = 10, most: int = 70, wide: int = 60) -> list[float]:
+    """Column widths from the first 200 rows; columns of texts are wide."""
+    fit = lambda i, h: min(most, max(least, 2 + max(len(str(x)) for x in (h, *(r[i] for r in rows[:200])))))
+    return [wide if h in wide_columns or "text" in h.lower() else fit(i, h) for i, h in enumerate(header)]
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
@@ -248,7 +249,7 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
-def write_workbook(tables: dict[str, DataFrame], path: str, widths: dict[str, list[float]] | None = None) -> None:
+def write_workbook(tables: dict[str, DataFrame], path: str, widths: dict[str, list[float]] | None = None, freeze: bool = True, wide_columns: set[str] = frozenset()) -> None:
     """Report tables as the sheets of one workbook. A table that is larger than a sheet is an error; reports are small."""
     sheets, spark = {}, None
     for name, df in tables.items():
@@ -258,4 +259,4 @@ def write_workbook(tables: dict[str, DataFrame], path: str, widths: dict[str, li
         sheets[name] = (df.columns, flat)
     if spark is None:
         raise ValueError("no tables")
-    write_bytes(spark, path, workbook_bytes(sheets, widths))
+    write_bytes(spark, path, workbook_bytes(sheets, widths, freeze, wide_columns))

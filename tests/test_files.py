@@ -29,10 +29,12 @@ def test_analyse_files(spark, tmp_path):
     folder = _parsed(spark, tmp_path)
     out = str(tmp_path / "report_analysis.xlsx")
     tables = plans.analyse_files(spark, folder, out)
-    per = {r.questionnaire: r for r in tables["per_questionnaire"].collect()}
+    per = {r.questionnaire: r for r in tables["questionnaire_missing"].collect()}
     assert (per["a.xlsx | s"].n_questions, per["a.xlsx | s"].n_answered, per["a.xlsx | s"].n_optional_blank) == (2, 1, 1)
     assert (per["b.xlsx | s"].n_blank, per["b.xlsx | s"].required_answer_rate) == (1, 0.5)
     assert {r.canonical_text for r in tables["question_presence"].collect()} == {"Tax number (if any)", "Head office - Address"}
+    lines = plans.digest(tables)
+    assert any("a.xlsx | s: 1 of 2 (50%)" in x for x in lines) and lines[0] == "Missing answers"
     assert [n for n, _ in xlsx.Workbook(open(out, "rb").read()).sheets] == list(tables)
 
 
@@ -42,8 +44,8 @@ def test_compare_files(spark, tmp_path):
         data = xlsx.Workbook((tmp_path / f"{name}.xlsx").read_bytes()).table("questions")
         (tmp_path / f"{name}.xlsx").write_bytes(xlsx.workbook_bytes({"one": (data[0], [tuple(r) for r in data[1]])}))
     rows = [r.asDict() for r in plans.compare_files(spark, folder).collect()]
-    assert [(r["file_name"], r["q1"], r["a1"]) for r in rows] == [("a.xlsx", "Firm name", "Acme"), ("b.xlsx", "Firm Name?", "")]
-    assert rows[1]["q3"] == "Head office - Address" and rows[1]["a3"] == "YES - Street" and rows[0]["m3"] is None
+    assert [(r["Questionnaire"], r["Actual_Question Q1"], r["Q1 Answer"]) for r in rows] == [("a.xlsx", "Firm name", "Acme"), ("b.xlsx", "Firm Name?", "")]
+    assert rows[1]["Actual_Question Q3"] == "Head office - Address" and rows[1]["Q3 Answer"] == "YES - Street" and rows[0]["Q3 Match Percentage"] is None
 
 
 def test_no_input(spark, tmp_path):
@@ -108,3 +110,31 @@ def test_stream(spark, tmp_path):
 def test_demo_workbook_style_reading(spark):
     cells, _, _ = fixtures.demo_grid(spark)
     assert cells.count() == len(fixtures.DEMO)
+
+
+def test_render_pages(spark, tmp_path):
+    files = spark.createDataFrame([("a.pdf", b"xy"), ("b.xlsx", b"z"), ("bad.pdf", b"")], "file_name string, content binary")
+
+    def make():
+        def run(data, dpi):
+            if not data:
+                raise ValueError("empty")
+            return [("s1", data), ("s2", data), ("s1", data)] if data == b"z" else [data[i : i + 1] for i in range(len(data))]
+
+        return run
+
+    pages = extract.render_pages(files, make)
+    rows = sorted(((r.file_name, r.sheet, r.page_no, r.error) for r in pages.collect()), key=str)
+    assert rows == [("a.pdf", "a", 1, None), ("a.pdf", "a", 2, None), ("b.xlsx", "s1", 1, None), ("b.xlsx", "s1", 2, None), ("b.xlsx", "s2", 1, None), ("bad.pdf", None, None, "empty")]
+    extract.write_pages(pages, str(tmp_path))
+    assert (tmp_path / "a.pdf" / "a" / "page_002.png").read_bytes() == b"y"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from surveyframe.__main__ import main
+
+    folder = _parsed(spark, tmp_path)
+    assert main(["analyse", folder, "-o", str(tmp_path / "out_analysis.xlsx"), "--id-by", "file", "--treat-as-blank", "street, x"]) == 0
+    assert "a.xlsx: 1 of 2" in capsys.readouterr().out and (tmp_path / "out_analysis.xlsx").exists()
+    main(["parse", folder, str(tmp_path / "parsed"), "--debug"])
+    assert (tmp_path / "parsed" / "questions.xlsx").exists() and (tmp_path / "parsed" / "row_kinds").is_dir()

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import json
 
 from surveyframe import fixtures
 from surveyframe.operators import grid
@@ -55,9 +55,11 @@ def test_multi_select(spark):
 
 def test_json(spark):
     resolved = grid.resolved_cells(*fixtures.demo_grid(spark))
-    (row,) = grid.nested_sheets(grid.sub_questions(resolved), grid.remarks(resolved)).collect()
-    found = spark.createDataFrame([(row.json,)], "j string").select(F.expr("get_json_object(j, '$[0].questions[0].question_id')"), F.expr("get_json_object(j, '$[0].remarks[0].cell')")).first()
-    assert tuple(found) == ("Q1", "AP10")
+    (row,) = grid.nested_sheets(grid.sub_questions(resolved), grid.remarks(resolved), grid.source_rows(resolved)).collect()
+    sheet = json.loads(row.json)["Questionnaire HK"]
+    assert [q["question_id"] for q in sheet["questions"]] == [f"Q{i}" for i in range(1, 8)] and sheet["remarks"][0]["cell"] == "AP10"
+    assert sheet["questions"][6]["source_rows"] == list(range(33, 42)) and len(sheet["questions"][6]["sub_questions"]) == 4
+    assert [b["role"] for b in sheet["questions"][1]["sub_questions"][0]["blocks"]] == ["prompt", "hint", "answer"]
 
 
 def test_empty(spark):
