@@ -11,13 +11,14 @@ for, spread over all tasks. Scores below the threshold, ruled out by the texts'
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from ..storage import cut
+from ..storage import cut, numbered
 
 #: Items decided, and so seeds broadcast, in one round.
 BLOCK = 256
@@ -43,7 +44,7 @@ def greedy_edges(items: DataFrame, columns: list[str], score, threshold: float,
     edges = spark.createDataFrame([], "ord long, seed_ord long, score double")
     seeds = spark.createDataFrame([], "seed_ord long")
     open_items = items
-    while True:
+    for n in count(1):
         first = open_items.orderBy("ord").limit(block)
         first = spark.createDataFrame(first.collect(), first.schema)  # at most ``block`` rows
         near = {(r.ord, r.seed_ord) for r in _edges(first, first, columns, score, bound, threshold).where("seed_ord < ord").collect()}
@@ -56,6 +57,8 @@ def greedy_edges(items: DataFrame, columns: list[str], score, threshold: float,
         chosen = spark.createDataFrame([(s,) for s in new], "seed_ord long")
         found = cut(_edges(items, first.join(F.broadcast(chosen), F.col("ord") == F.col("seed_ord"), "left_semi"), columns, score, bound, threshold))
         edges, seeds = edges.unionByName(found), seeds.unionByName(chosen)
+        if n % 16 == 0:  # a plan of hundreds of parts is slow to make
+            edges, seeds = cut(edges), cut(seeds)
         reached = found.where("seed_ord < ord").select("ord").distinct()
         open_items = cut(open_items.join(reached, "ord", "left_anti").join(F.broadcast(chosen), F.col("ord") == F.col("seed_ord"), "left_anti"))
 
@@ -73,8 +76,7 @@ def _best(candidates: DataFrame) -> DataFrame:
 def text_order(long: DataFrame, column: str = "question_text") -> DataFrame:
     """Distinct texts with ``ord`` from 1: most frequent first, then longest, then by the text itself."""
     freq = long.groupBy(F.col(column).alias("question_text")).agg(F.count(F.lit(1)).alias("freq"))
-    order = Window.orderBy(F.desc("freq"), F.desc(F.length("question_text")), "question_text")
-    return freq.withColumn("ord", F.row_number().over(order).cast("long"))
+    return numbered(freq, "ord", F.desc("freq"), F.desc(F.length("question_text")), F.asc("question_text"))
 
 
 def cluster_texts(long: DataFrame, threshold: float = 85, column: str = "question_text", block: int = BLOCK) -> DataFrame:

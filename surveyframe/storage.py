@@ -1,10 +1,11 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage in the folder that all executors share, and numbering rows on top of it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,3 +14,16 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` with a column that numbers its rows from 1 in ``order``, without bringing them to one task.
+
+    The rows are sorted in ranges and written once; each range is numbered by itself, behind the rows of the ranges before it.
+    """
+    held = cut(df.orderBy(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = held.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return held.join(F.broadcast(offsets), "__range").withColumn(name, (F.col("__before") + nth).cast("long")).drop("__range", "__before")
