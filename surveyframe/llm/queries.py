@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -95,7 +96,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_MARKED = "|".join(re.escape(c[0]) + chat.MARK + "*" + re.escape(c[1:]) for c in sorted(chat.CONTROL, key=len, reverse=True))
+#: Characters that the template writes for each turn, besides role and text.
+_TURN_CHARS = len(chat.compile_template(chat.TEMPLATE)(messages=[{"role": "", "content": ""}])[0])
+
 ORACLES: dict[str, str] = {
+    "op1_chat_format": f"""
+        with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+          union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as turns,
+          coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '') as loss,
+          sum({_TURN_CHARS} + length(role) + length(text) + len(regexp_extract_all(role, '{_MARKED}')) + len(regexp_extract_all(text, '{_MARKED}')))::bigint as formatted_chars from c group by conv_id)
+        select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g
+    """,
+    "op8_decontamination": f"""
+        with dw as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+        bw as (select item_id::varchar as item, {_WORDS} as w from benchmark),
+        win as (select distinct item, array_to_string(w[i:i + 9], ' ') as g, len(w[i:i + 9]) as n from (select item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from bw where len(w) > 0)),
+        sizes as (select distinct n from win),
+        pos as (select r, i, n, array_to_string(w[i:i + n - 1], ' ') as g from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from dw cross join sizes where len(w) >= n)),
+        hits as (select pos.r, pos.i, pos.n, win.item from pos join win using (g, n)),
+        hw as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from hits) group by r),
+        hi as (select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from hits group by r)
+        select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from dw left join hw using (r) left join hi using (r)
+    """,
     "op6_exact_dedup": """
         with d as (select doc_id, coalesce(text, '') as t, row_number() over (partition by doc_id, coalesce(text, '')) as nth from documents),
         g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
