@@ -192,6 +192,11 @@ def question_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.question_changes(*_reports(spark, sf_dir, False))
 
 
+@query(f"with {_GIVEN}, {_VARIANTS} select 'CQ' || (cluster + 1) as canonical_id, canonical_text as Question, n_variants from pe join lab using (cluster) where drift_type = 'substantive' order by cluster limit 8")
+def substantive_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.substantive_clusters(report.question_changes(*_reports(spark, sf_dir, False)))
+
+
 _STATUS = "st as (select cluster, questionnaire, arg_min(case when not is_blank then 'answered' when conditional then 'blank (optional)' else 'blank (missing)' end, ord) as status from gf group by all)"
 
 
@@ -427,6 +432,34 @@ def dropdown_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.dropdown_cells(_ranges(spark, sf_dir).withColumn("max_row", F.col("max_row") + 2))
 
 
+@query(f"with gc as ({fixtures.GRID_CONV}) select file_name, sheet, greatest(1, coalesce(max(row) filter ({_strip('value')} <> ''), 1)) as last_row from gc group by all")
+def sheet_last_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.sheet_last_row(fixtures.grid_conv(spark, sf_dir))
+
+
+@query(f"with {_RANGES}, me as (select file_name, sheet, r.r::int as row, c.c::int as col, p_name as text, options from (select rg.*, p_name from rg join part on p_partkey = pos), range(min_row, max_row + 1) r(r), range(min_col, max_col + 1) c(c)) select file_name, sheet, row, col, text, case when row % 2 = 1 then trim(options, '\"') else null end as options from me")
+def effective_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of merged ranges shows its anchor's text; lists stand on odd rows here, even ones take no anchor's."""
+    ranges = _ranges(spark, sf_dir)
+    anchors = ranges.join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), "p_name"), "pos")
+    cells = anchors.select("file_name", "sheet", F.col("min_row").alias("row"), F.col("min_col").alias("col"), F.col("p_name").alias("value"))
+    odd = ranges.select("file_name", "sheet", F.explode(F.sequence("min_row", "max_row")).alias("min_row"), "min_col", "max_col", "options", "pos").where("min_row % 2 = 1").withColumn("max_row", F.col("min_row"))
+    out = grid.resolved_cells(cells, ranges, odd)
+    return out.select("file_name", "sheet", "row", "col", "text", F.when(F.col("row") % 2 == 1, F.col("options")).alias("options"))
+
+
+@query(f"with {_RANGES}, op as (select sheet, min_row as segment, r.r::int as sub, case when r.r = 0 then 'Stem' when r.r = 1 and pos % 7 = 0 then 'Extra' else '' end as prompt, case when r.r > 0 then 'Option ' || r.r else '' end as option_label, case when r.r > 0 and pos % 5 > 0 then case when (pos + r.r) % 2 = 0 then ' yes' else 'NO' end else '' end as side_answer from rg, range(0, (pos % 4 + 1)::bigint) r(r)), f as (select sheet, segment, count(*) > 1 and bool_and(sub = 0 or prompt = '') and bool_or(side_answer <> '') as fits from op group by all) select sheet, segment, 0 as sub, 'Stem' as prompt, '' as option_label, coalesce(string_agg(option_label, ' | ' order by sub) filter (side_answer = ' yes'), '') as answer, '' as side_answer from op join f using (sheet, segment) where fits group by all union all select sheet, segment, sub, prompt, option_label, '', side_answer from op join f using (sheet, segment) where not fits")
+def multi_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems with up to three options; some options have prompts, some stems no side answers, and those stay apart."""
+    rows = _ranges(spark, sf_dir).select("file_name", "sheet", F.col("min_row").alias("segment"), "pos", F.explode(F.sequence(F.lit(0), (F.col("pos") % 4).cast("int"))).alias("sub"))
+    option, key, empty = F.col("sub") > 0, F.col("pos"), F.lit("")
+    side = F.when(option & (key % 5 > 0), F.when((key + F.col("sub")) % 2 == 0, " yes").otherwise("NO")).otherwise("")
+    prompt = F.when(~option, "Stem").when((F.col("sub") == 1) & (key % 7 == 0), "Extra").otherwise("")
+    label = F.when(option, F.concat(F.lit("Option "), F.col("sub").cast("string"))).otherwise("")
+    subs = rows.select("file_name", "sheet", "segment", empty.alias("section"), F.lit("Q1").alias("question_id"), "sub", label.alias("option_label"), prompt.alias("prompt"), *[empty.alias(c) for c in ("hint", "answer", "answer_cell")], side.alias("side_answer"), empty.alias("side_answer_options"), empty.alias("side_answer_cell"), F.array(F.struct("sub")).alias("blocks"))
+    return grid.consolidate_multi_select(subs).select("sheet", "segment", "sub", "prompt", "option_label", "answer", "side_answer")
+
+
 # --- Streams, over tables.
 
 

@@ -181,7 +181,7 @@ def read_tables(files: DataFrame, columns: list[str], sheet: str | None = "quest
 
     found = _each(files, schema, rows)
     rank = found.select("file_name").distinct().withColumn("rank", F.expr("row_number() over (order by file_name) - 1"))
-    ordered = found.join(F.broadcast(rank), "file_name")
+    ordered = found.join(rank, "file_name")
     return ordered.select((F.col("rank").cast("long") * MAX_ROWS + F.col("row_no")).alias("ord"), F.col("file_name").alias("source_file"), *[F.col(f"c_{c}").alias(c) for c in columns])
 
 
