@@ -32,9 +32,12 @@ RARE = 200
 FEATURES = 400
 LEAST_ROWS = 5
 #: The chi-squared statistic that a feature must reach.
-LEAST_STATISTIC = 30
+LEAST_STATISTIC = 20
 FOLDS = 5
+#: Rows of a step; epochs, and steps that a small sample takes at least.
+BATCH = 64
 EPOCHS = 15
+STEPS = 1_000
 SEED = 42
 
 
@@ -87,10 +90,10 @@ def fit_linear(rows: list[set[bytes]], labels: np.ndarray, extra: np.ndarray, ca
     weight = np.zeros(x.shape[1])
     weight[-1] = np.log(rate / (1 - rate))
     squares, rng = np.full(x.shape[1], 1e-2), np.random.default_rng(SEED)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(rows)))):
         order = rng.permutation(len(rows))
-        for at in range(0, len(order), 64):
-            part = order[at : at + 64]
+        for at in range(0, len(order), BATCH):
+            part = order[at : at + BATCH]
             gradient = x[part].T @ ((_sigmoid(x[part] @ weight) - labels[part]) * each[part]) / len(part) + 1e-5 * weight
             squares += gradient**2
             weight -= 0.3 * gradient / np.sqrt(squares)
