@@ -13,6 +13,7 @@ import base64
 import hashlib
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -23,8 +24,11 @@ from .common import slices
 
 #: The usual pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries after which a worker's memo of pieces or pairs starts anew. It bounds memory and changes no result.
-MEMO = 400_000
+#: Pieces that a worker remembers within a task, and those that it keeps from task to task, the first that it met; pairs
+#: that it remembers. They bound memory and change no result.
+MEMO = 500_000
+KEPT = 100_000
+PAIRS = 300_000
 
 
 class Vocabulary:
@@ -36,17 +40,16 @@ class Vocabulary:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        #: The length of the longest token that ends in each byte.
-        self.reach = [max((len(t) for t in ends), default=0) for ends in self._by_last_byte()]
-        self.longest = max(self.reach)
+        self.longest = max(map(len, ranks))
+        self.sizes = {i: len(b) for b, i in ranks.items()}
+        #: Finds every token in a text of bytes, taken as characters: (end, (id, length)), longest first for each end.
+        self.automaton = ahocorasick.Automaton()
+        for token, i in ranks.items():
+            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+        self.automaton.make_automaton()
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
-
-    def _by_last_byte(self) -> list[list[bytes]]:
-        out: list[list[bytes]] = [[] for _ in range(256)]
-        for token in self.ranks:
-            out[token[-1]].append(token)
-        return out
+        self._wholes: dict[int, bool] = {}
 
     def merge(self, data: bytes, stop: int = 1) -> list[int]:
         """Merges the pair of lowest rank, the leftmost of equals, until none or only ``stop`` parts are left."""
@@ -76,14 +79,13 @@ class Vocabulary:
         """Whether merging the token's own bytes gives the token."""
         return len(self.bytes_of[token]) == 1 or self.halves(token) is not None
 
-    def follows(self, last: int, token: int) -> bool:
-        """Whether the two tokens may stand next to each other: merging their bytes gives just them."""
-        key = last << 32 | token
+    def follows(self, key: int) -> bool:
+        """Whether two tokens, first << 32 | second, may stand next to each other: merging their bytes gives just them."""
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= MEMO:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
-            known = self._pairs[key] = self._stay_apart(last, token)
+            known = self._pairs[key] = self._stay_apart(key >> 32, key & 0xFFFFFFFF)
         return known
 
     def _stay_apart(self, left: int, right: int) -> bool:
@@ -117,26 +119,35 @@ def load_ranks(path: str) -> Vocabulary:
 
 def extend(vocabulary: Vocabulary, data: bytes | bytearray, last: list[int]) -> None:
     """Adds to ``last`` the last tokens of the prefixes of ``data`` that it doesn't have yet."""
-    get, follows, whole, reach = vocabulary.ranks.get, vocabulary.follows, vocabulary.whole, vocabulary.reach
-    pairs = vocabulary._pairs
-    first = len(last) - vocabulary.longest
-    base = max(0, first)
-    data = bytes(data[base:])  # slices of bytes are keys as they are
-    for end in range(len(last) - base + 1, len(data) + 1):
-        start = end - reach[data[end - 1]]
-        for start in range(start if start > 0 else 0, end):
-            token = get(data[start:end])
-            if token is None:
-                continue
-            if start or base:
-                before = last[base + start - 1]
-                known = pairs.get(before << 32 | token)
-                if known or (known is None and follows(before, token)):
-                    last.append(token)
-                    break
-            elif whole(token):
-                last.append(token)
-                break
+    follows, pairs, wholes = vocabulary.follows, vocabulary._pairs, vocabulary._wholes
+    done = len(last)
+    base = max(0, done - vocabulary.longest)
+    for end, (token, size) in vocabulary.automaton.iter(data[base:].decode("latin-1")):
+        end += base
+        if end < done:
+            continue
+        if end >= size:
+            key = last[end - size] << 32 | token
+            fits = pairs.get(key)
+            if fits is None:
+                fits = follows(key)
+        else:
+            fits = wholes.get(token)
+            if fits is None:
+                fits = wholes[token] = vocabulary.whole(token)
+        if fits:
+            last.append(token)
+            done += 1
+
+
+def walk_back(vocabulary: Vocabulary, last: list[int], at: int) -> list[int]:
+    """The encoding of the prefix of ``at`` bytes, from its last token to its first."""
+    sizes, out = vocabulary.sizes, []
+    while at:
+        token = last[at - 1]
+        out.append(token)
+        at -= sizes[token]
+    return out[::-1]
 
 
 class Prefixes:
@@ -174,11 +185,7 @@ class Prefixes:
 
     def tokens(self, end: int | None = None) -> list[int]:
         """The encoding of the prefix of ``end`` bytes, of all by default."""
-        out, at = [], len(self.data) if end is None else end
-        while at:
-            out.append(self.last[at - 1])
-            at -= len(self.vocabulary.bytes_of[out[-1]])
-        return out[::-1]
+        return walk_back(self.vocabulary, self.last, len(self.data) if end is None else end)
 
 
 def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
@@ -187,12 +194,7 @@ def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
         return [vocabulary.ranks[piece]]
     last: list[int] = []
     extend(vocabulary, piece, last)
-    out, at = [], len(piece)
-    while at:
-        token = last[at - 1]
-        out.append(token)
-        at -= len(vocabulary.bytes_of[token])
-    return out[::-1]
+    return walk_back(vocabulary, last, len(piece))
 
 
 class Encoder:
@@ -201,8 +203,13 @@ class Encoder:
     def __init__(self, path: str, pattern: str = PATTERN):
         self.vocabulary = load_ranks(path)
         self.pieces = regex.compile(pattern).findall
+        self._kept: dict[str, bytes] = {}
         self._memo: dict[str, bytes] = {}
 
+    def rest(self) -> None:
+        """Lets go of all pieces but those that are kept, as between tasks."""
+        self._memo = dict(self._kept)
+
     def encode_buffer(self, text: str) -> bytes:
         """The ids as native 32-bit integers."""
         memo, found = self._memo, self.pieces(text)
@@ -210,10 +217,13 @@ class Encoder:
             return b"".join([memo[p] for p in found])
         except KeyError:
             if len(memo) > MEMO:
-                memo.clear()
+                self.rest()
+                memo = self._memo
             for p in found:
                 if p not in memo:
                     memo[p] = np.array(encode_piece(self.vocabulary, p.encode()), dtype=np.int32).tobytes()
+                    if len(self._kept) < KEPT:
+                        self._kept[p] = memo[p]
             return b"".join([memo[p] for p in found])
 
     def encode(self, text: str) -> list[int]:
@@ -232,16 +242,48 @@ def encoder(path: str, pattern: str = PATTERN) -> Encoder:
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
     """Rows (doc_id, ids array<int>), one for each row of ``docs``. A null or empty text has no ids."""
 
+    def make(enc, buffers):
+        return [_lists(buffers)]
+
+    return _encoded(docs, path, id_col, text_col, pattern, make, ["ids"], "ids array<int>")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN, with_ids: bool = True) -> DataFrame:
+    """Rows (doc_id, ids, n_tokens, ids_sha256, decoded_sha256): encodes each text, then decodes its ids, in one pass.
+
+    ``ids_sha256`` is of the decimal ids, joined by spaces. Without ``with_ids`` the ids stay where they were made.
+    """
+
+    def make(enc, buffers):
+        rows = []
+        digits = token_digits(path)
+        for b in buffers:
+            ids = np.frombuffer(b, dtype=np.int32).tolist()
+            rows.append((len(ids), hashlib.sha256(b" ".join(map(digits.__getitem__, ids))).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest()))
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+        return [_lists(buffers), *columns] if with_ids else columns
+
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _encoded(docs, path, id_col, text_col, pattern, make, ["ids"] * with_ids + names, "ids array<int>, " * with_ids + kinds)
+
+
+def _lists(buffers: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(b) // 4 for b in buffers)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(buffers), dtype=np.int32)))
+
+
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, pattern: str, make, names: list[str], kinds: str) -> DataFrame:
     def run(batches):
         enc = encoder(path, pattern)
+        enc.rest()
         for batch in slices(batches):
-            parts = [enc.encode_buffer(t or "") for t in batch.column("text").to_pylist()]
-            ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
-            values = pa.array(np.frombuffer(b"".join(parts), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "ids"])
+            buffers = [enc.encode_buffer(t or "") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *make(enc, buffers)], ["doc_id", *names])
+        enc.rest()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "doc_id long, ids array<int>")
+    return src.mapInArrow(run, f"doc_id long, {kinds}")
 
 
 def decode_documents(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

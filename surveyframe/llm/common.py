@@ -7,6 +7,7 @@ input neither clash nor cost anything. A null text counts as an empty one unless
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -87,6 +88,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def store(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The same rows, written as Parquet to the shared folder, and what removes them again. For rows with texts: they lie
+    there compressed and by column."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    return spark.read.parquet(path), remove
+
+
 def ordered_sum(value: Column, partition: list[Column], order: list[Column]) -> Column:
     """Sum of the rows before this one."""
     from pyspark.sql import Window

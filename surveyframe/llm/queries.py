@@ -73,8 +73,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, pattern=public_tokenizers.PATTERN)
-    return bpe.decode_documents(encoded, RANKS).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, pattern=public_tokenizers.PATTERN, with_ids=False)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_slices, spaced_words, texts_of
+from .common import cut, map_slices, spaced_words, store, texts_of
 from .graph import components
 
 SEED = 42
@@ -210,7 +210,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_col:
     prints = cut(held.join(held.groupBy("node").agg(F.sum("n").alias("weight")), "node").drop("n"))
     keyed = prints.select(F.xxhash64("sample", "fp").alias("key"), "sample", "node", "weight")
     text = docs.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
-    by_node = text.join(prints.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    by_node, remove = store(text.join(prints.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "candidates")
     found = None
     while True:
         shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "node")).alias("centre")).where("n > 1")
@@ -228,6 +228,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_col:
         failed = large.join(found, ["a", "b"], "left_anti").select("key", "sample", "node", "weight")
         later = prints.select("node", F.col("sample").alias("next"), "fp")
         keyed = failed.join(later, "node").where("next > sample").select(F.xxhash64("key", "next", "fp").alias("key"), F.col("next").alias("sample"), "node", "weight")
+    remove()
     return every.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found
 
 

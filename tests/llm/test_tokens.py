@@ -42,6 +42,9 @@ def test_encoding_against_library(spark):
     assert found == {i: lib.encode_ordinary(t or "") for i, t in rows} | {None: lib.encode_ordinary("null id")}
     back = {r.doc_id: bytes(r.decoded) for r in bpe.decode_documents(bpe.encode_documents(df, RANKS), RANKS).collect()}
     assert back == {i: (t or "").encode() for i, t in rows} | {None: b"null id"}
+    one, two = (d.select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256").collect() for d in (bpe.round_trip(df, RANKS), bpe.decode_documents(bpe.encode_documents(df, RANKS), RANKS)))
+    assert sorted(map(str, one)) == sorted(map(str, two))
+    assert "ids" not in bpe.round_trip(df, RANKS, with_ids=False).columns
     assert bpe.decode_documents(bpe.encode_documents(df.limit(0), RANKS), RANKS).count() == 0
 
 
