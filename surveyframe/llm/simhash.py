@@ -12,8 +12,8 @@ That finds the same links, with work in proportion to the fingerprints of the ke
 
 ``near_duplicates`` takes a similarity of shingle sets instead of a number of bits. Two texts with a Jaccard similarity of
 0.8 typically differ in ten of 64 bits, far beyond what an index of bits can find in a large corpus. It therefore takes
-several SimHash fingerprints of each text, each over the three shingles that are smallest in an order of its own: texts
-of similarity s agree in one with a probability of about s cubed, and agreeing fingerprints are joined and verified on the
+several SimHash fingerprints of each text, each over the five shingles that are smallest in an order of its own: texts
+of similarity s agree in one with a probability of about s to the fifth, and agreeing fingerprints are joined and verified on the
 shingle sets themselves.
 """
 
@@ -34,9 +34,9 @@ HOT = 8
 #: Shingles hashed and counted at a time.
 BLOCK = 1 << 15
 #: SimHash fingerprints of samples for each text, and the shingles of one sample. The chance to miss a pair of
-#: similarity s is (1 - s**3)**12: 0.0002 at 0.8.
-SAMPLES = 12
-SAMPLE = 3
+#: similarity s is (1 - s**5)**16: 0.002 at 0.8.
+SAMPLES = 16
+SAMPLE = 5
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -152,12 +152,15 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 
 def _samples(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """The SimHash of each sample: the bits set in two of its three shingles, in over half of fewer."""
+    """The SimHash of each sample: the bits set in three of its five shingles, in over half of fewer."""
     if len(hashes) <= SAMPLE:
         return np.full(len(factors), majority(hashes), dtype=np.uint64)
     order = _mixed(hashes[None, :] * factors[:, None])
-    a, b, c = hashes[np.argpartition(order, SAMPLE, axis=1)[:, :SAMPLE]].T
-    return (a & b) | (b & c) | (a & c)
+    a, b, c, d, e = hashes[np.argpartition(order, SAMPLE, axis=1)[:, :SAMPLE]].T
+    # Bitwise counts: a + b + c, then d and e on top; ``twos`` and ``more`` are carries.
+    one, twos = a ^ b ^ c, (a & b) | (b & c) | (a & c)
+    last, more = one ^ d ^ e, (one & d) | (d & e) | (one & e)
+    return (twos & more) | ((twos ^ more) & last)
 
 
 def sample_fingerprints(docs: DataFrame, width: int, samples: int = SAMPLES, text_col: str = "text") -> DataFrame:

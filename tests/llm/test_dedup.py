@@ -208,7 +208,10 @@ def test_samples_agree_by_similarity():
     b = np.unique(np.concatenate([a[:800], rnd.integers(0, 1 << 63, 100, dtype=np.uint64)]))
     similarity = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     same = (simhash._samples(a, factors) == simhash._samples(b, factors)).mean()
-    assert abs(same - similarity**3) < 0.06
+    assert abs(same - similarity**5) < 0.06
+    assert simhash._samples(a[:5], factors)[0] == simhash.majority(a[:5])
+    order = simhash._mixed(a * factors[7])
+    assert simhash._samples(a, factors)[7] == simhash.majority(a[np.argsort(order)[:5]])
 
 
 def test_hot_group_of_unlike_texts_ends(spark):
