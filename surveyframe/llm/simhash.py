@@ -14,11 +14,14 @@ That finds the same links, with work in proportion to the fingerprints of the ke
 0.8 typically differ in ten of 64 bits, far beyond what an index of bits can find in a large corpus. It therefore takes
 several SimHash fingerprints of each text, each over the five shingles that are smallest in an order of its own: texts
 of similarity s agree in one with a probability of about s to the fifth, and agreeing fingerprints are joined and verified on the
-shingle sets themselves.
+shingle sets themselves. That finds most links cheaply and leaves few components. What it misses is found by an exact join
+of the texts in different components on the prefixes of their shingle sets, rare shingles first.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,6 +40,12 @@ BLOCK = 1 << 15
 #: similarity s is (1 - s**5)**16: 0.002 at 0.8.
 SAMPLES = 16
 SAMPLE = 5
+#: Texts of whose shingles the frequencies are counted, and frequencies kept. They set the order of the exact join alone:
+#: any order gives the same links.
+COUNTED_TEXTS = 20_000
+COUNTED_SHINGLES = 1 << 18
+#: Rows of one key that meet all others of it in one task.
+CHUNK = 256
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -198,7 +207,17 @@ def _verified(pairs: DataFrame, by_node: DataFrame, width: int, similarity: floa
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """Rows (a, b) of text hashes whose shingle sets have at least that Jaccard similarity.
+    """Rows (a, b), a < b, of text hashes whose shingle sets have at least that Jaccard similarity: enough that their
+    components are those of all such pairs.
+
+    First come the links by samples, then those between texts that are still in different components.
+    """
+    found = _by_samples(docs, width, similarity, text_col, hot)
+    return found.unionByName(_across(docs, components(found), width, similarity, text_col)).distinct()
+
+
+def _by_samples(docs: DataFrame, width: int, similarity: float, text_col: str, hot: int) -> DataFrame:
+    """Most of the similar (a, b).
 
     Texts that share a sample's fingerprint are candidates. In a group of up to ``hot`` all pairs are verified. In a
     larger one each text is verified against the group's most central and linked through it: the text whose fingerprints
@@ -235,6 +254,69 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_col:
     return every.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found
 
 
+def _prefix(hashes: np.ndarray, similarity: float, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of the sorted, distinct hashes in the order (count, hash), so many that sets which are similar enough share
+    one of them: no more than n - similarity * n may be missing from the other set. A set without hashes has a 0."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, dtype=np.uint64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+        hashes = hashes[np.argsort(np.where(often[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a bounded number of texts hold, in ascending order, and how many of the texts."""
+    every = max(1, -(-texts.count() // COUNTED_TEXTS))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = [np.empty(0, dtype=np.uint64), *(np.unique(shingle_hashes(t, width)) for t in texts_of(batch))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["key"])
+
+    keys = map_slices(texts.where(F.pmod("node", F.lit(every)) == 0).select("text"), run, "key long")
+    table = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(COUNTED_SHINGLES).toArrow()
+    often, counts = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(often)
+    return often[order], counts[order]
+
+
+def _across(docs: DataFrame, known: DataFrame, width: int, similarity: float, text_col: str) -> DataFrame:
+    """All similar (a, b) of different components; ``known`` has the components (node, component) so far.
+
+    Similar sets share a shingle of their prefixes. A key whose texts are all in one component asks for no comparison. The
+    others are joined with themselves, those of many texts in chunks. A pair goes on if its components differ and as many
+    shingles can be common as it needs, by the places of the shared one: only so many come before it in both, or behind.
+    """
+    text = docs.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
+    often, counts = _frequent(text, width)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t, width)) for t in texts_of(batch)]
+        keys = [_prefix(s, similarity, often, counts) for s in sets]
+        sizes = [len(k) for k in keys]
+        at = np.repeat(np.arange(len(keys)), sizes)
+        places = np.concatenate([np.arange(k, dtype=np.int32) for k in [0, *sizes]])
+        columns = [pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *keys]).view(np.int64)), batch.column("node").take(pa.array(at)), pa.array(np.array([len(s) for s in sets], dtype=np.int32)[at]), pa.array(places)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "node", "size", "place"])
+
+    known = cut(known)
+    keyed = map_slices(text, run, "key long, node long, size int, place int").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    held = cut(keyed.join(mixed.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "key").distinct())
+    left = held.select("key", F.pmod("node", "chunks").cast("int").alias("chunk"), F.struct("node", "component", "size", "place").alias("x"))
+    right = held.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.struct("node", "component", "size", "place").alias("y"))
+    common = F.least("x.place", "y.place") + 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) - 1
+    enough = common + 1e-6 >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size"))
+    pairs = left.join(right, ["key", "chunk"]).where("x.node < y.node and x.component <> y.component").where(enough)
+    pairs = cut(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    by_node, remove = store(text.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "candidates")
+    good = cut(_verified(pairs, by_node, width, similarity))
+    remove()
+    return good
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its columns and, of each group of near-duplicates, only the text with the smallest id.
 

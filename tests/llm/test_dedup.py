@@ -218,3 +218,36 @@ def test_hot_group_of_unlike_texts_ends(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"{passage} tail{i} x{i} y{i} z{i} q{i} r{i} " + " ".join(f"u{i}_{j}" for j in range(40))) for i in range(60)]
     assert simhash.drop_near_duplicates(frame(spark, rows)).count() == 60
+
+
+def all_links(texts):
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    return {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+
+
+def least_of_each(n, links):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {i for i in range(n) if find(i) == i}
+
+
+def test_hot_groups_of_edited_copies_without_their_base(spark):
+    rnd, texts = random.Random(3), []
+    for g in range(2):
+        base = [f"b{g}_{i}" for i in range(100)]
+        for _ in range(300):
+            new = list(base)
+            for _ in range(rnd.choice([2, 3, 4])):
+                new[rnd.randrange(len(new))] = f"e{rnd.random()}"
+            texts.append(" ".join(new))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert kept == least_of_each(len(texts), all_links(texts))
