@@ -36,8 +36,9 @@ SEED = 42
 HOT = 8
 #: Shingles hashed and counted at a time.
 BLOCK = 1 << 15
-#: SimHash fingerprints of samples for each text, and the shingles of one sample. The chance to miss a pair of
-#: similarity s is (1 - s**5)**16: 0.002 at 0.8.
+#: SimHash fingerprints of samples for each text, and the shingles of one sample. Samples are drawn without replacement: with I
+#: shingles shared of U they all miss a pair with a chance of (1 - C(I, 5) / C(U, 5))**16, and texts of five shingles or fewer
+#: agree only if all shingles do. The exact join finds what they miss.
 SAMPLES = 16
 SAMPLE = 5
 #: Texts of whose shingles the frequencies are counted, and frequencies kept. They set the order of the exact join alone:

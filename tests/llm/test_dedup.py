@@ -251,3 +251,11 @@ def test_hot_groups_of_edited_copies_without_their_base(spark):
             texts.append(" ".join(new))
     kept = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
     assert kept == least_of_each(len(texts), all_links(texts))
+
+
+def test_short_texts_with_one_more_word(spark):
+    texts = [" ".join(f"s{i}_{j}" for j in range(8)) for i in range(60)]
+    longer = [f"{t} behind" if i % 2 else f"before {t}" for i, t in enumerate(texts)]
+    less = [" ".join(t.split()[:-1]) for t in texts[:20]]  # three shingles of four
+    rows = list(enumerate(texts + longer + less))
+    assert {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()} == set(range(60)) | set(range(120, 140))
