@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
@@ -132,6 +133,7 @@ class WordTokenizer:
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.width = 2 if max(size, (end_id or 0) + 1) <= 1 << 16 else 4
         self.end = b"" if end_id is None else self._bytes([end_id])
+        self._added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self._memo: dict[bytes, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -142,7 +144,8 @@ class WordTokenizer:
         if len(self._memo) > MEMO:
             self._memo.clear()
         memo, split = self._memo, [t.split() for t in data]
-        new = {w: _parts(w) for words in split for w in words if w not in memo}
+        added = [t for t in self._added if any(t in text.lower() for text in data)]
+        new = {w: _parts(w, added) for words in split for w in words if w not in memo}
         self._learn(list(dict.fromkeys(p for parts in new.values() for p in parts if p not in memo)))
         for word, parts in new.items():
             memo[word] = memo[parts[0]] if len(parts) == 1 else memo[parts[0]] + memo[parts[1]]
@@ -156,9 +159,19 @@ class WordTokenizer:
                 self._memo[part] = self._bytes(found.ids)
 
 
-def _parts(word: bytes) -> tuple[bytes, ...]:
-    """A word in lower case, punctuation behind a letter or digit by itself: the tokenizer's own pattern parts them."""
-    word = word.lower()
+def _composed(word: bytes) -> bool:
+    return unicodedata.is_normalized("NFC", word.decode())
+
+
+def _parts(word: bytes, added: list[bytes]) -> tuple[bytes, ...]:
+    """A word, punctuation behind a letter or digit by itself: the tokenizer's own pattern parts them.
+
+    In lower case, unless that could change its ids: capitals may compose otherwise with marks behind them before the
+    tokenizer lower-cases, and added tokens, those given, match the raw text.
+    """
+    lower = word.lower()
+    if lower != word and (word.isascii() or _composed(word) and _composed(lower)) and not (added and any(t in lower for t in added)):
+        word = lower
     core = word.rstrip(b".,;:!?)")
     if not core or len(core) == len(word):
         return (word,)

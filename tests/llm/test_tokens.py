@@ -133,3 +133,12 @@ def test_no_documents(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     tokenfile.write_token_files(df, str(tmp_path / "none"), lambda: tokenfile.word_tokenizer(WORD_BPE, 2))
     assert tokenfile.read_documents(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["<|ENDOFTEXT|>", "x <|EndOfText|>. <|STARTOFTEXT|>y", "A<|endoftext|>B", "J̌", "H̱x T̈ Áb.", "ÉTÉ, Straße! ABC.", "İİ KK"])
+def test_capitals_keep_their_ids(text):
+    from tokenizers import Tokenizer
+
+    enc, lib = tokenfile.WordTokenizer(WORD_BPE, None), Tokenizer.from_file(WORD_BPE)
+    (found,) = enc.encode_buffers([text.encode()])
+    assert found == enc._bytes(lib.encode(text, add_special_tokens=False).ids)
