@@ -173,22 +173,68 @@ def _samples(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return (twos & more) | ((twos ^ more) & last)
 
 
-def sample_fingerprints(docs: DataFrame, width: int, samples: int = SAMPLES, text_col: str = "text") -> DataFrame:
-    """Rows (node, sample, fp): ``node`` is the XXH64 of the text, ``fp`` the SimHash of one sample of its shingles."""
+def _prefix(hashes: np.ndarray, similarity: float, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of the sorted, distinct hashes in the order (count, hash), so many that sets which are similar enough share
+    one of them: no more than n - similarity * n may be missing from the other set. A set without hashes has a 0."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, dtype=np.uint64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+        hashes = hashes[np.argsort(np.where(often[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 256 classes, by their first byte, whether an odd number of the hashes fall into it: as four numbers. Each
+    hash that only one of two sets has flips one bit, so the sets differ in as many hashes as bits, or in more."""
+    odd = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a bounded number of texts hold, in ascending order, and how many of the texts."""
+    every = max(1, -(-texts.count() // COUNTED_TEXTS))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = [np.empty(0, dtype=np.uint64), *(np.unique(shingle_hashes(t, width)) for t in texts_of(batch))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["key"])
+
+    keys = map_slices(texts.where(F.pmod("node", F.lit(every)) == 0).select("text"), run, "key long")
+    table = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(COUNTED_SHINGLES).toArrow()
+    often, counts = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(often)
+    return often[order], counts[order]
+
+
+def _sketches(texts: DataFrame, width: int, similarity: float, samples: int) -> DataFrame:
+    """Of each row (node, text): node, size (distinct shingles), parities, prints (the SimHash of each sample) and keys (the
+    shingles of the prefix, in their order)."""
     factors = _orders(samples)
+    often, counts = _frequent(texts, width)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data = texts_of(batch)
-        nodes = np.array([xxhash.xxh64_intdigest(t, SEED) for t in data], dtype=np.uint64).view(np.int64)
-        prints = np.concatenate([_samples(np.unique(shingle_hashes(t, width)), factors) for t in data])
-        columns = [pa.array(np.repeat(nodes, samples)), pa.array(np.tile(np.arange(samples, dtype=np.int32), len(data))), pa.array(prints.view(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, ["node", "sample", "fp"])
+        sets = [np.unique(shingle_hashes(t, width)) for t in texts_of(batch)]
+        lists = [
+            pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *parts])))
+            for parts in ([_parities(s) for s in sets], [_samples(s, factors).view(np.int64) for s in sets], [_prefix(s, similarity, often, counts).view(np.int64) for s in sets])
+        ]
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int32()), *lists], ["node", "size", "parities", "prints", "keys"])
+
+    return map_slices(texts, run, "node long, size int, parities array<long>, prints array<long>, keys array<long>")
 
-    return map_slices(docs.select(F.col(text_col).alias("text")), run, "node long, sample int, fp long")
 
+def _nodes(docs: DataFrame, text_col: str) -> DataFrame:
+    """Rows (node, other, text): two hashes of the text, null as empty, and the text."""
+    text = F.coalesce(text_col, F.lit(""))
+    return docs.select(F.xxhash64(text).alias("node"), F.xxhash64(F.lit(SEED), text).alias("other"), text.alias("text"))
 
-def _verified(pairs: DataFrame, by_node: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those (a, b) whose shingle sets are similar enough. The texts are joined to their pairs."""
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those (a, b) whose shingle sets are similar enough. The texts are joined to their pairs; of different texts with one
+    node, if there ever are any, the one with the smallest other hash stands for it."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    by_node, remove = store(texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min_by("text", "other").alias("text")), "candidates")
     left = by_node.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = by_node.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -204,118 +250,71 @@ def _verified(pairs: DataFrame, by_node: DataFrame, width: int, similarity: floa
             keep.append(not union or common >= similarity * union - 1e-9)
         return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_slices(both, run, "a long, b long", "text_a")
+    good = cut(map_slices(both, run, "a long, b long", "text_a"))
+    remove()
+    return good
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Rows (a, b), a < b, of text hashes whose shingle sets have at least that Jaccard similarity: enough that their
     components are those of all such pairs.
 
-    First come the links by samples, then those between texts that are still in different components.
+    First come the links by samples, then, by an exact join, those between texts that are still in different components.
     """
-    found = _by_samples(docs, width, similarity, text_col, hot)
-    return found.unionByName(_across(docs, components(found), width, similarity, text_col)).distinct()
-
-
-def _by_samples(docs: DataFrame, width: int, similarity: float, text_col: str, hot: int) -> DataFrame:
-    """Most of the similar (a, b).
-
-    Texts that share a sample's fingerprint are candidates. In a group of up to ``hot`` all pairs are verified. In a
-    larger one each text is verified against the group's most central and linked through it: the text whose fingerprints
-    are shared most often, which the copies of one text all resemble even where they differ from each other. Those that
-    fail are grouped anew by a further, later sample. So a group of near copies costs as many comparisons as it has
-    members, and texts that share no more than a frequent passage fall apart into small groups. The rounds end with the
-    last sample.
-    """
-    every = cut(sample_fingerprints(docs, width, text_col=text_col).distinct())
-    sizes = every.groupBy("sample", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = every.join(sizes, ["sample", "fp"])
-    prints = cut(held.join(held.groupBy("node").agg(F.sum("n").alias("weight")), "node").drop("n"))
-    keyed = prints.select(F.xxhash64("sample", "fp").alias("key"), "sample", "node", "weight")
-    text = docs.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
-    by_node, remove = store(text.join(prints.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "candidates")
-    found = None
-    while True:
-        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "node")).alias("centre")).where("n > 1")
-        members = cut(keyed.join(shared.select("key", "n", F.col("centre.node").alias("centre")), "key"))
-        if members.isEmpty():
-            break
-        small = members.where(F.col("n") <= hot).select("key", "node")
-        pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
-        large = members.where((F.col("n") > hot) & (F.col("node") != F.col("centre"))).withColumns({"a": F.least("centre", "node"), "b": F.greatest("centre", "node")})
-        pairs = pairs.unionByName(large.select("a", "b")).distinct()
-        if found is not None:
-            pairs = pairs.join(found, ["a", "b"], "left_anti")
-        good = cut(_verified(pairs, by_node, width, similarity))
-        found = good if found is None else found.unionByName(good)
-        failed = large.join(found, ["a", "b"], "left_anti").select("key", "sample", "node", "weight")
-        later = prints.select("node", F.col("sample").alias("next"), "fp")
-        keyed = failed.join(later, "node").where("next > sample").select(F.xxhash64("key", "next", "fp").alias("key"), F.col("next").alias("sample"), "node", "weight")
+    texts = _nodes(docs, text_col)
+    sketches, remove = store(_sketches(texts.select("node", "text"), width, similarity, SAMPLES), "sketches")
+    found = _verified(_by_samples(sketches, hot), texts, width, similarity)
+    rest = _verified(_across(sketches, components(found), similarity), texts, width, similarity)
     remove()
-    return every.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found
-
+    return found.unionByName(rest).distinct()
 
-def _prefix(hashes: np.ndarray, similarity: float, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first of the sorted, distinct hashes in the order (count, hash), so many that sets which are similar enough share
-    one of them: no more than n - similarity * n may be missing from the other set. A set without hashes has a 0."""
-    n = len(hashes)
-    if not n:
-        return np.zeros(1, dtype=np.uint64)
-    if len(often):
-        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
-        hashes = hashes[np.argsort(np.where(often[at] == hashes, counts[at], 0), kind="stable")]
-    return hashes[: n - math.ceil(similarity * n - 1e-9) + 1]
 
+def _by_samples(sketches: DataFrame, hot: int) -> DataFrame:
+    """Pairs (a, b), a < b, that are likely similar: texts that share a sample's fingerprint.
 
-def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of a bounded number of texts hold, in ascending order, and how many of the texts."""
-    every = max(1, -(-texts.count() // COUNTED_TEXTS))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held = [np.empty(0, dtype=np.uint64), *(np.unique(shingle_hashes(t, width)) for t in texts_of(batch))]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["key"])
-
-    keys = map_slices(texts.where(F.pmod("node", F.lit(every)) == 0).select("text"), run, "key long")
-    table = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(COUNTED_SHINGLES).toArrow()
-    often, counts = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    order = np.argsort(often)
-    return often[order], counts[order]
+    In a group of up to ``hot`` all pairs are. In a larger one each text is paired with the most central: the one whose
+    fingerprints are shared most often, which the copies of one text all resemble even where they differ from each other. So
+    a group of near copies costs as many comparisons as it has members. What isn't linked so is left to the exact join.
+    """
+    every = sketches.select("node", F.posexplode("prints").alias("sample", "fp")).select("node", F.xxhash64("sample", "fp").alias("key")).distinct()
+    sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = cut(every.join(sizes, "key"))
+    weighted = held.join(held.groupBy("node").agg(F.sum("n").alias("weight")), "node")
+    centres = weighted.where(F.col("n") > hot).groupBy("key").agg(F.max(F.struct("weight", "node")).alias("centre")).select("key", F.col("centre.node").alias("centre"))
+    large = held.join(centres, "key").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).where("a < b")
+    small = held.where(F.col("n") <= hot)
+    pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    return cut(pairs.unionByName(large).distinct())
 
 
-def _across(docs: DataFrame, known: DataFrame, width: int, similarity: float, text_col: str) -> DataFrame:
-    """All similar (a, b) of different components; ``known`` has the components (node, component) so far.
+def _across(sketches: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that hold all similar ones; ``known`` has the components (node,
+    component) so far.
 
     Similar sets share a shingle of their prefixes. A key whose texts are all in one component asks for no comparison. The
-    others are joined with themselves, those of many texts in chunks. A pair goes on if its components differ and as many
-    shingles can be common as it needs, by the places of the shared one: only so many come before it in both, or behind.
+    others are joined with themselves, those of many texts in chunks. A pair is kept if the sets can be similar by what is
+    known without them: if this is the first shingle of the order that both have, only those behind it can be common, and
+    the sets differ in as many shingles as their parities differ in bits. A pair that has the shingle before as well
+    has been met there.
     """
-    text = docs.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
-    often, counts = _frequent(text, width)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingle_hashes(t, width)) for t in texts_of(batch)]
-        keys = [_prefix(s, similarity, often, counts) for s in sets]
-        sizes = [len(k) for k in keys]
-        at = np.repeat(np.arange(len(keys)), sizes)
-        places = np.concatenate([np.arange(k, dtype=np.int32) for k in [0, *sizes]])
-        columns = [pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *keys]).view(np.int64)), batch.column("node").take(pa.array(at)), pa.array(np.array([len(s) for s in sets], dtype=np.int32)[at]), pa.array(places)]
-        return pa.RecordBatch.from_arrays(columns, ["key", "node", "size", "place"])
-
-    known = cut(known)
-    keyed = map_slices(text, run, "key long, node long, size int, place int").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    held = cut(keyed.join(mixed.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "key").distinct())
-    left = held.select("key", F.pmod("node", "chunks").cast("int").alias("chunk"), F.struct("node", "component", "size", "place").alias("x"))
-    right = held.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.struct("node", "component", "size", "place").alias("y"))
-    common = F.least("x.place", "y.place") + 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) - 1
-    enough = common + 1e-6 >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size"))
-    pairs = left.join(right, ["key", "chunk"]).where("x.node < y.node and x.component <> y.component").where(enough)
-    pairs = cut(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    by_node, remove = store(text.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "candidates")
-    good = cut(_verified(pairs, by_node, width, similarity))
-    remove()
-    return good
+    before = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.when(i > 0, F.get("keys", i - 1)).alias("before")))
+    keyed = sketches.select("node", "size", F.posexplode(before).alias("place", "k")).select("k.key", "node", "size", "place", "k.before")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    parities = [F.get("parities", F.lit(i)).alias(f"p{i}") for i in range(4)]
+    more = sketches.select("node", *parities).distinct().join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = cut(keyed.join(shared, "key").distinct().join(more, "node"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    held = rows.join(mixed.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "key")
+    columns = ["node", "component", "size", "place", "before", *[f"p{i}" for i in range(4)]]
+    left = held.select("key", F.pmod("node", "chunks").cast("int").alias("chunk"), F.struct(*columns).alias("x"))
+    right = held.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.struct(*columns).alias("y"))
+    total = F.col("x.size") + F.col("y.size")
+    enough = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + 1e-6 >= similarity / (1 + similarity) * total
+    bits = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(1, 4)), F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))))
+    close = bits <= (1 - similarity) / (1 + similarity) * total + 1e-6
+    first = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
+    pairs = left.join(right, ["key", "chunk"]).where("x.node < y.node and x.component <> y.component").where(first & enough & close)
+    return cut(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,14 +322,16 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
 
     Rows of one and the same text stay or go together; removing copies is the exact dedup's work. Null is an empty text,
     and texts without words are similar to each other. A null id is larger than any other; of equal ids the smaller
-    text hash decides.
+    text hash decides. A row goes only if two hashes of its text agree, so no text goes for another's sake by collision.
     """
     edges = similar(docs, width, similarity, text_col)
     groups = cut(components(edges))
-    key = F.xxhash64(F.coalesce(text_col, F.lit("")))
-    ids = docs.select(key.alias("node"), F.col(id_col).cast("long").alias("id")).join(groups, "node")
-    order = F.struct(F.col("id").isNull(), "id", "node")
-    best = ids.groupBy("component").agg(F.min_by("node", order).alias("best"))
-    gone = cut(groups.join(best, "component").where("node <> best").select("node"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("node"))
-    return rows.join(gone, "node", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    keys = ["node", "other"]
+    text = F.coalesce(text_col, F.lit(""))
+    node, other = F.xxhash64(text).alias("node"), F.xxhash64(F.lit(SEED), text).alias("other")
+    ids = docs.select(node, other, F.col(id_col).cast("long").alias("id")).join(groups, "node")
+    of_node = cut(ids.groupBy("component", "node").agg(F.min("other").alias("other"), F.min(F.struct(F.col("id").isNull(), "id")).alias("id")))
+    best = of_node.groupBy("component").agg(F.min_by("node", F.struct("id", "node")).alias("best"))
+    gone = cut(of_node.join(best, "component").where("node <> best").select(*keys))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node, other)
+    return rows.join(gone, keys, "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

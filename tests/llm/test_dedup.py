@@ -259,3 +259,26 @@ def test_short_texts_with_one_more_word(spark):
     less = [" ".join(t.split()[:-1]) for t in texts[:20]]  # three shingles of four
     rows = list(enumerate(texts + longer + less))
     assert {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()} == set(range(60)) | set(range(120, 140))
+
+
+def test_hidden_pairs_in_a_group_that_shares_a_passage(spark):
+    rnd, passage, texts = random.Random(11), [f"p{i}" for i in range(40)], []
+    for k in range(80):
+        own = [f"o{k}_{i}" for i in range(60)]
+        other = list(own)
+        for _ in range(2):
+            other[rnd.randrange(60)] = f"z{rnd.random()}"
+        texts += [" ".join(own[:30] + passage + own[30:]), " ".join(other[:30] + passage + other[30:])]
+    links = all_links(texts)
+    assert len(links) > 60
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert kept == least_of_each(len(texts), links)
+
+
+def test_parities_never_claim_more_than_the_difference():
+    rnd = np.random.default_rng(7)
+    for _ in range(200):
+        a = np.unique(rnd.integers(0, 1 << 63, rnd.integers(0, 300), dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[rnd.random(len(a)) < rnd.random()], rnd.integers(0, 1 << 63, rnd.integers(0, 40), dtype=np.uint64)]))
+        bits = sum((int(x) ^ int(y) & (1 << 64) - 1).bit_count() for x, y in zip(simhash._parities(a).view(np.uint64), simhash._parities(b).view(np.uint64), strict=True))
+        assert bits <= len(np.setxor1d(a, b))
