@@ -13,25 +13,25 @@ from __future__ import annotations
 
 import os
 import struct
-import unicodedata
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ordered_sum, slices, texts_of
+from .common import cut, ordered_sum, slices
 
 #: Ids after which a file is closed; a longer document makes a file of its own.
 FILE_IDS = 4 << 20
 #: Ones between two select samples.
 STEP = 256
-#: Words that a worker remembers; then its memo starts anew. It bounds memory and changes no result.
-MEMO = 1_200_000
+#: Words that each of two generations of a worker's memo holds, besides those of one batch. It bounds memory and changes no result.
+MEMO = 600_000
 _HEAD = struct.Struct("<4sHHqqqqqqqq")
 _MAGIC = b"EFT1"
 
@@ -121,8 +121,9 @@ class WordTokenizer:
     """Encodes with the tokenizers library, a memo of words before it.
 
     For tokenizers that never join or look across ASCII white space, so that a text's ids are those of its words one
-    after the other, and that lower-case and set punctuation apart from letters. What isn't in the memo is encoded by the
-    library, all of a batch in one call.
+    after the other. Arrow splits a batch into words and numbers the distinct
+    ones, so that only these are looked up, and puts the ids of all words together. The memo has two generations: what
+    is met again moves to the younger, and when that is full the older is dropped.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -133,50 +134,57 @@ class WordTokenizer:
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.width = 2 if max(size, (end_id or 0) + 1) <= 1 << 16 else 4
         self.end = b"" if end_id is None else self._bytes([end_id])
-        self._added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self._memo: dict[bytes, bytes] = {}
+        self._added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        self._lowering = all(ids(t) == ids(t.lower()) for t in ("Ab", "AB1", "zQ.X"))
+        self._parting = all(ids(f"{t}{p}") == ids(t) + ids(p) for t in ("ab", "b1", "a-b") for p in (".", ",", ";", ":", "!", "?", ")", "?!."))
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
-
-    def encode_buffers(self, data: list[bytes]) -> list[bytes]:
-        """The ids of each text, ``width`` bytes each, with the end id."""
-        if len(self._memo) > MEMO:
-            self._memo.clear()
-        memo, split = self._memo, [t.split() for t in data]
-        added = [t for t in self._added if any(t in text.lower() for text in data)]
-        new = {w: _parts(w, added) for words in split for w in words if w not in memo}
-        self._learn(list(dict.fromkeys(p for parts in new.values() for p in parts if p not in memo)))
-        for word, parts in new.items():
-            memo[word] = memo[parts[0]] if len(parts) == 1 else memo[parts[0]] + memo[parts[1]]
-        return [b"".join([*map(memo.__getitem__, words), self.end]) for words in split]
-
-    def _learn(self, parts: list[bytes]) -> None:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def encode_buffers(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, ``width`` bytes each, with the end id; null is an empty text."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        coded = split.flatten().dictionary_encode()
+        known = self._known(coded.dictionary.to_pylist())
+        starts = np.cumsum([0, *map(len, known)])
+        sizes, at = np.diff(starts), coded.indices.to_numpy()
+        each = pa.LargeListArray.from_arrays(pa.array(starts // self.width), pa.array(np.frombuffer(b"".join(known), dtype=f"<u{self.width}")))
+        ids = memoryview(each.take(coded.indices).flatten().to_numpy()).cast("B") if len(at) else memoryview(b"")
+        ends = np.concatenate(([0], np.cumsum(sizes[at])))[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [bytes(ids[a:b]) + self.end for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        if len(self._young) > MEMO:
+            self._old, self._young = self._young, {}
+        known, young, old, new = list(map(self._young.get, words)), self._young, self._old, {}
+        for i in [i for i, ids in enumerate(known) if ids is None]:
+            if (ids := old.get(words[i])) is None:
+                new[i] = self._parts(words[i])
+            else:
+                known[i] = young[words[i]] = ids
+        self._learn(list(dict.fromkeys(p for parts in new.values() for p in parts if p not in young)))
+        for i, parts in new.items():
+            known[i] = young[words[i]] = young[parts[0]] if len(parts) == 1 else young[parts[0]] + young[parts[1]]
+        return known
+
+    def _learn(self, parts: list[str]) -> None:
         encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)  # the same ids without offsets
         for at in range(0, len(parts), 20_000):
             some = parts[at : at + 20_000]
-            for part, found in zip(some, encode([p.decode() for p in some], add_special_tokens=False), strict=True):
-                self._memo[part] = self._bytes(found.ids)
+            for part, found in zip(some, encode(some, add_special_tokens=False), strict=True):
+                self._young[part] = self._bytes(found.ids)
 
-
-def _composed(word: bytes) -> bool:
-    return unicodedata.is_normalized("NFC", word.decode())
-
-
-def _parts(word: bytes, added: list[bytes]) -> tuple[bytes, ...]:
-    """A word, punctuation behind a letter or digit by itself: the tokenizer's own pattern parts them.
-
-    In lower case, unless that could change its ids: capitals may compose otherwise with marks behind them before the
-    tokenizer lower-cases, and added tokens, those given, match the raw text.
-    """
-    lower = word.lower()
-    if lower != word and (word.isascii() or _composed(word) and _composed(lower)) and not (added and any(t in lower for t in added)):
-        word = lower
-    core = word.rstrip(b".,;:!?)")
-    if not core or len(core) == len(word):
-        return (word,)
-    last = core[-1:] if core[-1] < 128 else core[-4:]
-    return (core, word[len(core) :]) if last.decode("utf-8", "ignore").lower()[-1:].isalnum() else (word,)
+    def _parts(self, word: str) -> tuple[str, ...]:
+        """What the library is asked for. Punctuation behind an ASCII letter or digit stands by itself, and capitals of a
+        word in ASCII are small, if the tokenizer treats them so and no added token, which matches the raw text, comes of it."""
+        core = word.rstrip(".,;:!?)") if self._parting else word
+        parts = (core, word[len(core) :]) if core and core != word and core[-1].isascii() and core[-1].isalnum() else (word,)
+        if self._lowering and word.isascii() and not any(t in word.lower() for t in self._added):
+            return tuple(p.lower() for p in parts)
+        return parts if not any(t in word for t in self._added) else (word,)
 
 
 @lru_cache(maxsize=2)
@@ -197,7 +205,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: Callable[[], Word
         buffers: list[bytes] = []
         held = 0
         for batch in slices(batches):
-            for doc, data in zip(batch.column("doc_id").to_pylist(), enc.encode_buffers(texts_of(batch)), strict=True):
+            for doc, data in zip(batch.column("doc_id").to_pylist(), enc.encode_buffers(batch.column("text")), strict=True):
                 if held and held + len(data) > file_ids * enc.width:
                     yield pa.RecordBatch.from_arrays([pa.array([pack(ids, buffers, enc.width, part, number)], pa.binary())], ["data"])
                     ids, buffers, held, number = [], [], 0, number + 1

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -135,10 +136,23 @@ def test_no_documents(spark, tmp_path):
     assert tokenfile.read_documents(spark, str(tmp_path / "none")).count() == 0
 
 
-@pytest.mark.parametrize("text", ["<|ENDOFTEXT|>", "x <|EndOfText|>. <|STARTOFTEXT|>y", "A<|endoftext|>B", "J̌", "H̱x T̈ Áb.", "ÉTÉ, Straße! ABC.", "İİ KK"])
-def test_capitals_keep_their_ids(text):
+@pytest.mark.parametrize("text", ["<|ENDOFTEXT|>", "a <|EndOfText|> b", "x <|EndOfText|>. <|STARTOFTEXT|>y", "A<|endoftext|>B", "<|endoftext|>.", "J̌", "H̱x T̈ Áb.", "\u0958.", "ÉTÉ, Straße! ABC.", "İİ KK", "ΣΑΣ. Σ", "It's, IT'S.", "a\x1cb\x85c\xa0d", " ", ""])
+def test_words_keep_their_ids(text):
     from tokenizers import Tokenizer
 
     enc, lib = tokenfile.WordTokenizer(WORD_BPE, None), Tokenizer.from_file(WORD_BPE)
-    (found,) = enc.encode_buffers([text.encode()])
-    assert found == enc._bytes(lib.encode(text, add_special_tokens=False).ids)
+    found = enc.encode_buffers(pa.array([None, text, text]))
+    ids = enc._bytes(lib.encode(text, add_special_tokens=False).ids)
+    assert found == [b"", ids, ids]
+
+
+def test_random_texts_against_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenfile, "MEMO", 3000)
+    rnd = random.Random(5)
+    alphabet = [*"aAbZ19 .,;:!?)('-<|>\n\t", "<|endoftext|>", "<|EndOfText|>", "|>", "\u0301", "\u030c", "\u0331", "\u0958", "\u093c", "ß", "İ", "K", "Σ", "é", "É", "가", "\u11a8", "\x85", "\u2028", "日", "😀", "'s", "'LL"]
+    texts = ["".join(rnd.choices(alphabet, k=rnd.randrange(12))) for _ in range(30_000)]
+    enc, lib = tokenfile.WordTokenizer(WORD_BPE, 2), Tokenizer.from_file(WORD_BPE)
+    found = [x for at in range(0, len(texts), 5000) for x in enc.encode_buffers(pa.array(texts[at : at + 5000]))]
+    assert found == [enc._bytes([*e.ids, 2]) for e in lib.encode_batch(texts, add_special_tokens=False)]
