@@ -19,7 +19,7 @@ GRID_CONV = """
     SELECT 'conversations' AS file_name, CAST(conv_id AS STRING) AS sheet, CAST(turn + 1 AS INT) AS row, 12 AS col, concat('Q', CAST(turn + 1 AS STRING)) AS value, '00000000' AS fill_rgb, false AS bold, CAST(11 AS DOUBLE) AS font_size
     FROM conversations WHERE role = 'user'
     UNION ALL
-    SELECT 'conversations', CAST(conv_id AS STRING), CAST(turn + 1 AS INT), 14, CASE WHEN role = 'system' THEN upper(substr(text, 1, 20)) ELSE text END,
+    SELECT 'conversations', CAST(conv_id AS STRING), CAST(turn + 1 AS INT), 14, CASE WHEN role = 'system' THEN upper(replace(text, 'ß', 'ss')) ELSE text END,
       CASE WHEN role = 'assistant' THEN '00D9D9D9' ELSE '00000000' END, role = 'system', CAST(CASE WHEN role = 'system' THEN 14 ELSE 11 END AS DOUBLE)
     FROM conversations"""
 WINDOWS_CONV = "SELECT conv_id AS sheet, CAST(max(turn) + 1 AS INT) AS n_pages FROM conversations GROUP BY conv_id"

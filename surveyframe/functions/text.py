@@ -26,8 +26,8 @@ CONDITIONAL = [
 ]
 # Cell texts that a table reader takes for missing.
 NA_STRINGS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
-#: Leading numbering, as often as it repeats: "Q1.", "Question 3 -", "1.2", "a)".
-NUMBERING = f"^(?i)(?:{WS}*(?:q(?:uestion)?{WS}*[\\-.]?{WS}*)?\\p{{Nd}}+[).:\\-]?{WS}*|{WS}*[a-z][).:]{WS}*)+"
+#: Leading numbering, as often as it repeats: "Q1.", "Question 3 -", "1.2", "a)". Possessive, so that the match is a loop and needs no stack.
+NUMBERING = f"^(?i)(?:{WS}*(?:q(?:uestion)?{WS}*[\\-.]?{WS}*)?\\p{{Nd}}+[).:\\-]?{WS}*|{WS}*[a-z][).:]{WS}*)++"
 DIGIT_RUNS = r"(\p{Nd}+)"
 
 
@@ -59,12 +59,12 @@ def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 def casefold(x: Column | str) -> Column:
-    """Lower case for comparison. Plain ASCII takes the short way."""
-    low = F.lower(_c(x))
+    """Lower case for comparison. Only texts with one of the rarer characters take the long way."""
+    low = F.replace(F.lower(_c(x)), F.lit("ß"), F.lit("ss"))
     single, to, several = _fold_tables()
-    folded = F.translate(low, single, to)
-    folded = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), several, folded)
-    special = "[" + "".join(a for a, _ in several) + single + "]"
+    rare = [pair for pair in several if pair[0] != "ß"]
+    folded = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), rare, F.translate(low, single, to))
+    special = "[" + "".join(a for a, _ in rare) + single + "]"
     return F.when(low.rlike(special), folded).otherwise(low)
 
 
@@ -127,7 +127,7 @@ def is_conditional(x: Column | str, extra: list[str] | None = None) -> Column:
 
 def digit_runs(x: Column | str) -> Column:
     """All runs of digits as numbers, [10^9] without any: sorts Q2 before Q10. Longer runs than 18 digits come last."""
-    runs = F.transform(F.regexp_extract_all(F.coalesce(_c(x), F.lit("")), F.lit(DIGIT_RUNS), 1), lambda d: F.coalesce(F.expr("try_cast(0 as bigint)") + d.try_cast("bigint"), F.lit((1 << 63) - 1)))
+    runs = F.transform(F.regexp_extract_all(F.coalesce(_c(x), F.lit("")), F.lit(DIGIT_RUNS), 1), lambda d: F.coalesce(d.try_cast("bigint"), F.lit((1 << 63) - 1)))
     return F.when(F.size(runs) > 0, runs).otherwise(F.array(F.lit(10**9).cast("bigint")))
 
 

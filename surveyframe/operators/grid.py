@@ -197,7 +197,7 @@ def remarks(resolved: DataFrame) -> DataFrame:
 
 
 def slot_answers(cells: DataFrame, merges: DataFrame | None = None) -> DataFrame:
-    """sheet, question_id, answer: the filled texts of the band under the question id last met in scan order.
+    """file_name, sheet, question_id, answer: the filled texts of the band under the question id last met in scan order.
 
     Ids count in the order of cells, so a filled cell left of its row's id belongs to the question before.
     """
@@ -207,7 +207,7 @@ def slot_answers(cells: DataFrame, merges: DataFrame | None = None) -> DataFrame
     order = Window.partitionBy(*KEY).orderBy("row", "col")
     held = met.withColumn("question_id", F.last("qid", ignorenulls=True).over(order)).where(F.col("question_id").isNotNull() & F.col("qid").isNull() & is_slot(F.col("fill")) & (F.col("text") != ""))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "text"))), lambda x: x["text"]), "\n")
-    return held.groupBy("sheet", "question_id").agg(lines.alias("answer"))
+    return held.groupBy(*KEY, "question_id").agg(lines.alias("answer"))
 
 
 def nested_sheets(flat: DataFrame, notes: DataFrame, rows: DataFrame) -> DataFrame:

@@ -29,8 +29,15 @@ def completeness(question: Column, answer: Column) -> Column:
     return F.struct((a != "").cast("int").alias("answered"), (F.length(q) + F.length(a)).alias("size"))
 
 
-def dedupe_by_id(items: DataFrame, keys: tuple[str, ...] = ("sheet", "question_id")) -> DataFrame:
-    """Of the items of one question the most complete, the first to arrive of equals, with the pages of all of them."""
+def place_keys(df: DataFrame) -> list[str]:
+    """What tells where an item comes from: file_name, where there is one, and sheet."""
+    return [c for c in ("file_name", "sheet") if c in df.columns]
+
+
+def dedupe_by_id(items: DataFrame) -> DataFrame:
+    """Of the items of one question of a file and sheet the most complete, the first to arrive of equals, with the pages of
+    all of them."""
+    keys = [*place_keys(items), "question_id"]
     best = F.struct(completeness(F.col("question"), F.col("answer")).alias("c"), (-F.col("arrival")).alias("early"))
     kept = F.max_by(F.struct("question", "answer", "answer_source", "arrival"), best).alias("kept")
     pages = F.array_sort(F.array_distinct(F.flatten(F.collect_set("source_pages")))).alias("source_pages")
@@ -38,20 +45,21 @@ def dedupe_by_id(items: DataFrame, keys: tuple[str, ...] = ("sheet", "question_i
 
 
 def in_question_order(items: DataFrame) -> DataFrame:
-    """By sheet, then the numbers in the id, then the id."""
-    return items.orderBy("sheet", T.digit_runs("question_id"), "question_id")
+    """By file and sheet, then the numbers in the id, then the id."""
+    return items.orderBy(*place_keys(items), T.digit_runs("question_id"), "question_id")
 
 
 def reconcile(items: DataFrame, truth: DataFrame, slack: int = SLACK) -> DataFrame:
     """An answer that is a truncated form of the cell's own is replaced by it.
 
-    ``truth``: sheet, question_id, answer. Both are compared with white space collapsed and case folded; the cell's must
+    ``truth``: file_name (where the items have one), sheet, question_id, answer. Both are compared with white space collapsed and case folded; the cell's must
     begin with the item's and be longer by more than ``slack``. answer_source says which.
     """
-    known = truth.select("sheet", "question_id", F.col("answer").alias("truth"))
+    keys = [*place_keys(items), "question_id"]
+    known = truth.select(*keys, F.col("answer").alias("truth"))
     full, short = T.normalise("truth"), T.normalise("answer")
     cut = F.coalesce((short != "") & full.startswith(short) & (F.length(full) > F.length(short) + slack), F.lit(False))
-    rows = items.join(known, ["sheet", "question_id"], "left").withColumn("cut", cut)
+    rows = items.join(known, keys, "left").withColumn("cut", cut)
     return rows.withColumns({"answer": F.when(F.col("cut"), F.col("truth")).otherwise(F.col("answer")), "answer_source": F.when(F.col("cut"), "xlsx_reconciled").otherwise(F.col("answer_source"))}).select(items.columns)
 
 

@@ -75,14 +75,16 @@ def parse_files(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def extract_items(pages: DataFrame, make_extractor, window: int = 2, stride: int = 1, truth: DataFrame | None = None, attempts: int = extract.ATTEMPTS) -> DataFrame:
-    """Pages (sheet, page_no, png) to reconciled items, in question order; ``truth`` as for ``windows.reconcile``."""
+    """Pages (file_name, sheet, page_no, png) to reconciled items, in question order; ``truth`` as for ``windows.reconcile``.
+    Sheets of the same name in different files stay apart."""
     from pyspark.sql import functions as F
 
-    sheets = pages.groupBy("sheet").agg(F.max("page_no").alias("n_pages"))
-    spans = windows.page_windows(sheets, window, stride).select("sheet", "window_no", "pages")
-    cells = spans.select("sheet", "window_no", "pages", F.explode("pages").alias("page_no")).join(pages.select("sheet", "page_no", "png"), ["sheet", "page_no"])
-    images = cells.groupBy("sheet", "window_no", "pages").agg(F.array_sort(F.collect_list(F.struct("page_no", "png"))).alias("p"))
-    ready = images.select("sheet", "window_no", "pages", F.transform("p", lambda x: x["png"]).alias("images"))
+    keys = windows.place_keys(pages)
+    sheets = pages.groupBy(*keys).agg(F.max("page_no").alias("n_pages"))
+    spans = windows.page_windows(sheets, window, stride).select(*keys, "window_no", "pages")
+    cells = spans.select(*keys, "window_no", "pages", F.explode("pages").alias("page_no")).join(pages.select(*keys, "page_no", "png"), [*keys, "page_no"])
+    images = cells.groupBy(*keys, "window_no", "pages").agg(F.array_sort(F.collect_list(F.struct("page_no", "png"))).alias("p"))
+    ready = images.select(*keys, "window_no", "pages", F.transform("p", lambda x: x["png"]).alias("images"))
     items = extract.response_items(extract.extract_windows(ready, make_extractor, attempts))
     kept = windows.dedupe_by_id(items)
     return windows.in_question_order(kept if truth is None else windows.reconcile(kept, truth))

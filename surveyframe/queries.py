@@ -12,6 +12,7 @@ from .functions import similarity as S
 from .functions import text as T
 from .operators import cluster, compare, grid, longframe, report, windows
 from .sources import extract
+from .storage import numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,7 +57,7 @@ def _fold(x: str) -> str:
 
 
 def _norm(x: str) -> str:
-    numbering = T.NUMBERING.replace("^(?i)", "^")
+    numbering = T.NUMBERING.replace("^(?i)", "^").removesuffix("+")  # no possessive repetition there, and no need
     return f"""{_collapse(f"regexp_replace(regexp_replace({_fold(x)}, '{numbering}', ''), '[^\\p{{L}}\\p{{N}}_{T.WS_SET}]', ' ', 'g')")}"""
 
 
@@ -66,18 +67,19 @@ lg as (select ord, file_name || ' | ' || sheet as questionnaire, file_name, shee
   case when answer in ('', 'N/A') then '' else {_strip("answer")} end as answer from lp),
 long as (select *, answer = '' as is_blank, regexp_matches(question_text, '{_sql(T.conditional_pattern()[4:])}', 'i') as conditional, {_norm("question_text")} as norm from lg where question_text <> '')"""
 _GIVEN = f"""{_LONG},
-ids as (select norm, (row_number() over (order by norm) - 1)::int as cluster from (select distinct norm from long)),
-g as (select long.*, ids.cluster from long join ids using (norm)),
+ids as (select form, (row_number() over (order by form) - 1)::int as cluster from (select distinct split_part(norm, ' ', 1) as form from long)),
+g as (select long.*, ids.cluster from long join ids on form = split_part(norm, ' ', 1)),
 gf as (select * replace (file_name as questionnaire) from g),
 tx as (select cluster, question_text, count(*) as freq, min(ord) as first from g group by all),
 lab as (select cluster, arg_max(question_text, row(freq, (question_text = {_strip("question_text")} and not regexp_matches(question_text, '{_WS}{{2,}}'))::int, length(regexp_replace(question_text, '[^\\p{{Lu}}]', '', 'g')), length(question_text), -first)) as canonical_text from tx group by cluster)"""
 
 
 def given(spark: SparkSession, sf_dir: str, by_sheet: bool = True) -> DataFrame:
-    """The long frame with clusters of equal normal forms, so that reports are checked apart from clustering."""
-    long = fixtures.long_part(spark, sf_dir, by_sheet).withColumn("norm", T.norm_match("question_text"))
-    ids = long.select("norm").distinct().withColumn("cluster", F.expr("row_number() over (order by norm) - 1"))
-    return long.join(ids, "norm").drop("norm")
+    """The long frame with clusters of texts whose normal forms begin with the same word, so that reports are checked apart
+    from clustering. They drift in form and in substance."""
+    long = fixtures.long_part(spark, sf_dir, by_sheet).withColumn("form", F.substring_index(T.norm_match("question_text"), " ", 1))
+    ids = numbered(long.select("form").distinct(), "nth", F.col("form")).select("form", (F.col("nth") - 1).cast("int").alias("cluster"))
+    return long.join(ids, "form").drop("form")
 
 
 # --- Loading.
@@ -105,10 +107,9 @@ def questionnaire_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Texts.
 
 
-@query(f"""select doc_id, lower({_collapse("split_part(coalesce(text, ''), chr(10), 1)")}) as match_key, {_fold(_collapse("coalesce(text, '')"))} as normal, {_norm("split_part(coalesce(text, ''), chr(10), 1)")} as norm_match, {_strip("text")} = '' as blank from documents""")
+@query(f"""select doc_id, lower({_collapse("split_part(coalesce(text, ''), chr(10), 1)")}) as match_key, {_fold(_collapse("coalesce(text, '')"))} as normal, {_norm("coalesce(text, '')")} as norm_match, {_strip("text")} = '' as blank from documents""")
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = T.first_line(F.coalesce("text", F.lit("")))
-    return read(spark, sf_dir, "documents").select("doc_id", T.match_key("text").alias("match_key"), T.normalise("text").alias("normal"), T.norm_match(first).alias("norm_match"), T.is_blank("text").alias("blank"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.match_key("text").alias("match_key"), T.normalise("text").alias("normal"), T.norm_match("text").alias("norm_match"), T.is_blank("text").alias("blank"))
 
 
 @query(f"""select p_partkey, lower(p_type) in ('economy', 'n/a') or p_type = '' as blank, regexp_matches(t, '{_sql(T.conditional_pattern()[4:])}|(?:ring)', 'i') as conditional, t as shown from (select *, p_type || ' - ' || p_name || case when p_partkey % 3 = 0 then ' (if relevant)' when p_partkey % 3 = 1 then ' please specify only if so' else '' end as t from part)""")
@@ -401,17 +402,17 @@ def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.source_rows(_resolved(spark, sf_dir)).select("sheet", F.col("segment").cast("int").alias("segment"), "question_id", F.col("source_rows").cast("string").alias("source_rows"))
 
 
-@query(f"with {_GRID}, sc as (select *, last_value(case when regexp_matches(text, '^Q\\p{{Nd}}+$') then text end ignore nulls) over (partition by sheet order by row, col) as question_id from ce) select sheet, question_id, string_agg(text, chr(10) order by row, col) as answer from sc where question_id is not null and slot and text <> '' group by all")
+@query(f"with {_GRID}, sc as (select *, last_value(case when regexp_matches(text, '^Q\\p{{Nd}}+$') then text end ignore nulls) over (partition by sheet order by row, col) as question_id from ce) select 'conversations' as file_name, sheet, question_id, string_agg(text, chr(10) order by row, col) as answer from sc where question_id is not null and slot and text <> '' group by all")
 def slot_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.slot_answers(fixtures.grid_conv(spark, sf_dir))
 
 
-@query(f"with {_GRID} select sheet, chr(64 + (col - 26)::int) as letter, row, text as value from (select sheet, col + 30 as col, row, text from mt where col = 12) union all select sheet, 'A' || chr((col + 30 - 26 + 64)::int), row, text from mt where false")
+@query(f"with {_GRID} select sheet, 'A' || chr((col + 30 - 26 + 64)::int) as letters, row, text as value from mt where row % 2 = 1 and text <> ''")
 def remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid moved to the right, so that its question ids stand behind the band."""
-    moved = fixtures.grid_conv(spark, sf_dir).where("col = 12").withColumn("col", F.col("col") + 30)
+    """The grid with every other row moved to the right, behind the band."""
+    moved = fixtures.grid_conv(spark, sf_dir).withColumn("col", F.when(F.col("row") % 2 == 1, F.col("col") + 30).otherwise(F.col("col")))
     found = grid.remarks(grid.resolved_cells(moved))
-    return found.select("sheet", F.regexp_extract("cell", "^A([A-Z])", 1).alias("letter"), F.regexp_extract("cell", "([0-9]+)$", 1).cast("int").alias("row"), "value")
+    return found.select("sheet", F.regexp_extract("cell", "^([A-Z]+)", 1).alias("letters"), F.regexp_extract("cell", "([0-9]+)$", 1).cast("int").alias("row"), "value")
 
 
 _RANGES = "rg as (select 'f' as file_name, p_brand as sheet, (p_partkey * 4 + 1)::int as min_row, (p_partkey * 4 + 1 + p_size % 3)::int as max_row, 2::int as min_col, (2 + p_size % 5)::int as max_col, '\"' || p_type || ',' || p_name || '\"' as options, p_partkey as pos from part)"
@@ -437,15 +438,16 @@ def sheet_last_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.sheet_last_row(fixtures.grid_conv(spark, sf_dir))
 
 
-@query(f"with {_RANGES}, me as (select file_name, sheet, r.r::int as row, c.c::int as col, p_name as text, options from (select rg.*, p_name from rg join part on p_partkey = pos), range(min_row, max_row + 1) r(r), range(min_col, max_col + 1) c(c)) select file_name, sheet, row, col, text, case when row % 2 = 1 then trim(options, '\"') else null end as options from me")
+@query(f"with {_RANGES}, me as (select file_name, sheet, r.r::int as row, c.c::int as col, p_name as text, options, pos from (select rg.*, p_name from rg join part on p_partkey = pos), range(min_row, max_row + 1) r(r), range(min_col, max_col + 1) c(c)) select file_name, sheet, row, col, text, case when pos % 3 > 0 then trim(options, '\"') end as options from me")
 def effective_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cell of merged ranges shows its anchor's text; lists stand on odd rows here, even ones take no anchor's."""
+    """Every cell of merged ranges shows its anchor's text. Lists stand on the odd rows of two ranges of three, the anchor's
+    among them; the even rows show the anchor's."""
     ranges = _ranges(spark, sf_dir)
     anchors = ranges.join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), "p_name"), "pos")
     cells = anchors.select("file_name", "sheet", F.col("min_row").alias("row"), F.col("min_col").alias("col"), F.col("p_name").alias("value"))
-    odd = ranges.select("file_name", "sheet", F.explode(F.sequence("min_row", "max_row")).alias("min_row"), "min_col", "max_col", "options", "pos").where("min_row % 2 = 1").withColumn("max_row", F.col("min_row"))
+    odd = ranges.select("file_name", "sheet", F.explode(F.sequence("min_row", "max_row")).alias("min_row"), "min_col", "max_col", "options", "pos").where("min_row % 2 = 1 and pos % 3 > 0").withColumn("max_row", F.col("min_row"))
     out = grid.resolved_cells(cells, ranges, odd)
-    return out.select("file_name", "sheet", "row", "col", "text", F.when(F.col("row") % 2 == 1, F.col("options")).alias("options"))
+    return out.select("file_name", "sheet", "row", "col", "text", "options")
 
 
 @query(f"with {_RANGES}, op as (select sheet, min_row as segment, r.r::int as sub, case when r.r = 0 then 'Stem' when r.r = 1 and pos % 7 = 0 then 'Extra' else '' end as prompt, case when r.r > 0 then 'Option ' || r.r else '' end as option_label, case when r.r > 0 and pos % 5 > 0 then case when (pos + r.r) % 2 = 0 then ' yes' else 'NO' end else '' end as side_answer from rg, range(0, (pos % 4 + 1)::bigint) r(r)), f as (select sheet, segment, count(*) > 1 and bool_and(sub = 0 or prompt = '') and bool_or(side_answer <> '') as fits from op group by all) select sheet, segment, 0 as sub, 'Stem' as prompt, '' as option_label, coalesce(string_agg(option_label, ' | ' order by sub) filter (side_answer = ' yes'), '') as answer, '' as side_answer from op join f using (sheet, segment) where fits group by all union all select sheet, segment, sub, prompt, option_label, '', side_answer from op join f using (sheet, segment) where not fits")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.windows import place_keys
 
 ATTEMPTS, BASE_DELAY = 4, 2.0
 ITEMS = "array<struct<question_id:string,question:string,answer:string>>"
@@ -85,7 +86,8 @@ def image_url(png: str = "png"):
 
 
 def extract_windows(windows: DataFrame, make_extractor: Callable[[], Extractor], attempts: int = ATTEMPTS, base_delay: float = BASE_DELAY) -> DataFrame:
-    """sheet, window_no, pages, response, error, of rows (sheet, window_no, pages, images array<binary>). A window that fails
+    """sheet, window_no, pages, response, error, of rows (sheet, window_no, pages, images array<binary>), with file_name if
+    they have one. A window that fails
     every attempt has an error and no response; the others go on."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,19 +100,21 @@ def extract_windows(windows: DataFrame, make_extractor: Callable[[], Extractor],
                 except Exception as e:
                     out.append((None, str(e)))
             frame["response"], frame["error"] = [o[0] for o in out], [o[1] for o in out]
-            yield frame[["sheet", "window_no", "pages", "response", "error"]]
+            yield frame[[*keys, "window_no", "pages", "response", "error"]]
 
-    kind = windows.schema["sheet"].dataType.simpleString()
-    return windows.select("sheet", "window_no", "pages", "images").mapInPandas(run, f"sheet {kind}, window_no int, pages array<int>, response string, error string")
+    keys = place_keys(windows)
+    kinds = "".join(f"{k} {windows.schema[k].dataType.simpleString()}, " for k in keys)
+    return windows.select(*keys, "window_no", "pages", "images").mapInPandas(run, f"{kinds}window_no int, pages array<int>, response string, error string")
 
 
 def response_items(responses: DataFrame) -> DataFrame:
-    """sheet, question_id, question, answer, source_pages, answer_source, arrival of the items in the responses; texts are
+    """file_name if there is one, sheet, question_id, question, answer, source_pages, answer_source, arrival of the items in the responses; texts are
     stripped, items without an id dropped. arrival orders by window, then place in the response."""
-    items = responses.where("response is not null").select("sheet", "window_no", "pages", F.posexplode(F.from_json("response", ITEMS)).alias("place", "item"))
+    keys = place_keys(responses)
+    items = responses.where("response is not null").select(*keys, "window_no", "pages", F.posexplode(F.from_json("response", ITEMS)).alias("place", "item"))
     clean = {c: F.coalesce(T.strip(F.col(f"item.{c}")), F.lit("")) for c in ("question_id", "question", "answer")}
     rows = items.withColumns(clean).where("question_id <> ''")
-    return rows.select("sheet", "question_id", "question", "answer", F.col("pages").alias("source_pages"), F.lit("llm").alias("answer_source"), (F.col("window_no").cast("long") * (1 << 20) + F.col("place")).alias("arrival"))
+    return rows.select(*keys, "question_id", "question", "answer", F.col("pages").alias("source_pages"), F.lit("llm").alias("answer_source"), (F.col("window_no").cast("long") * (1 << 20) + F.col("place")).alias("arrival"))
 
 
 def stub_extractor(images: list[bytes], pages: list[int]) -> str:

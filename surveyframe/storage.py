@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the folder in spark.checkpoint.dir. Only where it is unset, as in tests, a local one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """The same rows, written to the folder in spark.checkpoint.dir."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a session without executors of its
+    own, as in tests, gets a local one; a cluster has to name one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[[^,]*(,\s*\d+)?\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """``df`` with a column that numbers its rows from 1 in ``order``, without bringing them to one task.
 

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from surveyframe import fixtures, plans
-from surveyframe.operators import windows
+from surveyframe.operators import grid, windows
 from surveyframe.sources import extract, xlsx
 
 
@@ -88,6 +88,16 @@ def test_extract_items(spark):
     assert [(r.question_id, r.answer, r.source_pages, r.answer_source) for r in rows] == [("Q2", "A long  answer that goes on", [1, 2, 3], "xlsx_reconciled"), ("Q10", "", [1, 2], "llm")]
 
 
+def test_files_with_the_same_sheet_and_id_stay_apart(spark, tmp_path):
+    image = lambda answer: json.dumps([{"question_id": "Q1", "question": "Name", "answer": answer}]).encode()
+    pages = spark.createDataFrame([("a.xlsx", "Sheet1", 1, image("from a")), ("b.xlsx", "Sheet1", 1, image("from b"))], "file_name string, sheet string, page_no int, png binary")
+    cells = [(f, "Sheet1", r, c, v, rgb, "rgb") for f, full in (("a.xlsx", "from a and more"), ("b.xlsx", "from b and so on")) for r, c, v, rgb in ((1, 12, "Q1", None), (1, 14, "Name", None), (2, 14, full, "00D9D9D9"))]
+    truth = grid.slot_answers(spark.createDataFrame(cells, "file_name string, sheet string, row int, col int, value string, fill_rgb string, fill_type string"))
+    items = plans.extract_items(pages, lambda: extract.stub_extractor, truth=truth)
+    assert [(r.file_name, r.answer) for r in items.collect()] == [("a.xlsx", "from a and more"), ("b.xlsx", "from b and so on")]
+    assert [(r.file_name, len(json.loads(r.json)["questions"])) for r in windows.nested_items(items).orderBy("file_name").collect()] == [("a.xlsx", 1), ("b.xlsx", 1)]
+
+
 @pytest.mark.parametrize(("n", "w", "s", "expected"), [(0, 2, 1, []), (1, 2, 1, [[1]]), (2, 2, 1, [[1, 2]]), (5, 2, 1, [[1, 2], [2, 3], [3, 4], [4, 5]]), (5, 2, 3, [[1, 2], [4, 5]]), (6, 2, 3, [[1, 2], [4, 5], [5, 6]]), (7, 3, 2, [[1, 2, 3], [3, 4, 5], [5, 6, 7]])])
 def test_windows(spark, n, w, s, expected):
     found = windows.page_windows(spark.createDataFrame([("s", n)], "sheet string, n_pages int"), w, s)
