@@ -5,8 +5,10 @@ each node. The language has text, ``{{ expression }}``, ``{% for x in list %}``,
 ``{% set name = expression %}``, ``{% generation %}`` ... ``{% endgeneration %}`` and ``{# comments #}``; a minus inside a
 tag strips white space on that side. Expressions have strings, integers, true, false, none, names, ``a.b`` and ``a[b]`` on
 dictionaries, lists and strings alone, ``+ - * // %``, ``~``, comparisons, ``in``, and/or/not, the tests ``is defined``
-and ``is none``, and the filters in ``FILTERS``. There are no calls and no attributes of Python objects, and output and
-loop rounds are bounded, so a template reaches nothing but what it is given.
+and ``is none``, and the filters in ``FILTERS``. There are no calls and no attributes of Python objects, so a template
+reaches nothing but what it is given. The output and every text or list that an expression makes are bounded by
+``max_chars``, numbers by 64 bits, and loop rounds by ``max_rounds`` if that is given; a loop goes over given lists, so it
+ends in any case. Whatever a template does wrong raises a TemplateError.
 
 Rendering gives the text and the spans, in code points, that generation blocks wrote.
 """
@@ -34,7 +36,8 @@ TEMPLATE = (
     "{% if message.role == 'assistant' %}{% generation %}{{ message.content | escape }}{% endgeneration %}"
     "{% else %}{{ message.content | escape }}{% endif %}<|im_end|>\n{% endfor %}"
 )
-MAX_ROUNDS = 1_000_000
+#: Characters that an expression's text may have while constants are folded.
+FOLD_CHARS = 1 << 20
 
 
 class TemplateError(ValueError):
@@ -87,7 +90,7 @@ UNDEFINED = Undefined()
 FILTERS: dict[str, Callable] = {
     "escape": lambda x: ESCAPE.do(_text(x)), "trim": lambda x: _text(x).strip(), "upper": lambda x: _text(x).upper(), "lower": lambda x: _text(x).lower(),
     "length": lambda x: len(x) if isinstance(x, str | list | dict) else 0, "default": lambda x, y="": y if x is None or isinstance(x, Undefined) else x,
-    "replace": lambda x, a, b: _text(x).replace(a, b), "join": lambda x, sep="": _text(sep).join(map(_text, x)), "first": lambda x: x[0] if x else UNDEFINED, "last": lambda x: x[-1] if x else UNDEFINED,
+    "replace": lambda x, a, b: _replace(_text(x), a, b), "join": lambda x, sep="": _text(sep).join(map(_text, x)), "first": lambda x: x[0] if x else UNDEFINED, "last": lambda x: x[-1] if x else UNDEFINED,
 }
 _COMPARE = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "in": lambda a, b: a in b}
 _TIMES = {"*": operator.mul, "//": operator.floordiv, "%": operator.mod}
@@ -96,6 +99,29 @@ _TOKEN = re.compile(r"\s*(?:(\d+)|('(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")|([A-Z
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
 
+def _replace(text: str, a: str, b: str) -> str:
+    if len(text) + text.count(a) * (len(b) - len(a)) > max(len(text), 1 << 30):
+        raise TemplateError("a text is too long")
+    return text.replace(a, b)
+
+
+def _call(fn: Callable, args: tuple, limit: int):
+    """What an operator or filter gives, held to the sandbox's bounds."""
+    if fn in (operator.add, operator.mul) and sum(len(a) for a in args if isinstance(a, str | list)) > limit:
+        raise TemplateError("a text or list is too long")
+    try:
+        value = fn(*args)
+    except TemplateError:
+        raise
+    except (TypeError, ValueError, ArithmeticError, LookupError, AttributeError) as e:
+        raise TemplateError(str(e)) from e
+    if isinstance(value, str | list) and len(value) > limit:
+        raise TemplateError("a text or list is too long")
+    if isinstance(value, int) and value.bit_length() > 64:
+        raise TemplateError("a number is too large")
+    return value
+
+
 def _text(x) -> str:
     return "" if x is None else x if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x)
 
@@ -256,7 +282,7 @@ def fold(node: tuple) -> tuple:
     kind = node[0]
     if kind == "call":
         args = tuple(map(fold, node[2]))
-        return ("const", node[1](*(a[1] for a in args))) if all(a[0] == "const" for a in args) else ("call", node[1], args)
+        return ("const", _call(node[1], tuple(a[1] for a in args), FOLD_CHARS)) if all(a[0] == "const" for a in args) else ("call", node[1], args)
     if kind in ("or", "and"):
         left, right = fold(node[1]), fold(node[2])
         if left[0] == "const":
@@ -354,7 +380,8 @@ def parse(source: str) -> list[tuple]:
 
 
 class _Output:
-    def __init__(self, limit: int):
+    def __init__(self, limit: int, max_rounds: int | None):
+        self.max_rounds = max_rounds
         self.parts: list[str] = []
         self.length = self.rounds = 0
         self.spans: list[tuple[int, int]] = []
@@ -367,31 +394,29 @@ class _Output:
             raise TemplateError("the output is too long")
 
 
-def _value(node: tuple) -> Callable[[dict], object]:
+def _value(node: tuple, limit: int) -> Callable[[dict], object]:
     kind = node[0]
     if kind == "const":
         return lambda names, v=node[1]: v
     if kind == "name":
         return lambda names, n=node[1]: names.get(n, UNDEFINED)
     if kind == "get":
-        value, key = _value(node[1]), _value(node[2])
+        value, key = _value(node[1], limit), _value(node[2], limit)
         return lambda names: _get(value(names), key(names))
     if kind == "call":
-        fn, args = node[1], [_value(a) for a in node[2]]
-        if len(args) == 1:
-            return lambda names, a=args[0]: fn(a(names))
-        return lambda names: fn(*(a(names) for a in args))
+        fn, args = node[1], [_value(a, limit) for a in node[2]]
+        return lambda names: _call(fn, tuple(a(names) for a in args), limit)
     if kind == "not":
-        return lambda names, a=_value(node[1]): not a(names)
+        return lambda names, a=_value(node[1], limit): not a(names)
     if kind == "is":
-        inner = _value(node[2])
+        inner = _value(node[2], limit)
         return (lambda names: inner(names) is None) if node[1] == "none" else (lambda names: inner(names) is not UNDEFINED)
-    left, right = _value(node[1]), _value(node[2])
+    left, right = _value(node[1], limit), _value(node[2], limit)
     return (lambda names: left(names) or right(names)) if kind == "or" else (lambda names: left(names) and right(names))
 
 
-def _writer(body: list[tuple]) -> Callable[[dict, _Output], None]:
-    steps = [_step(node) for node in body]
+def _writer(body: list[tuple], limit: int) -> Callable[[dict, _Output], None]:
+    steps = [_step(node, limit) for node in body]
     if len(steps) == 1:
         return steps[0]
 
@@ -402,16 +427,16 @@ def _writer(body: list[tuple]) -> Callable[[dict, _Output], None]:
     return run
 
 
-def _step(node: tuple) -> Callable[[dict, _Output], None]:
+def _step(node: tuple, limit: int) -> Callable[[dict, _Output], None]:
     kind = node[0]
     if kind == "text":
         return lambda names, out, t=node[1]: out.write(t)
     if kind == "out":
-        return lambda names, out, v=_value(node[1]): out.write(_text(v(names)))
+        return lambda names, out, v=_value(node[1], limit): out.write(_text(v(names)))
     if kind == "set":
-        return lambda names, out, n=node[1], v=_value(node[2]): names.__setitem__(n, v(names))
+        return lambda names, out, n=node[1], v=_value(node[2], limit): names.__setitem__(n, v(names))
     if kind == "gen":
-        inner = _writer(node[1])
+        inner = _writer(node[1], limit)
 
         def gen(names: dict, out: _Output) -> None:
             start = out.length
@@ -420,7 +445,7 @@ def _step(node: tuple) -> Callable[[dict, _Output], None]:
 
         return gen
     if kind == "if":
-        branches = [(_value(test), _writer(body)) for test, body in node[1]]
+        branches = [(_value(test, limit), _writer(body, limit)) for test, body in node[1]]
 
         def choose(names: dict, out: _Output) -> None:
             for test, body in branches:
@@ -428,13 +453,13 @@ def _step(node: tuple) -> Callable[[dict, _Output], None]:
                     return body(names, out)
 
         return choose
-    name, items, body = node[1], _value(node[2]), _writer(node[3])
+    name, items, body = node[1], _value(node[2], limit), _writer(node[3], limit)
 
     def loop(names: dict, out: _Output) -> None:
         found = items(names)
         found = found if isinstance(found, list) else []
         out.rounds += len(found)
-        if out.rounds > MAX_ROUNDS:
+        if out.max_rounds is not None and out.rounds > out.max_rounds:
             raise TemplateError("too many rounds")
         for i, item in enumerate(found):
             body(names | {name: item, "loop": {"index": i + 1, "index0": i, "first": i == 0, "last": i == len(found) - 1, "length": len(found)}}, out)
@@ -443,12 +468,12 @@ def _step(node: tuple) -> Callable[[dict, _Output], None]:
 
 
 @lru_cache(maxsize=32)
-def compile_template(source: str, max_chars: int = 1 << 30) -> Callable[..., tuple[str, list[tuple[int, int]]]]:
+def compile_template(source: str, max_chars: int = 1 << 30, max_rounds: int | None = None) -> Callable[..., tuple[str, list[tuple[int, int]]]]:
     """A function of the template's names that returns (text, generation spans)."""
-    write = _writer(parse(source)) if source else lambda names, out: None
+    write = _writer(parse(source), max_chars) if source else lambda names, out: None
 
     def render(**names) -> tuple[str, list[tuple[int, int]]]:
-        out = _Output(max_chars)
+        out = _Output(max_chars, max_rounds)
         write(names, out)
         return "".join(out.parts), out.spans
 

@@ -6,6 +6,7 @@ input neither clash nor cost anything. A null text counts as an empty one unless
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -45,14 +46,14 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], name: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches, cut where the texts reach SLICE_BYTES."""
+def slices(batches: Iterable[pa.RecordBatch], name: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where the texts reach ``size`` bytes."""
     for batch in batches:
         start = held = 0
         lengths = pc.binary_length(batch.column(name)).to_pylist()
         for i, n in enumerate(lengths):
             held += n or 0
-            if held >= SLICE_BYTES:
+            if held >= size:
                 yield batch.slice(start, i + 1 - start)
                 start, held = i + 1, 0
         if start < batch.num_rows:
@@ -75,10 +76,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Only where it is unset, as in tests, a local one."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a session without executors of its
+    own, as in tests, gets a local one; a cluster has to name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[[^,]*(,\s*\d+)?\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 

@@ -6,7 +6,7 @@ how far the earlier predictions can be trusted.
 
 A text's features are its words and, for inflected or compounded insults, the first ``PREFIX`` bytes of its longer words:
 that one begins so, two or more do, and at least one in ``RARE`` does. A category's model weighs the features that tell
-most by a chi-squared test over all training rows.
+most by a chi-squared test over its own training rows: those of the other folds, while out-of-fold log-odds are made.
 
 Training takes a bounded sample of labelled rows: at most ``max_rows``, the smallest by a seeded hash of the id, of texts
 of at most ``max_bytes``. Only their counts and selected features reach the driver. The prediction runs over whole texts.
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, folded_words, map_slices, texts_of
@@ -100,30 +100,41 @@ def fit_linear(rows: list[set[bytes]], labels: np.ndarray, extra: np.ndarray, ca
     return Link(category, {w: float(weight[i]) for w, i in vocabulary.items()}, float(weight[-1]), [float(w) / 4 for w in weight[k : k + n_extra]])
 
 
-def fit_chain(rows: list[set[bytes]], labels: dict[str, np.ndarray], folds: np.ndarray, chosen: dict[str, list[bytes]]) -> tuple[list[Link], np.ndarray]:
-    """The chain, and the out-of-fold log-odds of its links. ``folds`` has 0 to FOLDS - 1 for each row."""
+def fit_chain(rows: list[set[bytes]], labels: dict[str, np.ndarray], folds: np.ndarray, chosen: dict[str, list[list[bytes]]]) -> tuple[list[Link], np.ndarray]:
+    """The chain, and the out-of-fold log-odds of its links. ``folds`` has 0 to FOLDS - 1 for each row; ``chosen`` a
+    category's features for the model without each fold, then for that of all rows."""
     chain, extra = [], np.zeros((len(rows), 0))
     for category, y in labels.items():
-        chain.append(fit_linear(rows, y, extra, category, chosen[category]))
+        chain.append(fit_linear(rows, y, extra, category, chosen[category][FOLDS]))
         out = np.zeros(len(rows))
         for fold in range(FOLDS):
             inside, outside = np.flatnonzero(folds == fold), np.flatnonzero(folds != fold)
-            model = fit_linear([rows[i] for i in outside], y[outside], extra[outside], category, chosen[category])
+            model = fit_linear([rows[i] for i in outside], y[outside], extra[outside], category, chosen[category][fold])
             for i in inside:
                 out[i] = model.log_odds(rows[i], list(extra[i]))
         extra = np.column_stack([extra, out])
     return chain, extra
 
 
-def _telling(counts: DataFrame, y: str, n: int, n1: int) -> list[bytes]:
-    """The features with the largest chi-squared statistic, ties by the feature."""
-    if not 0 < n1 < n:
-        return []
-    held, a = F.col("n").cast("double"), F.col(y).cast("double")
-    off = a * (n - n1 - held + a) - (held - a) * (n1 - a)
-    scored = counts.where(F.col("n") >= LEAST_ROWS).select("feature", (n * off * off / F.greatest(held * (n - held) * float(n1) * float(n - n1), F.lit(1.0))).alias("statistic"))
-    top = scored.where(F.col("statistic") >= LEAST_STATISTIC).orderBy(F.desc("statistic"), "feature").limit(FEATURES)
-    return [bytes(r.feature) for r in top.collect()]
+def _telling(counts: DataFrame, totals: dict[tuple[str, int], tuple[int, int]]) -> dict[tuple[str, int], list[bytes]]:
+    """For each (label column, fold) of ``totals`` the features with the largest chi-squared statistic over the rows without
+    that fold (FOLDS: over all rows), ties by the feature. ``totals``: how many rows those are, and how many have the label."""
+
+    def statistic(y: str, fold: int, n: int, n1: int) -> Column:
+        without = lambda c: (F.col(f"{c}_all") - (F.col(f"{c}_{fold}") if fold < FOLDS else 0)).cast("double")
+        held, a = without("n"), without(y)
+        off = a * (n - n1 - held + a) - (held - a) * (n1 - a)
+        value = n * off * off / F.greatest(held * (n - held) * float(n1) * float(n - n1), F.lit(1.0))
+        return F.struct(F.lit(y).alias("y"), F.lit(fold).alias("fold"), F.when(held >= LEAST_ROWS, value).alias("statistic"))
+
+    asked = [statistic(y, fold, n, n1) for (y, fold), (n, n1) in totals.items() if 0 < n1 < n]
+    found: dict[tuple[str, int], list[bytes]] = {key: [] for key in totals}
+    if asked:
+        scored = counts.where(F.col("n_all") >= LEAST_ROWS).select("feature", F.explode(F.array(*asked)).alias("s")).select("feature", "s.*").where(F.col("statistic") >= LEAST_STATISTIC)
+        order = Window.partitionBy("y", "fold").orderBy(F.desc("statistic"), "feature")
+        for r in scored.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= FEATURES).orderBy("nth").collect():  # FEATURES of each at most
+            found[r.y, r.fold].append(bytes(r.feature))
+    return found
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -156,10 +167,15 @@ def training_data(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
     """What ``fit_chain`` takes."""
     sample = cut(training_rows(docs, labels, categories, **options))
     ys = {name: f"y{i}" for i, name in enumerate(categories)}
-    totals = sample.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in ys.values()]).first()
-    counts = cut(sample.select(F.explode("features").alias("feature"), *ys.values()).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys.values()]))
-    chosen = {name: _telling(counts, y, totals.n, totals[y]) for name, y in ys.items()}
-    every = sorted(set().union(*chosen.values()))
+    fold = F.pmod("order", F.lit(FOLDS))
+    sums = [F.count(F.lit(1)).alias("n_all"), *[F.sum(y).alias(f"{y}_all") for y in ys.values()]]
+    sums += [x for k in range(FOLDS) for x in (F.count_if(fold == k).alias(f"n_{k}"), *[F.sum(F.when(fold == k, F.col(y)).otherwise(0)).alias(f"{y}_{k}") for y in ys.values()])]
+    all_rows = sample.agg(*sums).first().asDict()
+    without = lambda c, k: (all_rows[f"{c}_all"] or 0) - ((all_rows[f"{c}_{k}"] or 0) if k < FOLDS else 0)
+    counts = cut(sample.select(F.explode("features").alias("feature"), "order", *ys.values()).groupBy("feature").agg(*sums))
+    telling = _telling(counts, {(y, k): (without("n", k), without(y, k)) for y in ys.values() for k in range(FOLDS + 1)})
+    chosen = {name: [telling[y, k] for k in range(FOLDS + 1)] for name, y in ys.items()}
+    every = sorted(set().union(*telling.values()))
     held = F.array_intersect("features", F.array(*[F.lit(bytearray(w)) for w in every]).cast("array<binary>"))
     rows = sample.select("doc_id", "order", *ys.values(), held.alias("features")).toArrow().sort_by([("order", "ascending"), ("doc_id", "ascending")])
     y = {name: rows[c].to_numpy().astype(float) for name, c in ys.items()}
@@ -195,7 +211,11 @@ def predict(docs: DataFrame, chain: list[Link], id_col: str = "doc_id", text_col
 
 
 def drop_toxic(docs: DataFrame, chain: list[Link], category: str = "toxic", threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` with its columns, without the rows whose probability of the category reaches the threshold."""
+    """``docs`` with its columns, without the rows whose probability of the category reaches the threshold, ties included.
+
+    A null text counts as an empty one, and its probability is that of no features. Repeated rows stay or go together, a null
+    id plays no part, and no rows give no rows.
+    """
     at = [link.category for link in chain].index(category)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

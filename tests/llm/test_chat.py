@@ -69,3 +69,22 @@ def test_tables(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("source", ["{{ 1 // 0 }}", "{{ n // 0 }}", "{{ 'a' < 1 }}", "{{ 1 in 2 }}", "{{ -'a' }}", "{{ 5 | first }}", "{{ x | default(1, 2) }}", "{{ n + 'a' }}", "{{ 'a' | replace('b') }}"])
+def test_errors_of_a_template_are_its_own(source):
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template(source)(n=3)
+
+
+@pytest.mark.parametrize("body", ["{% set a = a ~ a %}", "{% set a = a + a %}", "{% set a = a | replace('x', a) %}", "{% set n = n * n %}", "{% set l = l + l %}"])
+def test_nothing_grows_beyond_its_bound(body):
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template(body * 22, 1000)(a="xxxx", n=12345, l=[1])
+
+
+def test_many_rounds():
+    source = "{% for x in items %}{{ x }}{% endfor %}"
+    assert chat.compile_template(source)(items=["y"] * 1_000_001)[0] == "y" * 1_000_001
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template(source, max_rounds=3)(items=["y"] * 4)

@@ -196,10 +196,25 @@ def test_out_of_fold(spark):
     chain, odds = toxicity.fit_chain(rows, y, folds, chosen)
     first = y["low_quality"]
     inside = folds == 2
-    alone = toxicity.fit_linear([r for r, i in zip(rows, inside, strict=True) if not i], first[~inside], np.zeros(((~inside).sum(), 0)), "low_quality", chosen["low_quality"])
+    alone = toxicity.fit_linear([r for r, i in zip(rows, inside, strict=True) if not i], first[~inside], np.zeros(((~inside).sum(), 0)), "low_quality", chosen["low_quality"][2])
     assert [alone.log_odds(r, []) for r, i in zip(rows, inside, strict=True) if i] == odds[inside, 0].tolist()
     assert chain[1].earlier[0] != 0
 
+    # The features of each model, by the rows that it may see.
+    held = [(set(map(bytes, r.features)), (r.y0, r.y1), r.order % toxicity.FOLDS) for r in toxicity.training_rows(docs, labels, categories()).collect()]
+    for k, name in enumerate(y):
+        for fold in (2, toxicity.FOLDS):
+            seen = [(f, ys[k]) for f, ys, own in held if own != fold]
+            n, n1 = len(seen), sum(v for _, v in seen)
+            statistics = []
+            for w in set().union(*(f for f, _ in seen)):
+                have = sum(w in f for f, _ in seen)
+                a = sum(v for f, v in seen if w in f)
+                off = a * (n - n1 - have + a) - (have - a) * (n1 - a)
+                if have >= toxicity.LEAST_ROWS and (x := n * off * off / max(have * (n - have) * n1 * (n - n1), 1)) >= toxicity.LEAST_STATISTIC:
+                    statistics.append((x, w))
+            assert set(chosen[name][fold]) == {w for _, w in sorted(statistics, key=lambda p: (-p[0], p[1]))[: toxicity.FEATURES]}
+
 
 def test_no_labels(spark):
     docs, labels = toxic_tables(spark, 20)
