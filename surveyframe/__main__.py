@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import json
 import sys
+from datetime import date
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import plans
+from .operators import grid, windows
+from .sources import extract, xlsx
+from .storage import cut
 
+
+# The flags, their choices and defaults.
 def _arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="surveyframe")
     runs = parser.add_subparsers(dest="run", required=True)
@@ -46,37 +55,64 @@ def _made(name: str):
 
 
 def main(argv: list[str] | None = None) -> int:
-    from . import plans
-    from .operators import grid, windows
-    from .sources import extract, xlsx
-
     a = _arguments().parse_args(argv)
     spark = SparkSession.builder.appName(f"surveyframe {a.run}").getOrCreate()
+    target = (a.input if a.run in ("compare", "analyse") else a.target).rstrip("/")
+    folder = xlsx.is_folder(spark, target)
+    if folder is None:
+        print(f"{target} is not there", file=sys.stderr)
+        return 1
+    parent, _, last = target.rpartition("/")
+    stem = last if folder else last.rpartition(".")[0] or last
+    dated = lambda kind="": f"{stem}{kind}_{date.today().isoformat()}" if folder else stem
+    if a.run in ("parse", "extract"):
+        files = xlsx.list_files(spark, target, "parse" if a.run == "parse" else "pages")
+        if files.isEmpty():
+            print(f"no workbooks in {target}", file=sys.stderr)
+            return 1
     if a.run == "parse":
-        tables = plans.parse_files(spark, a.target)
+        tables = plans.parse_files(spark, target)
+        _write_json(tables["json"], a.output)
         if a.debug:
-            tables["row_kinds"] = grid.row_kinds(tables["cells"])
-        tables.pop("cells")
-        for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{a.output}/{name}")
-        xlsx.write_workbook({"questions": tables["sub_questions"].select(*grid.PARSED_COLUMNS)}, f"{a.output}/questions.xlsx")
+            grid.row_kinds(tables["cells"]).write.mode("overwrite").parquet(f"{a.output}/row_kinds")
+        xlsx.write_workbook({"questions": tables["sub_questions"].withColumn("file_name", _stem()).select(*grid.PARSED_COLUMNS)}, f"{a.output}/{dated()}.xlsx")
     elif a.run == "extract":
-        files = xlsx.list_files(spark, a.target, "pages")
-        pages = extract.render_pages(files, _made(a.renderer), a.dpi)
+        pages = cut(extract.render_pages(files, _made(a.renderer), a.dpi))
+        for r in pages.where("error is not null").toLocalIterator():
+            print(f"{r.file_name}: {r.error}", file=sys.stderr)
+        done = pages.where("png is not null")
+        if done.isEmpty():
+            print("no file gave a page", file=sys.stderr)
+            return 2
         if a.keep_pngs:
             extract.write_pages(pages, f"{a.output_dir}/pages")
-        truth = grid.slot_answers(xlsx.read_cells(files.where("file_name not like '%.pdf'")))
-        items = plans.extract_items(pages.where("png is not null"), _made(a.extractor), a.window, a.stride, truth, a.max_attempts)
-        xlsx.write_workbook({"questions": windows.flat_items(items)}, f"{a.output_dir}/questions.xlsx")
+        truth = grid.slot_answers(xlsx.read_cells(files.where(~F.lower("file_name").endswith(".pdf")), skip_broken=True))
+        items = cut(plans.extract_items(done, _made(a.extractor), a.window, a.stride, truth, a.max_attempts))
+        named = windows.in_question_order(items.withColumn("file_name", _stem()))
+        empty = done.select(_stem().alias("file_name")).distinct().join(named.select("file_name").distinct(), "file_name", "left_anti")
+        nothing = empty.select("file_name", F.to_json(F.struct("file_name", F.array().alias("questions"))).alias("json"))
+        _write_json(windows.nested_items(named).unionByName(nothing), a.output_dir)
+        xlsx.write_workbook({"questions": windows.flat_items(named)}, f"{a.output_dir}/{dated('_pdf')}.xlsx")
     elif a.run == "compare":
-        plans.compare_files(spark, a.input, a.output or f"{a.input}/questionnaire_comparison.xlsx", a.threshold)
+        plans.compare_files(spark, a.input, a.output or f"{target if folder else parent or '.'}/questionnaire_comparison.xlsx", a.threshold)
     else:
         blank = [x.strip() for x in a.treat_as_blank.split(",") if x.strip()]
-        output = a.output or f"{a.input.removesuffix('.xlsx').rstrip('/')}_analysis.xlsx"
+        output = a.output or f"{target if folder else parent or '.'}/{stem}_analysis.xlsx"
         tables = plans.analyse_files(spark, a.input, output, a.threshold, a.id_by == "file+sheet", blank, a.conditional_regex)
         print("\n".join(plans.digest(tables)))
     return 0
 
 
+def _stem() -> Column:
+    """The file's name without its last ending."""
+    return F.regexp_replace("file_name", r"(?<=.)\.[^.]*$", "")
+
+
+def _write_json(files: DataFrame, folder: str) -> None:
+    """A file for each row (file_name, json), one at a time."""
+    for r in files.withColumn("file_name", _stem()).toLocalIterator():
+        xlsx.write_bytes(files.sparkSession, f"{folder}/{r.file_name}.json", json.dumps(json.loads(r.json), indent=2, ensure_ascii=False).encode())
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
@@ -65,7 +65,7 @@ def greedy_edges(items: DataFrame, columns: list[str], score, threshold: float,
 
 def _numbered(seeds: DataFrame, threshold: float) -> DataFrame:
     """seed_ord to cluster, from 0 in processing order. Seeds are few: as many as clusters."""
-    return seeds.select("seed_ord", (F.row_number().over(Window.orderBy("seed_ord")) - 1).cast("int").alias("cluster"))
+    return numbered(seeds.select("seed_ord"), "nth", F.col("seed_ord")).select("seed_ord", (F.col("nth") - 1).cast("int").alias("cluster"))
 
 
 def _best(candidates: DataFrame) -> DataFrame:

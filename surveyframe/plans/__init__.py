@@ -43,16 +43,26 @@ def analyse_files(spark: SparkSession, path: str, output: str | None = None, thr
 
 def digest(tables: dict[str, DataFrame]) -> list[str]:
     """The report in a few lines: answers missing, the lowest rates, changed wordings and gaps."""
+    from pyspark.sql import functions as F
+
     out = ["Missing answers"]
     for r in tables["questionnaire_missing"].toLocalIterator():
         rate = "n/a" if r.required_answer_rate is None else f"{r.required_answer_rate:.0%}"
         out.append(f"  {r.questionnaire}: {r.n_answered} of {r.n_questions} ({r.answer_rate:.0%}), required missing {r.n_required_missing} (rate {rate})")
     out.append("Lowest answer rates")
-    out += [f"  {r.canonical_id} {r.answer_rate:.0%}{' [conditional]' if r.is_conditional else ''}: {r.canonical_text[:70]}" for r in report.low_rates(tables["question_answer_rate"]).collect()]
-    out.append("Changed wordings")
-    out += [f"  {r.canonical_id}, {r.n_variants} wordings: {r.Question[:80]}" for r in report.substantive_clusters(tables["question_changes"]).collect()]
-    out.append("Gaps")
-    out += [f"  {r.canonical_id} in {r.present_count}, missing from {r.missing_from[:60]}: {r.canonical_text[:50]}" for r in report.top_gaps(tables["question_presence"]).collect()]
+    out += [f"  {r.canonical_id} {r.answer_rate:.0%} ({r.answered} of {r.instances}){' [conditional]' if r.is_conditional else ''}: {r.canonical_text[:70]}" for r in report.low_rates(tables["question_answer_rate"]).collect()]
+    changes = tables["question_changes"]
+    drift = {r.drift_type: r.n for r in changes.groupBy("drift_type").agg(F.count_distinct("canonical_id").alias("n")).collect()}
+    out.append(f"Changed wordings: {drift.get('substantive', 0)} in substance, {drift.get('formatting only', 0)} in form only")
+    shown = report.substantive_clusters(changes).collect()
+    of_shown: dict[str, list] = {r.canonical_id: [] for r in shown}
+    for r in changes.where(F.col("canonical_id").isin(list(of_shown))).toLocalIterator():
+        of_shown[r.canonical_id].append(f"    {r.used_by_count} times: {r.variant_text[:80]}")
+    for r in shown:
+        out += [f"  {r.canonical_id}, {r.n_variants} wordings: {r.Question[:80]}", *of_shown[r.canonical_id]]
+    total = tables["questionnaire_missing"].count()
+    out.append(f"Gaps: {tables['question_presence'].count()} questions are not in every questionnaire")
+    out += [f"  {r.canonical_id} in {r.present_count} of {total}, missing from {r.missing_from[:60]}: {r.canonical_text[:50]}" for r in report.top_gaps(tables["question_presence"]).collect()]
     return out
 
 

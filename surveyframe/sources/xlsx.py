@@ -9,6 +9,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -17,10 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import column_number
+from ..storage import numbered
 
 # Name spaces and content types of the file format.
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+# The built-in number formats of dates and times.
+DATE_FORMATS = {*range(14, 23), *range(45, 48)}
 #: Rows that a sheet can hold.
 MAX_ROWS = 1_048_576
 CELL_SCHEMA = "file_name string, sheet string, sheet_pos int, row int, col int, value string, fill_rgb string, fill_type string, bold boolean, italic boolean, font_size double"
@@ -45,6 +49,12 @@ def _on(node, tag: str) -> bool:
     return found is not None and found.get("val", "1") not in ("0", "false")
 
 
+def is_date_format(code: str) -> bool:
+    """Whether a number format shows a date or a time: it has y, m, d, h or s outside quotes, escapes and colours."""
+    first = code.split(";")[0]
+    return bool(re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", first), re.I)) and first.lower() != "general"
+
+
 class Workbook:
     """The cells, merged ranges and list validations of a workbook's sheets. Formulas give their cached values."""
 
@@ -52,10 +62,12 @@ class Workbook:
         self.zip = zipfile.ZipFile(io.BytesIO(data))
         names = set(self.zip.namelist())
         self.strings = ["".join(t.text or "" for t in si.iter(_MAIN + "t")) for si in self._xml("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
+        self.dates: set[int] = set()
         self.styles = self._styles() if "xl/styles.xml" in names else []
         targets = {r.get("Id"): r.get("Target") for r in self._xml("xl/_rels/workbook.xml.rels")}
-        self.sheets = []
-        for s in self._xml("xl/workbook.xml").iter(_MAIN + "sheet"):
+        self.sheets, book = [], self._xml("xl/workbook.xml")
+        self.epoch = datetime(1904, 1, 1) if any(p.get("date1904") in ("1", "true") for p in book.iter(_MAIN + "workbookPr")) else datetime(1899, 12, 30)
+        for s in book.iter(_MAIN + "sheet"):
             target = targets[s.get(_REL + "id")]
             if "worksheets/" in target:
                 self.sheets.append((s.get("name"), target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
@@ -74,7 +86,10 @@ class Workbook:
             colour = f.find(f"{_MAIN}patternFill/{_MAIN}fgColor")
             kind = None if colour is None else next((k for k in ("rgb", "theme", "indexed") if colour.get(k)), None)
             fills.append((colour.get("rgb") if kind == "rgb" else None, kind))
+        own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter(_MAIN + "numFmt")}
         xfs = root.find(_MAIN + "cellXfs")
+        formats = [int(x.get("numFmtId", 0)) for x in (xfs if xfs is not None else [])]
+        self.dates = {i for i, f in enumerate(formats) if (is_date_format(own[f]) if f in own else f in DATE_FORMATS)}
         pick = lambda rows, i, default: rows[i] if i < len(rows) else default
         return [(*pick(fills, int(x.get("fillId", 0)), (None, None)), *pick(fonts, int(x.get("fontId", 0)), (False, False, None))) for x in (xfs if xfs is not None else [])]
 
@@ -91,8 +106,17 @@ class Workbook:
         if kind in ("str", "e"):
             return v.text
         number = float(v.text)
+        if int(c.get("s", 0)) in self.dates:
+            return self._moment(number)
         return str(int(number)) if number.is_integer() and "." not in v.text else repr(number)
 
+    def _moment(self, days: float) -> str:
+        """A date and time, or a time alone for less than a day. The day that the format has too many in 1900 is left out."""
+        if 0 <= days < 1:
+            return str((datetime.min + timedelta(milliseconds=round(days * 86_400_000))).time())
+        early = self.epoch.year == 1899 and 1 <= days < 60
+        return str(self.epoch + timedelta(days=int(days) + early, milliseconds=round(days % 1 * 86_400_000)))
+
     def cells(self) -> Iterator[tuple]:
         """(sheet, sheet_pos, row, col, value, fill_rgb, fill_type, bold, italic, font_size) of cells with a value or a fill."""
         for pos, (name, path) in enumerate(self.sheets):
@@ -132,30 +156,45 @@ class Workbook:
 
 def list_files(spark: SparkSession, path: str, kind: str = "tables") -> DataFrame:
     """path, file_name, content of the workbooks that a run takes, by ``kind``: "parse" (every .xlsx), "pages" (.xlsx,
-    .xlsm, .pdf in any case, no lock files), "tables" (.xlsx without lock files and earlier reports)."""
+    .xlsm, .pdf in any case, no lock files), "tables" (.xlsx without lock files and earlier reports). A path that is a file is
+    taken whatever its name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     files = files.select("path", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file_name"), "content")
     lock = F.col("file_name").startswith("~$")
     wanted = {"parse": F.col("file_name").endswith(".xlsx"), "pages": F.col("file_name").rlike(r"(?i)\.(xlsx|xlsm|pdf)\z") & ~lock, "tables": F.col("file_name").endswith(".xlsx") & ~lock & ~F.col("file_name").rlike(r"(_analysis|_comparison)\.xlsx\z")}[kind]
-    return files.where(wanted)
+    return files.where(wanted) if is_folder(spark, path) else files
+
+
+def is_folder(spark: SparkSession, path: str) -> bool | None:
+    """None if there is nothing."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return found.getFileStatus(target).isDirectory() if found.exists(target) else None
 
 
-def _each(files: DataFrame, schema: str, rows) -> DataFrame:
+def _each(files: DataFrame, schema: str, rows, skip_broken: bool = False) -> DataFrame:
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, data in zip(frame["file_name"], frame["content"], strict=True):
-                out = pd.DataFrame([(name, *r) for r in rows(Workbook(bytes(data)))], columns=columns, dtype=object)
+                try:
+                    found = [(name, *r) for r in rows(Workbook(bytes(data)))]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, AttributeError):
+                    if not skip_broken:
+                        raise
+                    found = []
+                out = pd.DataFrame(found, columns=columns, dtype=object)
                 if len(out):
                     yield out
 
     return files.select("file_name", "content").mapInPandas(run, schema)
 
 
-def read_cells(files: DataFrame) -> DataFrame:
-    return _each(files, CELL_SCHEMA, Workbook.cells)
+def read_cells(files: DataFrame, skip_broken: bool = False) -> DataFrame:
+    """The cells of all workbooks; one that can't be read fails the run, or gives no rows if ``skip_broken``."""
+    return _each(files, CELL_SCHEMA, Workbook.cells, skip_broken)
 
 
 def read_merges(files: DataFrame) -> DataFrame:
@@ -180,7 +219,7 @@ def read_tables(files: DataFrame, columns: list[str], sheet: str | None = "quest
             yield from ((i, *(None if a is None else r[a] for a in at)) for i, r in enumerate(body))
 
     found = _each(files, schema, rows)
-    rank = found.select("file_name").distinct().withColumn("rank", F.expr("row_number() over (order by file_name) - 1"))
+    rank = numbered(found.select("file_name").distinct(), "nth", F.col("file_name")).select("file_name", (F.col("nth") - 1).alias("rank"))
     ordered = found.join(rank, "file_name")
     return ordered.select((F.col("rank").cast("long") * MAX_ROWS + F.col("row_no")).alias("ord"), F.col("file_name").alias("source_file"), *[F.col(f"c_{c}").alias(c) for c in columns])
 

@@ -147,4 +147,40 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["analyse", folder, "-o", str(tmp_path / "out_analysis.xlsx"), "--id-by", "file", "--treat-as-blank", "street, x"]) == 0
     assert "a.xlsx: 1 of 2" in capsys.readouterr().out and (tmp_path / "out_analysis.xlsx").exists()
     main(["parse", folder, str(tmp_path / "parsed"), "--debug"])
-    assert (tmp_path / "parsed" / "questions.xlsx").exists() and (tmp_path / "parsed" / "row_kinds").is_dir()
+    from datetime import date
+
+    assert (tmp_path / "parsed" / f"{tmp_path.name}_{date.today().isoformat()}.xlsx").exists() and (tmp_path / "parsed" / "row_kinds").is_dir()
+    assert main(["analyse", str(tmp_path / "nothing")]) == 1 and main(["parse", str(tmp_path / "parsed" / "row_kinds")]) == 1
+
+
+def test_command_line_extract(spark, tmp_path, monkeypatch):
+    from surveyframe.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.pdf").write_bytes(json.dumps([{"question_id": "Q1", "question": "Name", "answer": "x"}]).encode())
+    (tmp_path / "in" / "broken.xlsx").write_bytes(b"no zip")
+    (tmp_path / "tools.py").write_text("def renderer():\n    def run(data, dpi):\n        if data == b'no zip':\n            raise ValueError('unreadable')\n        return [data]\n    return run\n\ndef extractor():\n    from surveyframe.sources.extract import stub_extractor\n    return stub_extractor\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "tools.py"))
+    flags = ["--extractor", "tools:extractor", "--renderer", "tools:renderer", "--output-dir", str(tmp_path / "out")]
+    assert main(["extract", str(tmp_path / "in"), *flags]) == 0
+    assert json.loads((tmp_path / "out" / "one.json").read_text())["questions"][0]["answer"] == "x"
+    assert main(["extract", str(tmp_path / "in" / "broken.xlsx"), *flags]) == 2
+
+
+def test_dates_and_merges_from_a_file():
+    import io
+    import zipfile
+
+    data = xlsx.workbook_bytes({"s": (["When", "What"], [("x", "y")])})
+    out = io.BytesIO()
+    sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" s="1"><v>45293</v></c><c r="B1" s="2"><v>0.75</v></c><c r="C1" s="0"><v>45293</v></c><c r="D1" s="3"><v>45293.5</v></c></row></sheetData><mergeCells count="1"><mergeCell ref="A1:B2"/></mergeCells><dataValidations count="1"><dataValidation type="list" sqref="C1:C3"><formula1>"YES,NO"</formula1></dataValidation></dataValidations></worksheet>'
+    styles = '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts count="1"><numFmt numFmtId="164" formatCode="dd/mm/yyyy\\ hh:mm"/></numFmts><fonts><font><b/><sz val="14"/></font></fonts><fills><fill/><fill><patternFill><fgColor rgb="FFD9D9D9"/></patternFill></fill></fills><cellXfs><xf/><xf numFmtId="14" fillId="1"/><xf numFmtId="20"/><xf numFmtId="164"/></cellXfs></styleSheet>'
+    with zipfile.ZipFile(io.BytesIO(data)) as a, zipfile.ZipFile(out, "w") as b:
+        for name in a.namelist():
+            b.writestr(name, sheet if name.endswith("sheet1.xml") else a.read(name))
+        b.writestr("xl/styles.xml", styles)
+    book = xlsx.Workbook(out.getvalue())
+    assert [(c[2], c[3], c[4], c[5], c[7], c[9]) for c in book.cells()] == [(1, 1, "2024-01-02 00:00:00", "FFD9D9D9", True, 14.0), (1, 2, "18:00:00", None, True, 14.0), (1, 3, "45293", None, True, 14.0), (1, 4, "2024-01-02 12:00:00", None, True, 14.0)]
+    assert list(book.merges()) == [("s", 1, 2, 1, 2)] and list(book.dropdowns()) == [("s", 1, 3, 3, 3, '"YES,NO"', 0)]
+    assert [xlsx.is_date_format(f) for f in ("0.00", "General", '"days" 0', "[Red]0", "[h]:mm", "yyyy")] == [False, False, False, False, True, True]
