@@ -19,17 +19,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .text import WS
+from .text import WS, let
 
 #: Up to so many characters the longest common subsequence fits into the bits of one number.
 _BITS = 60
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)``, with the value computed once however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def lcs_length(x: Column, y: Column) -> Column:
     """Length of the longest common subsequence of the characters of two texts.
 
@@ -42,7 +37,7 @@ def lcs_length(x: Column, y: Column) -> Column:
 
         def step(v: Column, c: Column) -> Column:
             at = F.aggregate(F.sequence(F.lit(0), p["n"] - 1), F.lit(0).cast("long"), lambda m, i: F.when(F.get(p["xs"], i) == c, m.bitwiseOR(F.call_function("shiftleft", one, i))).otherwise(m))
-            return _let(v.bitwiseAND(at), lambda hit: (v + hit).bitwiseOR(v - hit).bitwiseAND(full))
+            return let(v.bitwiseAND(at), lambda hit: (v + hit).bitwiseOR(v - hit).bitwiseAND(full))
 
         return p["n"] - F.bit_count(F.aggregate(p["ys"], full, step))
 
@@ -56,7 +51,7 @@ def lcs_length(x: Column, y: Column) -> Column:
         return F.element_at(F.aggregate(p["xs"], F.array_repeat(F.lit(0), F.size(p["ys"]) + 1), row), -1)
 
     parts = F.struct(F.split(x, "").alias("xs"), F.split(y, "").alias("ys"), F.length(x).alias("n"))
-    found = _let(parts, lambda p: F.when(p["n"] <= _BITS, short(p)).otherwise(long(p)))
+    found = let(parts, lambda p: F.when(p["n"] <= _BITS, short(p)).otherwise(long(p)))
     return F.when((F.length(x) == 0) | (F.length(y) == 0), 0).otherwise(found)
 
 
@@ -92,18 +87,18 @@ def parts_score(shared: Column, x: Column, y: Column) -> Column:
 def tokens_score(a: Column, b: Column) -> Column:
     """The score of two arrays of sorted distinct tokens."""
     shared, x, y = token_parts(a, b)
-    return _let(F.struct(shared.alias("s"), x.alias("x"), y.alias("y")), lambda p: parts_score(p["s"], p["x"], p["y"]))
+    return let(F.struct(shared.alias("s"), x.alias("x"), y.alias("y")), lambda p: parts_score(p["s"], p["x"], p["y"]))
 
 
 def tokens_bound(a: Column, b: Column) -> Column:
     """At least that score, at a small part of its cost."""
     shared, x, y = token_parts(a, b)
-    return _let(F.struct(shared.alias("s"), x.alias("x"), y.alias("y")), lambda p: score_bound(p["s"], p["x"], p["y"]))
+    return let(F.struct(shared.alias("s"), x.alias("x"), y.alias("y")), lambda p: score_bound(p["s"], p["x"], p["y"]))
 
 
 def token_set_score(a: Column, b: Column) -> Column:
     """Similarity of two texts, 0 to 100."""
-    return _let(F.struct(tokens(a).alias("a"), tokens(b).alias("b")), lambda p: tokens_score(p["a"], p["b"]))
+    return let(F.struct(tokens(a).alias("a"), tokens(b).alias("b")), lambda p: tokens_score(p["a"], p["b"]))
 
 
 # --- The integer score.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column
@@ -45,6 +46,11 @@ def collapse(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(_c(x), f"{WS}+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
     """Where case folding differs from lower case: single characters, and those that become several."""
@@ -60,12 +66,18 @@ def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
 
 def casefold(x: Column | str) -> Column:
     """Lower case for comparison. Only texts with one of the rarer characters take the long way."""
-    low = F.replace(F.lower(_c(x)), F.lit("ß"), F.lit("ss"))
     single, to, several = _fold_tables()
     rare = [pair for pair in several if pair[0] != "ß"]
-    folded = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), rare, F.translate(low, single, to))
-    special = "[" + "".join(a for a, _ in rare) + single + "]"
-    return F.when(low.rlike(special), folded).otherwise(low)
+    special = sorted("".join(a for a, _ in rare) + single)
+    beyond = [c for c in special if c < "\u0100"]
+
+    def fold(low: Column) -> Column:
+        folded = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), rare, F.translate(low, single, to))
+        # Nearly all texts are ruled out by two ranges; the long class is tried on the others.
+        can = low.rlike(f"[{''.join(beyond)}{next(c for c in special if c >= '\u0100')}-{special[-1]}]")
+        return F.when(~can, low).when(low.rlike(f"[{''.join(special)}]"), folded).otherwise(low)
+
+    return let(F.replace(F.lower(_c(x)), F.lit("ß"), F.lit("ss")), fold)
 
 
 def is_blank(x: Column | str, extra: list[str] | None = None) -> Column:
