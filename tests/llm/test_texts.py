@@ -280,3 +280,39 @@ def test_sharding_plan_is_native(spark):
 def test_sharding_rejects(spark):
     with pytest.raises(ValueError):
         sharding.interleave(spark.createDataFrame([], "doc_id long, text string, source string"), 0)
+
+
+def test_shards_against_ranks_and_cuts_in_python(spark):
+    import struct
+    import zlib
+
+    import xxhash
+
+    def chained(*values):
+        h = 42
+        for v in values:
+            if v is not None:
+                h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v), h)
+        return h
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice([None, "", "é" * (i % 7), f"t{i}"]), rnd.choice(["a", "a", "a", "b", None])) for i in range(700)] + [(3, "same", "a"), (3, "same", "a"), (None, "x", "c")]
+    by_source, total, buckets = {}, len(rows), 16
+    for doc, text, source in rows:
+        data = (text or "").encode()
+        order = chained((42,), doc, zlib.crc32(data) if text is not None else 0, len(data) + 1)
+        key = chained((42,), b"source", (source or "").encode(), (int(source is None),))
+        by_source.setdefault(key, []).append(((order >> 40) % buckets, signed(order), doc if doc is not None else -1, source))
+    places = []
+    for key, held in by_source.items():
+        start = (key >> 11) / float(1 << 53)
+        places += [((nth - start) / len(held), signed(key), order, doc, source) for nth, (_, order, doc, source) in enumerate(sorted(held, key=lambda r: r[:3]), 1)]
+    wanted = {}
+    for position, (_, _, _, doc, source) in enumerate(sorted(places, key=lambda r: r[:4])):
+        shard = position * 16 // total
+        wanted.setdefault((doc, source), []).append((shard, position - -(-shard * total // 16)))
+    found = {}
+    for r in sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string"), 16).collect():
+        found.setdefault((-1 if r.doc_id is None else r.doc_id, r.source), []).append((r.shard, r.slot))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in wanted.items()}
