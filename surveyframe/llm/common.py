@@ -99,12 +99,13 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    return spark.read.parquet(path), lambda: remove(spark, path)
 
-    def remove() -> None:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
-    return spark.read.parquet(path), remove
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ordered_sum(value: Column, partition: list[Column], order: list[Column]) -> Column:
