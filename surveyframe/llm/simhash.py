@@ -25,10 +25,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_slices, spaced_words, store, texts_of
+from .common import cut, map_slices, slices, spaced_words, store, texts_of
 from .graph import components
 
 SEED = 42
@@ -41,10 +42,11 @@ BLOCK = 1 << 15
 #: agree only if all shingles do. The exact join finds what they miss.
 SAMPLES = 16
 SAMPLE = 5
-#: Texts of whose shingles the frequencies are counted, and frequencies kept. They set the order of the exact join alone:
-#: any order gives the same links.
-COUNTED_TEXTS = 20_000
-COUNTED_SHINGLES = 1 << 18
+#: Counters of the sketch that says how frequent shingles are, in how many pieces they are added up, and in how many rounds
+#: of tasks' counters each piece. They set the order of the exact join alone: any order gives the same links.
+COUNTERS = 1 << 20
+PIECES = 1 << 8
+SALTS = 16
 #: Rows of one key that meet all others of it in one task.
 CHUNK = 256
 
@@ -173,15 +175,13 @@ def _samples(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return (twos & more) | ((twos ^ more) & last)
 
 
-def _prefix(hashes: np.ndarray, similarity: float, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first of the sorted, distinct hashes in the order (count, hash), so many that sets which are similar enough share
+def _prefix(hashes: np.ndarray, similarity: float, levels: np.ndarray) -> np.ndarray:
+    """The first of the sorted, distinct hashes in the order (level, hash), so many that sets which are similar enough share
     one of them: no more than n - similarity * n may be missing from the other set. A set without hashes has a 0."""
     n = len(hashes)
     if not n:
         return np.zeros(1, dtype=np.uint64)
-    if len(often):
-        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
-        hashes = hashes[np.argsort(np.where(often[at] == hashes, counts[at], 0), kind="stable")]
+    hashes = hashes[np.argsort(levels[_counter(hashes)], kind="stable")]
     return hashes[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
@@ -192,32 +192,63 @@ def _parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of a bounded number of texts hold, in ascending order, and how many of the texts."""
-    every = max(1, -(-texts.count() // COUNTED_TEXTS))
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    """The counter of each hash: its first bits."""
+    return (hashes >> np.uint64(65 - COUNTERS.bit_length())).astype(np.int64)
+
+
+def _loads(texts: DataFrame, width: int) -> np.ndarray:
+    """In how many texts the shingles of each counter occur, over all texts. A task sends its counters, a byte each while
+    they are small; they are added up by pieces, first within salts, so that no task reads those of all tasks."""
+    each = COUNTERS // PIECES
+
+    def count(batches):
+        sums = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in slices(batches):
+            held = [np.empty(0, dtype=np.uint64), *(np.unique(shingle_hashes(t, width)) for t in texts_of(batch))]
+            sums += np.bincount(_counter(np.concatenate(held)), minlength=COUNTERS)
+        yield packed({(k, TaskContext.get().partitionId() % SALTS): part for k, part in enumerate(sums.reshape(PIECES, each)) if part.any()})
+
+    def add(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for piece, salt, data in zip(*(batch.column(c).to_pylist() for c in ("piece", "salt", "data")), strict=True):
+                part = np.frombuffer(data, dtype=f"<u{len(data) // each}")
+                sums[piece, salt] = sums[piece, salt] + part if (piece, salt) in sums else part.astype(np.int64)
+        yield packed(sums)
+
+    def packed(sums: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        data = [part.astype(np.min_scalar_type(int(part.max()))).tobytes() for part in sums.values()]
+        keys = [pa.array([k[i] for k in sums], pa.int32()) for i in range(2)]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(data, pa.binary())], ["piece", "salt", "data"])
+
+    schema = "piece int, salt int, data binary"
+    salted = texts.select("text").mapInArrow(count, schema).repartition("piece", "salt").mapInArrow(add, schema)
+    whole = salted.withColumn("salt", F.lit(0)).repartition("piece").mapInArrow(add, schema)
+    loads = np.zeros((PIECES, each), dtype=np.int64)
+    for row in whole.toArrow().to_pylist():
+        loads[row["piece"]] = np.frombuffer(row["data"], dtype=f"<u{len(row['data']) // each}")
+    return loads.reshape(-1)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held = [np.empty(0, dtype=np.uint64), *(np.unique(shingle_hashes(t, width)) for t in texts_of(batch))]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["key"])
 
-    keys = map_slices(texts.where(F.pmod("node", F.lit(every)) == 0).select("text"), run, "key long")
-    table = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(COUNTED_SHINGLES).toArrow()
-    often, counts = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    order = np.argsort(often)
-    return often[order], counts[order]
+def _levels(loads: np.ndarray) -> np.ndarray:
+    """A byte for each counter, higher where its shingles are more frequent: eight steps for each doubling of what a counter
+    holds beyond the usual, the median, which is of rare shingles."""
+    beyond = np.maximum(loads - int(np.median(loads)), 0)
+    return np.minimum(np.round(8 * np.log2(1 + beyond)), 255).astype(np.uint8)
 
 
 def _sketches(texts: DataFrame, width: int, similarity: float, samples: int) -> DataFrame:
     """Of each row (node, text): node, size (distinct shingles), parities, prints (the SimHash of each sample) and keys (the
     shingles of the prefix, in their order)."""
     factors = _orders(samples)
-    often, counts = _frequent(texts, width)
+    levels = _levels(_loads(texts, width))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingle_hashes(t, width)) for t in texts_of(batch)]
         lists = [
             pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *parts])))
-            for parts in ([_parities(s) for s in sets], [_samples(s, factors).view(np.int64) for s in sets], [_prefix(s, similarity, often, counts).view(np.int64) for s in sets])
+            for parts in ([_parities(s) for s in sets], [_samples(s, factors).view(np.int64) for s in sets], [_prefix(s, similarity, levels).view(np.int64) for s in sets])
         ]
         return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int32()), *lists], ["node", "size", "parities", "prints", "keys"])
 

@@ -282,3 +282,26 @@ def test_parities_never_claim_more_than_the_difference():
         b = np.unique(np.concatenate([a[rnd.random(len(a)) < rnd.random()], rnd.integers(0, 1 << 63, rnd.integers(0, 40), dtype=np.uint64)]))
         bits = sum((int(x) ^ int(y) & (1 << 64) - 1).bit_count() for x, y in zip(simhash._parities(a).view(np.uint64), simhash._parities(b).view(np.uint64), strict=True))
         assert bits <= len(np.setxor1d(a, b))
+
+
+def test_loads_count_all_texts(spark):
+    rnd = random.Random(13)
+    texts = [" ".join(rnd.choices([f"w{i}" for i in range(40)], k=rnd.randrange(30))) for _ in range(400)] + ["a passage that many texts hold"] * 300 + ["", None]
+    brute = np.zeros(simhash.COUNTERS, dtype=np.int64)
+    for t in texts:
+        words = (t or "").split()
+        held = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))} if words else set()
+        for h in held:
+            brute[h * simhash.COUNTERS >> 64] += 1
+    loads = simhash._loads(frame(spark, list(enumerate(texts))).repartition(23), 5)
+    assert (loads == brute).all() and loads.max() >= 300
+    assert (simhash._loads(frame(spark, []), 5) == 0).all()
+
+
+def test_frequent_shingles_come_last_in_prefixes():
+    passage, own = simhash.shingle_hashes(b"a passage that many texts hold", 5), simhash.shingle_hashes(b" ".join(b"o%d" % i for i in range(60)), 5)
+    loads = np.zeros(simhash.COUNTERS, dtype=np.int64)
+    loads[simhash._counter(passage)] = 5000
+    hashes = np.unique(np.concatenate([passage, own]))
+    prefix = simhash._prefix(hashes, 0.8, simhash._levels(loads))
+    assert len(prefix) == len(hashes) - int(np.ceil(0.8 * len(hashes))) + 1 and not set(prefix.tolist()) & set(passage.tolist())
