@@ -28,6 +28,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: that it remembers. They bound memory and change no result.
 MEMO = 500_000
 KEPT = 100_000
+#: Characters of a piece that the memo takes. Longer ones are encoded each time, so the memo is bounded in bytes as well.
+LONGEST = 64
 PAIRS = 300_000
 
 
@@ -216,15 +218,19 @@ class Encoder:
         try:
             return b"".join([memo[p] for p in found])
         except KeyError:
-            if len(memo) > MEMO:
-                self.rest()
-                memo = self._memo
+            buffers = []
             for p in found:
-                if p not in memo:
-                    memo[p] = np.array(encode_piece(self.vocabulary, p.encode()), dtype=np.int32).tobytes()
-                    if len(self._kept) < KEPT:
-                        self._kept[p] = memo[p]
-            return b"".join([memo[p] for p in found])
+                if (ids := memo.get(p)) is None:
+                    ids = np.array(encode_piece(self.vocabulary, p.encode()), dtype=np.int32).tobytes()
+                    if len(p) <= LONGEST:
+                        if len(memo) > MEMO:
+                            self.rest()
+                            memo = self._memo
+                        memo[p] = ids
+                        if len(self._kept) < KEPT:
+                            self._kept[p] = ids
+                buffers.append(ids)
+            return b"".join(buffers)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_buffer(text), dtype=np.int32).tolist()

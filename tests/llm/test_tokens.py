@@ -78,6 +78,14 @@ def test_memo_limit_changes_nothing(monkeypatch):
     assert all(enc.encode(t or "") == lib.encode_ordinary(t or "") for t in texts(10, 2))
 
 
+def test_memo_takes_no_long_pieces(monkeypatch):
+    monkeypatch.setattr(bpe, "LONGEST", 6)
+    lib, enc = library(), bpe.Encoder(RANKS)
+    text = "short and extraordinarily long words, " * 3 + " " * 5000 + "z" * 3000
+    assert enc.encode(text) == enc.encode(text) == lib.encode_ordinary(text)
+    assert max(map(len, enc._memo)) <= 6 and max(map(len, enc._kept)) <= 6
+
+
 # --- Token files.
 
 
