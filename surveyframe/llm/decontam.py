@@ -7,13 +7,15 @@ and what passes is verified word by word.
 
 Size of the broadcast: the distinct (window, item) rows are counted first. Up to ``MAX_WINDOWS`` they form one block. A
 larger benchmark is cut into more blocks by the window's hash; each is a broadcast of its own that a task loads from its
-executor's disk, uses on its slice of documents and lets go again, so a worker never holds more than one.
+executor's disk, uses on the next ``BUNDLE`` bytes of documents and lets go again, so a worker never holds more than one
+and seldom builds them anew.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, folded_words, map_slices, slices, texts_of
+from .common import cut, folded_words, slices, texts_of
 
 WINDOW = 10
 #: (window, item) rows of one broadcast block, about 100 bytes each.
 MAX_WINDOWS = 500_000
+#: Bytes of text that a task holds for all blocks of a larger benchmark.
+BUNDLE = 64 << 20
 _FILTER_BITS = 22
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -126,20 +130,52 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     blocks = list(_blocks(benchmark, window, item_col, item_text_col, max_windows))
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return map_slices(src, lambda batch: _scan(batch, blocks), f"doc_id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
-
-
-def _scan(batch: pa.RecordBatch, blocks: list) -> pa.RecordBatch:
-    split = [folded_words(t) for t in texts_of(batch)]
-    found: list[tuple[list, set]] = [([], set()) for _ in split]
-    for name, block in blocks:
-        ngrams = _ngrams(name, block)
-        for words, (places, items) in zip(split, found, strict=True):
-            more, held = ngrams.scan(words)
-            places += more
-            items |= held
+
+    def run(batches):
+        for batch, n_words, spans, items in _scanned(batches, blocks, "text"):
+            columns = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "spans", "items"])
+
+    return src.mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+
+
+def _bundles(batches: Iterable[pa.RecordBatch], blocks: list, text: str) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of documents that are scanned together: one if there is one block, else ``BUNDLE`` bytes of text."""
+    held, size = [], 0
+    for batch in slices(batches, text):
+        held.append(batch)
+        size += batch.column(text).nbytes
+        if len(blocks) < 2 or size >= BUNDLE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _scanned(batches: Iterable[pa.RecordBatch], blocks: list, text: str) -> Iterator[tuple[pa.RecordBatch, list[int], list[list[dict]], list[list[str]]]]:
+    """Each slice with the number of words, the spans and the items of its texts."""
+    for bundle in _bundles(batches, blocks, text):
+        found: list[list[tuple[list, set]]] = [[([], set()) for _ in range(batch.num_rows)] for batch in bundle]
+        counts: list[list[int]] = [[] for _ in bundle]
+        for k, (name, block) in enumerate(blocks or [("", None)]):
+            ngrams = _ngrams(name, block) if block else None
+            for batch, places_items, n_words in zip(bundle, found, counts, strict=True):
+                for t, (places, items) in zip(texts_of(batch, text), places_items, strict=True):
+                    words = folded_words(t)
+                    if not k:
+                        n_words.append(len(words))
+                    if ngrams:
+                        more, held = ngrams.scan(words)
+                        places += more
+                        items |= held
+        for batch, places_items, n_words in zip(bundle, found, counts, strict=True):
+            yield batch, n_words, _merged(p for p, _ in places_items), [sorted(i) for _, i in places_items]
+
+
+def _merged(found: Iterable[list[tuple[int, int]]]) -> list[list[dict]]:
+    """The maximal stretches of the (start, length) of each text."""
     spans = []
-    for words, (places, _) in zip(split, found, strict=True):
+    for places in found:
         merged: list[dict] = []
         for start, length in sorted(places):
             if merged and start <= merged[-1]["end"]:
@@ -147,13 +183,7 @@ def _scan(batch: pa.RecordBatch, blocks: list) -> pa.RecordBatch:
             else:
                 merged.append({"start": start, "end": start + length})
         spans.append(merged)
-    columns = [
-        batch.column("doc_id"),
-        pa.array([len(w) for w in split], pa.int64()),
-        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-        pa.array([sorted(items) for _, items in found], pa.list_(pa.string())),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "spans", "items"])
+    return spans
 
 
 def cut_words(text: bytes, spans: list[dict]) -> bytes:
@@ -178,8 +208,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     at = names.index(text_col)
 
     def run(batches):
-        for batch in slices(batches, text_col):
-            spans = _scan(pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["doc_id", "text"]), blocks).column("spans").to_pylist()
+        for batch, _, spans, _ in _scanned(batches, blocks, text_col):
             if remove == "documents":
                 yield batch.filter(pa.array([not s for s in spans], pa.bool_()))
             else:

@@ -55,6 +55,24 @@ def test_contamination_against_brute_force(spark, max_windows):
     assert kept.columns == frame(spark, []).columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, _, n, _ in expected if not n), key=str)
 
 
+def test_blocks_are_built_once_for_a_bundle(monkeypatch):
+    import pyarrow as pa
+
+    class Block:
+        def __init__(self, rows):
+            self.value = rows
+
+    built = []
+    monkeypatch.setattr(decontam, "NgramSet", lambda rows, whole=decontam.NgramSet: built.append(1) or whole(rows))
+    blocks = [("block 1 of a test", Block([(b"one two", "a")])), ("block 2 of a test", Block([(b"two three", "b")]))]
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"zero one two three {k}", None])], ["text"]) for k in range(20)]
+    found = list(decontam._scanned(iter(batches), blocks, "text"))
+    assert [b.column("text").to_pylist() for b, *_ in found] == [b.column("text").to_pylist() for b in batches] and len(built) == 2
+    assert all(rest == [[5, 0], [[{"start": 1, "end": 4}], []], [["a", "b"], []]] for _, *rest in found)
+    monkeypatch.setattr(decontam, "BUNDLE", 1)
+    assert len(list(decontam._scanned(iter(batches), blocks, "text"))) == 20 and len(built) == 42
+
+
 def test_spans_are_cut_out(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     rows = [(1, "Zero, ONE two-three! four one two three"), (2, None), (3, "nothing")]
