@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 
 #: Slots of a bucket and evictions before the filter counts as full.
 SLOTS = 4
@@ -172,7 +172,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     than any other. Of rows equal in id and text one stays. No rows give no rows.
     """
     counted = cut(digests(docs, id_col, text_col))
-    joined = counted.join(live_digests(counted), "digest")
+    live = cut(live_digests(counted))
+    total = live.agg(F.sum("group_size")).first()[0] or 0
+    joined = join_hot(counted, live, "digest", "group_size", total)
     nth = F.explode(F.sequence(F.lit(1), F.col("copies")))
     every = joined.select("doc_id", "keep_id", "group_size", "digest", nth.alias("nth"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
