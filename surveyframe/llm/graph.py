@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,8 +34,9 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         both = edges.select(F.col("low").alias("node"), F.col("high").alias("other")).unionByName(edges.select(F.col("high").alias("node"), F.col("low").alias("other")))
     else:
         both = edges.select(F.col("high").alias("node"), F.col("low").alias("other"))
-    least = both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("least"))
-    found = both.join(least, "node")
+    least = cut(both.groupBy("node").agg(F.min("other").alias("least"), F.count(F.lit(1)).alias("n")).select("node", F.least("node", "least").alias("least"), "n"))
+    total = least.agg(F.sum("n")).first()[0] or 0
+    found = join_hot(both, least, "node", "n", total).drop("n")
     found = found.where("other > node") if larger else found
     pairs = found.select(F.col("least").alias("low"), F.col("other").alias("high"))
     if not larger:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_slices, slices, spaced_words, store, texts_of
+from .common import cut, join_hot, map_slices, slices, spaced_words, store, texts_of
 from .graph import components
 
 SEED = 42
@@ -47,8 +47,9 @@ SAMPLE = 5
 COUNTERS = 1 << 20
 PIECES = 1 << 8
 SALTS = 16
-#: Rows of one key that meet all others of it in one task.
+#: Rows of one key, on either side, that meet in one task, if they come evenly.
 CHUNK = 256
+PART = 4096
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -143,12 +144,13 @@ def near_duplicate_classes(docs: DataFrame, width: int = 3, id_col: str = "doc_i
     reached, the own one included. A null id is never the smallest unless there is no other, then it is null.
     """
     rows = cut(fingerprints(docs, width, id_col, text_col))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     found = cut(components(linked(distinct.select("fp"))))
-    named = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = distinct.join(found, distinct.fp == found.node, "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("component"))
     low = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = named.select("fp", "component").join(low, "component").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = cut(named.select("fp", "n", "component").join(low, "component").select("fp", "n", "component_id"))
+    total = of_fp.agg(F.sum("n")).first()[0] or 0
+    return join_hot(rows, of_fp, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- By similarity of the shingle sets.
@@ -308,11 +310,13 @@ def _by_samples(sketches: DataFrame, hot: int) -> DataFrame:
     a group of near copies costs as many comparisons as it has members. What isn't linked so is left to the exact join.
     """
     every = sketches.select("node", F.posexplode("prints").alias("sample", "fp")).select("node", F.xxhash64("sample", "fp").alias("key")).distinct()
-    sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = cut(every.join(sizes, "key"))
+    sizes = cut(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    held = cut(join_hot(every, sizes, "key", "n", total))
     weighted = held.join(held.groupBy("node").agg(F.sum("n").alias("weight")), "node")
-    centres = weighted.where(F.col("n") > hot).groupBy("key").agg(F.max(F.struct("weight", "node")).alias("centre")).select("key", F.col("centre.node").alias("centre"))
-    large = held.join(centres, "key").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).where("a < b")
+    centres = weighted.where(F.col("n") > hot).groupBy("key").agg(F.max("n").alias("of"), F.max(F.struct("weight", "node")).alias("centre"))
+    centres = cut(centres.select("key", "of", F.col("centre.node").alias("centre")))
+    large = join_hot(held.where(F.col("n") > hot).select("key", "node"), centres, "key", "of", total).select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).where("a < b")
     small = held.where(F.col("n") <= hot)
     pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
     return cut(pairs.unionByName(large).distinct())
@@ -323,29 +327,35 @@ def _across(sketches: DataFrame, known: DataFrame, similarity: float) -> DataFra
     component) so far.
 
     Similar sets share a shingle of their prefixes. A key whose texts are all in one component asks for no comparison. The
-    others are joined with themselves, those of many texts in chunks. A pair is kept if the sets can be similar by what is
+    others are joined with themselves: the texts outside of the key's largest component, in chunks, with all of its texts, in
+    parts, so that no task meets more than a chunk and a part. Two texts of the largest component are linked already. A pair is kept if the sets can be similar by what is
     known without them: if this is the first shingle of the order that both have, only those behind it can be common, and
     the sets differ in as many shingles as their parities differ in bits. A pair that has the shingle before as well
     has been met there.
     """
     before = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.when(i > 0, F.get("keys", i - 1)).alias("before")))
     keyed = sketches.select("node", "size", F.posexplode(before).alias("place", "k")).select("k.key", "node", "size", "place", "k.before")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    every = shared.agg(F.sum("n")).first()[0] or 0
     parities = [F.get("parities", F.lit(i)).alias(f"p{i}") for i in range(4)]
     more = sketches.select("node", *parities).distinct().join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = cut(keyed.join(shared, "key").distinct().join(more, "node"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    held = rows.join(mixed.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "key")
+    rows = cut(join_hot(keyed, shared, "key", "n", every).drop("n").distinct().join(more, "node"))
+    of = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = of.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("main_n"), F.max_by("component", F.struct("n", "component")).alias("main")).where("n > main_n")
+    chunks, parts = F.ceil((F.col("n") - F.col("main_n")) / CHUNK).cast("int"), F.ceil(F.col("n") / PART).cast("int")
+    mixed = cut(mixed.select("key", "n", "main", chunks.alias("chunks"), parts.alias("parts")))
+    held = join_hot(rows, mixed, "key", "n", every)
     columns = ["node", "component", "size", "place", "before", *[f"p{i}" for i in range(4)]]
-    left = held.select("key", F.pmod("node", "chunks").cast("int").alias("chunk"), F.struct(*columns).alias("x"))
-    right = held.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.struct(*columns).alias("y"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = held.where("component <> main").select("key", "main", F.pmod("node", "chunks").cast("int").alias("chunk"), upto("parts").alias("part"), F.struct(*columns).alias("x"))
+    right = held.select("key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), upto("chunks").alias("chunk"), F.struct(*columns).alias("y"))
     total = F.col("x.size") + F.col("y.size")
     enough = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + 1e-6 >= similarity / (1 + similarity) * total
     bits = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(1, 4)), F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))))
     close = bits <= (1 - similarity) / (1 + similarity) * total + 1e-6
     first = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
-    pairs = left.join(right, ["key", "chunk"]).where("x.node < y.node and x.component <> y.component").where(first & enough & close)
-    return cut(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    pairs = left.join(right, ["key", "chunk", "part"]).where("x.component <> y.component and (y.component = main or x.node < y.node)").where(first & enough & close)
+    return cut(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,8 +370,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     keys = ["node", "other"]
     text = F.coalesce(text_col, F.lit(""))
     node, other = F.xxhash64(text).alias("node"), F.xxhash64(F.lit(SEED), text).alias("other")
-    ids = docs.select(node, other, F.col(id_col).cast("long").alias("id")).join(groups, "node")
-    of_node = cut(ids.groupBy("component", "node").agg(F.min("other").alias("other"), F.min(F.struct(F.col("id").isNull(), "id")).alias("id")))
+    # Copies are brought together before they are joined.
+    ids = docs.select(node, other, F.col(id_col).cast("long").alias("id")).groupBy("node").agg(F.min("other").alias("other"), F.min(F.struct(F.col("id").isNull(), "id")).alias("id"))
+    of_node = cut(ids.join(groups, "node"))
     best = of_node.groupBy("component").agg(F.min_by("node", F.struct("id", "node")).alias("best"))
     gone = cut(of_node.join(best, "component").where("node <> best").select(*keys))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node, other)
