@@ -105,7 +105,9 @@ def linked(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """Rows (a, b), a < b: enough pairs of the distinct fingerprints ``fp`` at 2 bits or fewer that their components are
     those of all such pairs; below hot keys, all of them."""
     wild = F.explode(F.sequence(F.lit(0), F.lit(63)))
-    variants = distinct.select("fp", wild.alias("w")).select("fp", "w", (F.col("w") >= 32).alias("high"), (F.col("w") % 32).alias("bit"))
+    # A table of fingerprints is small and lies in few parts; its variants are 64 times as many.
+    dealt = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    variants = dealt.select("fp", wild.alias("w")).select("fp", "w", (F.col("w") >= 32).alias("high"), (F.col("w") % 32).alias("bit"))
     variants = variants.select("fp", "w", F.call_function("shiftleft", F.col("w").cast("long"), F.lit(32)).bitwiseOR(_without(_half(F.col("fp"), F.col("high")), F.col("bit"))).alias("key"))
     counted = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("all")).where("n > 1")
     counted = cut(counted)
