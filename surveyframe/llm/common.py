@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch are handed on in slices of about so many bytes of text, so that what Python builds
 #: beside them stays small. A longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
-#: A key that holds more than one in so many rows is hot. There are fewer such keys than that, whatever the input's size.
+#: A key is hot if it holds more than so many rows, which a task takes with ease, and more than one in ``SHARE`` of all. There
+#: are fewer than ``SHARE`` such keys, whatever the input's size.
+EASY = 20_000
 SHARE = 1000
 
 
@@ -110,14 +112,19 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """``rows`` joined with ``table``, which has one row for each ``key`` and in ``n`` how many rows hold it, of ``total`` in all.
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``key`` and in ``n`` how many rows hold it. ``table`` has to be
+    cut before, as it is asked for its sizes.
 
     Hot keys, fewer than ``SHARE``, are broadcast, so their rows stay where they are; the others are joined by a shuffle.
     """
-    hot = F.broadcast(table.where(F.col(n) * SHARE > total))
+    total, top = table.agg(F.sum(n), F.max(n)).first()
+    least = max(EASY, (total or 0) // SHARE)
+    if (top or 0) <= least:
+        return rows.join(table, key)
+    hot = F.broadcast(table.where(F.col(n) > least))
     few = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(few.join(table.where(F.col(n) * SHARE <= total), key))
+    return rows.join(hot, key).unionByName(few.join(table.where(F.col(n) <= least), key))
 
 
 def ordered_sum(value: Column, partition: list[Column], order: list[Column]) -> Column:

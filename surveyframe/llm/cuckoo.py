@@ -172,9 +172,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     than any other. Of rows equal in id and text one stays. No rows give no rows.
     """
     counted = cut(digests(docs, id_col, text_col))
-    live = cut(live_digests(counted))
-    total = live.agg(F.sum("group_size")).first()[0] or 0
-    joined = join_hot(counted, live, "digest", "group_size", total)
+    joined = join_hot(counted, cut(live_digests(counted)), "digest", "group_size")
     nth = F.explode(F.sequence(F.lit(1), F.col("copies")))
     every = joined.select("doc_id", "keep_id", "group_size", "digest", nth.alias("nth"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)

@@ -151,8 +151,7 @@ def near_duplicate_classes(docs: DataFrame, width: int = 3, id_col: str = "doc_i
     named = distinct.join(found, distinct.fp == found.node, "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("component"))
     low = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = cut(named.select("fp", "n", "component").join(low, "component").select("fp", "n", "component_id"))
-    total = of_fp.agg(F.sum("n")).first()[0] or 0
-    return join_hot(rows, of_fp, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_hot(rows, of_fp, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- By similarity of the shingle sets.
@@ -313,12 +312,11 @@ def _by_samples(sketches: DataFrame, hot: int) -> DataFrame:
     """
     every = sketches.select("node", F.posexplode("prints").alias("sample", "fp")).select("node", F.xxhash64("sample", "fp").alias("key")).distinct()
     sizes = cut(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    held = cut(join_hot(every, sizes, "key", "n", total))
+    held = cut(join_hot(every, sizes, "key", "n"))
     weighted = held.join(held.groupBy("node").agg(F.sum("n").alias("weight")), "node")
     centres = weighted.where(F.col("n") > hot).groupBy("key").agg(F.max("n").alias("of"), F.max(F.struct("weight", "node")).alias("centre"))
     centres = cut(centres.select("key", "of", F.col("centre.node").alias("centre")))
-    large = join_hot(held.where(F.col("n") > hot).select("key", "node"), centres, "key", "of", total).select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).where("a < b")
+    large = join_hot(held.where(F.col("n") > hot).select("key", "node"), centres, "key", "of").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).where("a < b")
     small = held.where(F.col("n") <= hot)
     pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
     return cut(pairs.unionByName(large).distinct())
@@ -338,15 +336,14 @@ def _across(sketches: DataFrame, known: DataFrame, similarity: float) -> DataFra
     before = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.when(i > 0, F.get("keys", i - 1)).alias("before")))
     keyed = sketches.select("node", "size", F.posexplode(before).alias("place", "k")).select("k.key", "node", "size", "place", "k.before")
     shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    every = shared.agg(F.sum("n")).first()[0] or 0
     parities = [F.get("parities", F.lit(i)).alias(f"p{i}") for i in range(4)]
     more = sketches.select("node", *parities).distinct().join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = cut(join_hot(keyed, shared, "key", "n", every).drop("n").distinct().join(more, "node"))
+    rows = cut(join_hot(keyed, shared, "key", "n").drop("n").distinct().join(more, "node"))
     of = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = of.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("main_n"), F.max_by("component", F.struct("n", "component")).alias("main")).where("n > main_n")
     chunks, parts = F.ceil((F.col("n") - F.col("main_n")) / CHUNK).cast("int"), F.ceil(F.col("n") / PART).cast("int")
     mixed = cut(mixed.select("key", "n", "main", chunks.alias("chunks"), parts.alias("parts")))
-    held = join_hot(rows, mixed, "key", "n", every)
+    held = join_hot(rows, mixed, "key", "n")
     columns = ["node", "component", "size", "place", "before", *[f"p{i}" for i in range(4)]]
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = held.where("component <> main").select("key", "main", F.pmod("node", "chunks").cast("int").alias("chunk"), upto("parts").alias("part"), F.struct(*columns).alias("x"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from surveyframe.llm import cuckoo, graph, simhash
+from surveyframe.llm import common, cuckoo, graph, simhash
 
 SCHEMA = "doc_id long, text string, lang string, fp long, node long, component string, digest string, row string"
 
@@ -16,6 +16,12 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", 0, 0, "c", "d", "r") for i, t in rows], SCHEMA)
 
 
+@pytest.fixture(params=[common.EASY, 1])
+def easy(request, monkeypatch):
+    """With 1, every key of two rows or more is joined as a hot one."""
+    monkeypatch.setattr(common, "EASY", request.param)
+
+
 # --- Exact.
 
 
@@ -40,7 +46,7 @@ def test_index_against_dict():
 ROWS = [(1, "a"), (5, "a"), (3, "a"), (2, None), (4, ""), (None, "a"), (None, "b"), (6, "x" * 300_000), (7, "c"), (7, "c"), (7, "d"), (None, "e"), (None, "e")]
 
 
-def test_exact_duplicates(spark):
+def test_exact_duplicates(spark, easy):
     found = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in cuckoo.exact_duplicates(frame(spark, ROWS)).collect()), key=str)
     groups = {}
     for i, t in ROWS:
@@ -131,7 +137,7 @@ def test_linked_against_all_pairs(spark, hot):
         assert found == pairs
 
 
-def test_classes(spark):
+def test_classes(spark, easy):
     words = "alpha beta gamma delta epsilon zeta eta theta".split()
     rnd = random.Random(9)
     long = " ".join(rnd.choices(words, k=40_000))
@@ -261,7 +267,7 @@ def test_short_texts_with_one_more_word(spark):
     assert {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()} == set(range(60)) | set(range(120, 140))
 
 
-def test_hidden_pairs_in_a_group_that_shares_a_passage(spark):
+def test_hidden_pairs_in_a_group_that_shares_a_passage(spark, easy):
     rnd, passage, texts = random.Random(11), [f"p{i}" for i in range(40)], []
     for k in range(80):
         own = [f"o{k}_{i}" for i in range(60)]
