@@ -7,8 +7,9 @@ tag strips white space on that side. Expressions have strings, integers, true, f
 dictionaries, lists and strings alone, ``+ - * // %``, ``~``, comparisons, ``in``, and/or/not, the tests ``is defined``
 and ``is none``, and the filters in ``FILTERS``. There are no calls and no attributes of Python objects, so a template
 reaches nothing but what it is given. The output and every text or list that an expression makes are bounded by
-``max_chars``, numbers by 64 bits, and loop rounds by ``max_rounds`` if that is given; a loop goes over given lists, so it
-ends in any case. Whatever a template does wrong raises a TemplateError.
+``max_chars`` before they are made, numbers by 64 bits, nesting by ``NESTED`` and ``DEEP``, and loop rounds by ``max_rounds``, which is
+``ROUNDS`` and one for each loop of the template and entry of a given list unless it is set. Whatever a template does wrong
+raises a TemplateError.
 
 Rendering gives the text and the spans, in code points, that generation blocks wrote.
 """
@@ -36,14 +37,26 @@ TEMPLATE = (
     "{% if message.role == 'assistant' %}{% generation %}{{ message.content | escape }}{% endgeneration %}"
     "{% else %}{{ message.content | escape }}{% endif %}<|im_end|>\n{% endfor %}"
 )
-#: Characters that an expression's text may have while constants are folded.
-FOLD_CHARS = 1 << 20
+#: Characters that a folded constant may have; a longer one is made when the template is rendered.
+FOLD_CHARS = 1 << 12
+#: Parentheses, signs and blocks inside each other, and operators and filters of one expression on top of each other.
+NESTED = 40
+DEEP = 100
+#: Rounds of loops that any template may make, however short the lists that it is given.
+ROUNDS = 1000
 
 
 class TemplateError(ValueError):
     """The template is malformed, or asks for what the sandbox doesn't give."""
 
 
+class TooLong(TemplateError):
+    """A text or list would pass the bound."""
+
+    def __init__(self, what: str = "a text or list"):
+        super().__init__(f"{what} is too long")
+
+
 class Escape:
     """Reversible: where a control string, with any number of marks behind its first character, stands in a text, one
     more mark is set; ``undo`` takes one away. No control string is left, and other texts stay as they are."""
@@ -90,33 +103,70 @@ UNDEFINED = Undefined()
 FILTERS: dict[str, Callable] = {
     "escape": lambda x: ESCAPE.do(_text(x)), "trim": lambda x: _text(x).strip(), "upper": lambda x: _text(x).upper(), "lower": lambda x: _text(x).lower(),
     "length": lambda x: len(x) if isinstance(x, str | list | dict) else 0, "default": lambda x, y="": y if x is None or isinstance(x, Undefined) else x,
-    "replace": lambda x, a, b: _replace(_text(x), a, b), "join": lambda x, sep="": _text(sep).join(map(_text, x)), "first": lambda x: x[0] if x else UNDEFINED, "last": lambda x: x[-1] if x else UNDEFINED,
+    "replace": lambda x, a, b: _text(x).replace(_text(a), _text(b)), "join": lambda x, sep="": _text(sep).join(map(_text, x)), "first": lambda x: x[0] if x else UNDEFINED, "last": lambda x: x[-1] if x else UNDEFINED,
 }
 _COMPARE = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "in": lambda a, b: a in b}
 _TIMES = {"*": operator.mul, "//": operator.floordiv, "%": operator.mod}
-_TAG = re.compile(r"\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}|\{#(-?)(.*?)(-?)#\}", re.S)
+_OPEN = re.compile(r"\{[{%#]")
+_CLOSE = {"{{": "}}", "{%": "%}", "{#": "#}"}
 _TOKEN = re.compile(r"\s*(?:(\d+)|('(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")|([A-Za-z_]\w*)|(==|!=|<=|>=|//|[-+*%~<>.,|()\[\]:=]))", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
 
-def _replace(text: str, a: str, b: str) -> str:
-    if len(text) + text.count(a) * (len(b) - len(a)) > max(len(text), 1 << 30):
-        raise TemplateError("a text is too long")
-    return text.replace(a, b)
+def _tied(a, b) -> str:
+    return _text(a) + _text(b)
+
+
+def _shown(x, limit: int, depth: int = 0) -> int:
+    """At least the characters of a value's text, at most ten times less; more than ``limit`` as soon as that is sure."""
+    if isinstance(x, str):
+        return len(x)
+    if not isinstance(x, list | dict):
+        return 20
+    if depth > NESTED:
+        raise TemplateError("a value is nested too deeply")
+    n = 2
+    for y in x if isinstance(x, list) else (y for pair in x.items() for y in pair):
+        n += 2 + _shown(y, limit, depth + 1)
+        if n > limit:
+            break
+    return n
+
+
+def _joined_size(limit: int, x, sep="") -> int:
+    if not isinstance(x, str | list | dict):
+        return 0
+    n = len(_text(sep)) * max(0, len(x) - 1)
+    return n + len(x) if isinstance(x, str) else n + _shown(list(x), limit)
+
+
+def _replaced_size(limit: int, x, a, b) -> int:
+    if (n := _shown(x, limit)) > limit:
+        return n
+    text, a, b = _text(x), _text(a), _text(b)
+    return len(text) + text.count(a) * max(0, len(b) - len(a))
+
+
+#: What bounds a result's characters from the arguments, before it is made.
+_SIZES: dict[Callable, Callable[..., int]] = {
+    FILTERS["join"]: _joined_size, FILTERS["replace"]: _replaced_size, _tied: lambda limit, a, b: _shown(a, limit) + _shown(b, limit),
+    operator.add: lambda limit, a, b: sum(len(x) for x in (a, b) if isinstance(x, str | list)),
+    **{FILTERS[f]: lambda limit, x: _shown(x, limit) for f in ("escape", "trim", "upper", "lower")},
+}
 
 
 def _call(fn: Callable, args: tuple, limit: int):
     """What an operator or filter gives, held to the sandbox's bounds."""
-    if fn in (operator.add, operator.mul) and sum(len(a) for a in args if isinstance(a, str | list)) > limit:
-        raise TemplateError("a text or list is too long")
     try:
+        if (size := _SIZES.get(fn)) and size(limit, *args) > limit:
+            raise TooLong()
         value = fn(*args)
     except TemplateError:
         raise
-    except (TypeError, ValueError, ArithmeticError, LookupError, AttributeError) as e:
+    except (TypeError, ValueError, ArithmeticError, LookupError, AttributeError, RecursionError) as e:
         raise TemplateError(str(e)) from e
     if isinstance(value, str | list) and len(value) > limit:
-        raise TemplateError("a text or list is too long")
+        raise TooLong()
     if isinstance(value, int) and value.bit_length() > 64:
         raise TemplateError("a number is too large")
     return value
@@ -141,9 +191,20 @@ class _Expression:
             number, string, name, sign = m.groups()
             if string:
                 string = re.sub(r"\\(.)", lambda x: _ESCAPES.get(x[1], x[1]), string[1:-1], flags=re.S)
+            if number and (len(number) > 20 or int(number).bit_length() > 64):
+                raise TemplateError("a number is too large")
             self.tokens.append(("number", int(number)) if number else ("string", string) if string is not None else ("name", name) if name else ("sign", sign))
             at = m.end()
-        self.at = 0
+        self.at = self.depth = 0
+
+    def deeper(self, part: Callable[[], tuple]) -> tuple:
+        """What ``part`` reads, one level further in."""
+        self.depth += 1
+        if self.depth > NESTED:
+            raise TemplateError("an expression is nested too deeply")
+        found = part()
+        self.depth -= 1
+        return found
 
     def take(self, *values: str) -> str | None:
         if self.at < len(self.tokens) and self.tokens[self.at][0] in ("name", "sign") and self.tokens[self.at][1] in values:
@@ -184,7 +245,7 @@ class _Expression:
         return left
 
     def negated(self):
-        return ("not", self.negated()) if self.take("not") else self.compared()
+        return ("not", self.deeper(self.negated)) if self.take("not") else self.compared()
 
     def compared(self):
         left = self.joined()
@@ -204,7 +265,7 @@ class _Expression:
     def joined(self):
         left = self.product()
         while sign := self.take("+", "-", "~"):
-            fn = {"+": operator.add, "-": operator.sub, "~": lambda a, b: _text(a) + _text(b)}[sign]
+            fn = {"+": operator.add, "-": operator.sub, "~": _tied}[sign]
             left = ("call", fn, (left, self.product()))
         return left
 
@@ -222,7 +283,7 @@ class _Expression:
                 raise TemplateError(f"no filter {name}")
             if self.take("("):
                 while not self.take(")"):
-                    args.append(self.either())
+                    args.append(self.deeper(self.either))
                     if not self.take(","):
                         self.need(")")
                         break
@@ -235,17 +296,17 @@ class _Expression:
             if sign == ".":
                 left = ("get", left, ("const", self.name()))
             else:
-                left = ("get", left, self.either())
+                left = ("get", left, self.deeper(self.either))
                 self.need("]")
         return left
 
     def atom(self):
         if self.take("("):
-            inner = self.either()
+            inner = self.deeper(self.either)
             self.need(")")
             return inner
         if self.take("-"):
-            return ("call", operator.neg, (self.atom(),))
+            return ("call", operator.neg, (self.deeper(self.atom),))
         if self.at >= len(self.tokens):
             raise TemplateError("the expression ends early")
         kind, value = self.tokens[self.at]
@@ -270,6 +331,8 @@ def _bounded(fn: Callable) -> Callable:
 
 
 def _get(value, key):
+    if isinstance(key, list | dict):
+        raise TemplateError("a list or dictionary is no key")
     if isinstance(value, dict):
         return value.get(key, UNDEFINED)
     if isinstance(value, list | str) and isinstance(key, int) and -len(value) <= key < len(value):
@@ -277,25 +340,32 @@ def _get(value, key):
     return UNDEFINED
 
 
-def fold(node: tuple) -> tuple:
-    """Replaces expressions whose parts are constant by their values."""
-    kind = node[0]
+def fold(node: tuple, depth: int = 0) -> tuple:
+    """Replaces expressions whose parts are constant by their values, if these aren't long."""
+    kind, below = node[0], depth + 1
+    if depth > DEEP:
+        raise TemplateError("an expression is too long")
     if kind == "call":
-        args = tuple(map(fold, node[2]))
-        return ("const", _call(node[1], tuple(a[1] for a in args), FOLD_CHARS)) if all(a[0] == "const" for a in args) else ("call", node[1], args)
+        args = tuple([fold(a, below) for a in node[2]])
+        if all(a[0] == "const" for a in args):
+            try:
+                return ("const", _call(node[1], tuple(a[1] for a in args), FOLD_CHARS))
+            except TooLong:
+                pass
+        return ("call", node[1], args)
     if kind in ("or", "and"):
-        left, right = fold(node[1]), fold(node[2])
+        left, right = fold(node[1], below), fold(node[2], below)
         if left[0] == "const":
             return left if bool(left[1]) == (kind == "or") else right
         return (kind, left, right)
     if kind == "not":
-        inner = fold(node[1])
+        inner = fold(node[1], below)
         return ("const", not inner[1]) if inner[0] == "const" else ("not", inner)
     if kind == "get":
-        value, key = fold(node[1]), fold(node[2])
+        value, key = fold(node[1], below), fold(node[2], below)
         return ("const", _get(value[1], key[1])) if value[0] == key[0] == "const" else ("get", value, key)
     if kind == "is":
-        inner = fold(node[2])
+        inner = fold(node[2], below)
         return ("const", (inner[1] is None) if node[1] == "none" else inner[1] is not UNDEFINED) if inner[0] == "const" else ("is", node[1], inner)
     return node
 
@@ -313,42 +383,51 @@ def parse(source: str) -> list[tuple]:
         elif node != ("text", ""):
             body.append(node)
 
-    def close(kind: str) -> list:
-        if stack[-1][0] != kind:
-            raise TemplateError(f"end of {kind} without its start")
+    def open_block(kind: str) -> None:
+        if len(stack) > NESTED:
+            raise TemplateError("blocks are nested too deeply")
+        stack.append((kind, []))
+
+    def close(*kinds: str) -> list:
+        if stack[-1][0] not in kinds:
+            raise TemplateError(f"end of {kinds[0]} without its start")
         return stack.pop()[1]
 
-    for m in _TAG.finditer(source):
-        i = 1 if m[2] is not None else 4 if m[5] is not None else 7
-        before, inner, after = m[i], m[i + 1], m[i + 2]
+    while m := _OPEN.search(source, at):
+        end = source.find(_CLOSE[m[0]], m.end())
+        if end < 0:
+            raise TemplateError(f"{m[0]} without {_CLOSE[m[0]]}")
+        inner = source[m.end() : end]
+        before, inner = inner[:1] == "-", inner.removeprefix("-")
+        after, inner = inner[-1:] == "-", inner.removesuffix("-")
         text = source[at : m.start()]
         text = text.lstrip() if strip else text
         add(("text", text.rstrip() if before else text))
-        at, strip = m.end(), bool(after)
-        if i == 1:
+        at, strip = end + 2, after
+        if m[0] == "{{":
             value = fold(_Expression(inner).whole())
             add(("text", _text(value[1])) if value[0] == "const" else ("out", value))
-        elif i == 4:
+        elif m[0] == "{%":
             tag = _Expression(inner)
             word = tag.name()
             if word == "for":
                 name = tag.name()
                 tag.need("in")
                 heads.append((name, fold(tag.whole())))
-                stack.append(("for", []))
+                open_block("for")
             elif word == "endfor":
                 body = close("for")
                 add(("for", *heads.pop(), body))
             elif word == "if":
                 heads.append([(fold(tag.whole()), None)])
-                stack.append(("if", []))
+                open_block("if")
             elif word in ("elif", "else"):
                 body = close("if")
                 heads[-1][-1] = (heads[-1][-1][0], body)
                 heads[-1].append((fold(tag.whole()) if word == "elif" else ("const", True), None))
-                stack.append(("if", []))
+                open_block("if" if word == "elif" else "else")
             elif word == "endif":
-                body = close("if")
+                body = close("if", "else")
                 branches = heads.pop()
                 branches[-1] = (branches[-1][0], body)
                 live = [b for b in branches if b[0][0] != "const" or b[0][1]]
@@ -364,7 +443,7 @@ def parse(source: str) -> list[tuple]:
             elif word == "generation":
                 if any(kind == "generation" for kind, _ in stack):
                     raise TemplateError("generation blocks don't nest")
-                stack.append(("generation", []))
+                open_block("generation")
             elif word == "endgeneration":
                 add(("gen", close("generation")))
             else:
@@ -380,7 +459,7 @@ def parse(source: str) -> list[tuple]:
 
 
 class _Output:
-    def __init__(self, limit: int, max_rounds: int | None):
+    def __init__(self, limit: int, max_rounds: int):
         self.max_rounds = max_rounds
         self.parts: list[str] = []
         self.length = self.rounds = 0
@@ -391,7 +470,7 @@ class _Output:
         self.parts.append(text)
         self.length += len(text)
         if self.length > self.limit:
-            raise TemplateError("the output is too long")
+            raise TooLong("the output")
 
 
 def _value(node: tuple, limit: int) -> Callable[[dict], object]:
@@ -415,6 +494,12 @@ def _value(node: tuple, limit: int) -> Callable[[dict], object]:
     return (lambda names: left(names) or right(names)) if kind == "or" else (lambda names: left(names) and right(names))
 
 
+def _printed(value, limit: int) -> str:
+    if isinstance(value, list | dict) and _shown(value, limit) > limit:
+        raise TooLong()
+    return _text(value)
+
+
 def _writer(body: list[tuple], limit: int) -> Callable[[dict, _Output], None]:
     steps = [_step(node, limit) for node in body]
     if len(steps) == 1:
@@ -432,7 +517,7 @@ def _step(node: tuple, limit: int) -> Callable[[dict, _Output], None]:
     if kind == "text":
         return lambda names, out, t=node[1]: out.write(t)
     if kind == "out":
-        return lambda names, out, v=_value(node[1], limit): out.write(_text(v(names)))
+        return lambda names, out, v=_value(node[1], limit): out.write(_printed(v(names), limit))
     if kind == "set":
         return lambda names, out, n=node[1], v=_value(node[2], limit): names.__setitem__(n, v(names))
     if kind == "gen":
@@ -459,7 +544,7 @@ def _step(node: tuple, limit: int) -> Callable[[dict, _Output], None]:
         found = items(names)
         found = found if isinstance(found, list) else []
         out.rounds += len(found)
-        if out.max_rounds is not None and out.rounds > out.max_rounds:
+        if out.rounds > out.max_rounds:
             raise TemplateError("too many rounds")
         for i, item in enumerate(found):
             body(names | {name: item, "loop": {"index": i + 1, "index0": i, "first": i == 0, "last": i == len(found) - 1, "length": len(found)}}, out)
@@ -467,13 +552,33 @@ def _step(node: tuple, limit: int) -> Callable[[dict, _Output], None]:
     return loop
 
 
+def _loops(body: list[tuple]) -> int:
+    """How many loops a tree has."""
+    inner = {"for": lambda n: 1 + _loops(n[3]), "gen": lambda n: _loops(n[1]), "if": lambda n: sum(_loops(b) for _, b in n[1])}
+    return sum(inner[n[0]](n) for n in body if n[0] in inner)
+
+
+def _entries(names: dict) -> int:
+    """How many entries the given lists have, lists inside of them included."""
+    left, n = list(names.values()), 0
+    while left:
+        x = left.pop()
+        if isinstance(x, list):
+            n += len(x)
+            left += [y for y in x if isinstance(y, list | dict)]
+        elif isinstance(x, dict):
+            left += [y for y in x.values() if isinstance(y, list | dict)]
+    return n
+
+
 @lru_cache(maxsize=32)
 def compile_template(source: str, max_chars: int = 1 << 30, max_rounds: int | None = None) -> Callable[..., tuple[str, list[tuple[int, int]]]]:
     """A function of the template's names that returns (text, generation spans)."""
-    write = _writer(parse(source), max_chars) if source else lambda names, out: None
+    tree = parse(source)
+    write, loops = _writer(tree, max_chars), _loops(tree)
 
     def render(**names) -> tuple[str, list[tuple[int, int]]]:
-        out = _Output(max_chars, max_rounds)
+        out = _Output(max_chars, ROUNDS + loops * _entries(names) if max_rounds is None else max_rounds)
         write(names, out)
         return "".join(out.parts), out.spans
 

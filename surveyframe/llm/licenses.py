@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -75,9 +76,11 @@ class Notice:
             # Whole words, so that the edges of the window are not taken for edges of words.
             a, b = text.rfind(b" ", 0, a + 1) + 1, (text.find(b" ", b) + 1 or len(text) + 1) - 1
             part = text[a:b].decode("utf-8", "replace")
+            at, done = a, 0  # bytes and characters before the last match's end
             for m in self.pattern.finditer(part):
-                start = a + len(part[: m.start()].encode())
-                out.append((start, start + len(m.group().encode()), sum(m.fuzzy_counts)))
+                start = at + len(part[done : m.start()].encode())
+                at, done = start + len(m.group().encode()), m.end()
+                out.append((start, at, sum(m.fuzzy_counts)))
         return out
 
 
@@ -91,12 +94,12 @@ def scan_text(text: bytes, base: list[Notice], notices: list[Notice]) -> dict:
     words = folded_words(text)
     joined = b" " + b" ".join(words) + b" "
     exact = [(at, n) for n in base for at in n.places(joined)]
-    spans = []
-    for n in notices:
-        for start, end, edits in n.near(joined):
-            first = joined.count(b" ", 0, start) - 1
-            spans.append({"label": n.label, "first_word": first, "last_word": first + joined.count(b" ", start, end), "edits": edits, "score": 1 - edits / len(n.phrase)})
-    starts = [joined.count(b" ", 0, at) for at, _ in exact]
+    near = [(n, *found) for n in notices for found in n.near(joined)]
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20) if exact or near else np.zeros(0, np.int64)
+    before = lambda at: np.searchsorted(spaces, np.array(at, dtype=np.int64)).tolist()  # noqa: E731  spaces before each place
+    firsts, lasts = before([start for _, start, _, _ in near]), before([end for _, _, end, _ in near])
+    spans = [{"label": n.label, "first_word": first - 1, "last_word": last - 1, "edits": edits, "score": 1 - edits / len(n.phrase)} for (n, _, _, edits), first, last in zip(near, firsts, lasts, strict=True)]
+    starts = before([at for at, _ in exact])
     score = max([1.0 if exact else 0.0, *(s["score"] for s in spans)])
     return {
         "n_words": len(words), "n_base": len(exact), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
@@ -115,7 +118,8 @@ def license_notices(docs: DataFrame, base: dict[str, str] = BASE, further: dict[
     ``n_base`` counts the places where the words of a base phrase stand unchanged, ``first_word`` and ``last_word`` are
     the smallest and largest word at which one starts (null if none). ``labels`` adds those of all notices within their
     edits; ``spans`` has each with its first and last word, edits and score (1 without edits). A null or empty text has
-    no words, no labels and a score of 0. Phrases are lower-case words joined by single spaces.
+    no words, no labels and a score of 0. Phrases are lower-case words joined by single spaces. Spans of different notices may
+    overlap, those of one notice don't; each row is scanned by itself, repeated ones too. No rows give no rows. The work grows with the text.
     """
     both = tuple((base | further).items())
     own = tuple(base.items())

@@ -88,3 +88,31 @@ def test_many_rounds():
     assert chat.compile_template(source)(items=["y"] * 1_000_001)[0] == "y" * 1_000_001
     with pytest.raises(chat.TemplateError):
         chat.compile_template(source, max_rounds=3)(items=["y"] * 4)
+
+
+@pytest.mark.parametrize(("source", "names"), [
+    ("{{ " + "(" * 3000 + "1" + ")" * 3000 + " }}", {}), ("{{ " + "not " * 3000 + "1 }}", {}), ("{% if a %}" * 3000 + "{% endif %}" * 3000, {"a": 1}), ("{{ " + "-" * 3000 + "1 }}", {}),
+    ("{{ " + "9" * 5000 + " }}", {}), ("{{ a[b] }}", {"a": {}, "b": [1]}), ("{{ a | join(a) }}", {"a": "x" * 10_000}), ("{{ a | replace('', a) }}", {"a": "x" * 10_000}), ("{{ a ~ a }}", {"a": "x" * 6000}),
+    ("{{ 1 ", {}), ("{{" * 9000, {}), ("{% if a %}{% else %}{% elif b %}{% endif %}", {}), ("{% if a %}{% else %}{% else %}{% endif %}", {}), ("{{ " + " or ".join(["a"] * 3000) + " }}", {}), ("{{ a" + " | upper" * 3000 + " }}", {"a": "x"}),
+    ("{{ a | upper }}", {"a": ["x" * 9999] * 1000}), ("{{ a }}", {"a": ["x" * 9999] * 1000}), ("{% for a in m %}{% for b in m %}{% endfor %}{% endfor %}", {"m": list(range(1000))}),
+])
+def test_sandbox_bounds(source, names):
+    import tracemalloc
+
+    tracemalloc.start()
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template(source, 10_000)(**names)
+    assert tracemalloc.get_traced_memory()[1] < 10 * max(10_000, len(source)) + (1 << 20)
+    tracemalloc.stop()
+
+
+def test_long_constants_are_made_late():
+    source = "{{ '" + "x" * 200 + "' | replace('x', '" + "y" * 200 + "') }}"
+    assert chat.parse(source)[0][0] == "out" and render(source)[0] == "y" * 40_000
+
+
+def test_rounds_follow_the_lists():
+    source = "{% for a in m %}{% for b in a.parts %}{{ b }}{% endfor %}{% endfor %}"
+    assert render(source, m=[{"parts": ["x"] * 50}] * 100)[0] == "x" * 5000
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template(source, max_rounds=100)(m=[{"parts": ["x"] * 50}] * 100)

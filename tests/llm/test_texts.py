@@ -334,3 +334,45 @@ def test_shards_against_ranks_and_cuts_in_python(spark):
     for r in sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string"), 16).collect():
         found.setdefault((-1 if r.doc_id is None else r.doc_id, r.source), []).append((r.shard, r.slot))
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in wanted.items()}
+
+
+def test_notices_against_words():
+    """Random texts of notices: base places and spans by a plain walk over the words."""
+    rnd = random.Random(9)
+    base, both = licenses._notices(tuple(licenses.BASE.items()), 10), licenses._notices(tuple((licenses.BASE | licenses.FURTHER).items()), 10)
+    words = sorted({w for p in licenses.BASE | licenses.FURTHER for w in p.split()} | {"ünder", "mít", "x"})
+    phrases = list(licenses.BASE | licenses.FURTHER)
+    for _ in range(150):
+        text = " ".join(rnd.choice(phrases) if rnd.random() < 0.2 else rnd.choice(words) for _ in range(rnd.randrange(60)))
+        found, held = licenses.scan_text(text.encode(), base, both), text.split()
+        places = [(i, label) for p, label in licenses.BASE.items() for i in range(len(held)) if held[i : i + len(p.split())] == p.split()]
+        assert (found["n_words"], found["n_base"], found["first_word"], found["last_word"]) == (len(held), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None))
+        assert found["base_labels"] == ",".join(sorted({x for _, x in places}))
+        exact = {(label, i, i + len(p.split()) - 1) for p, label in (licenses.BASE | licenses.FURTHER).items() for i in range(len(held)) if held[i : i + len(p.split())] == p.split()}
+        for s in found["spans"]:
+            part = " ".join(held[s["first_word"] : s["last_word"] + 1])
+            phrase = next(p for p, label in (licenses.BASE | licenses.FURTHER).items() if label == s["label"])
+            assert edits(part, phrase) == s["edits"] <= len(phrase) // 10 and s["score"] == 1 - s["edits"] / len(phrase)
+        assert {x for x in exact if not any(s["label"] == x[0] and s["first_word"] <= x[2] and x[1] <= s["last_word"] for s in found["spans"])} == set()
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_a_text_full_of_notices():
+    import time
+
+    base, both = licenses._notices(tuple(licenses.BASE.items()), 10), licenses._notices(tuple((licenses.BASE | licenses.FURTHER).items()), 10)
+    part = b"under the mit license and gnu genral public license version 3 cc by nc "
+    took = []
+    for n in (1000, 8000):
+        start = time.process_time()
+        assert licenses.scan_text(part * n, base, both)["n_base"] == 2 * n
+        took.append(time.process_time() - start)
+    assert took[1] < 16 * max(took[0], 0.05)
