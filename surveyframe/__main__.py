@@ -86,7 +86,8 @@ def main(argv: list[str] | None = None) -> int:
             return 2
         if a.keep_pngs:
             extract.write_pages(pages, f"{a.output_dir}/pages")
-        truth = grid.slot_answers(xlsx.read_cells(files.where(~F.lower("file_name").endswith(".pdf")), skip_broken=True))
+        parts = cut(xlsx.read_parts(files.where(~F.lower("file_name").endswith(".pdf")), skip_broken=True))
+        truth = grid.slot_answers(xlsx.cells_of(parts), xlsx.merges_of(parts))
         items = cut(plans.extract_items(done, _made(a.extractor), a.window, a.stride, truth, a.max_attempts))
         named = windows.in_question_order(items.withColumn("file_name", _stem()))
         empty = done.select(_stem().alias("file_name")).distinct().join(named.select("file_name").distinct(), "file_name", "left_anti")

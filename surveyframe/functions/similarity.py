@@ -138,6 +138,22 @@ def legacy_token_set_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="int32")
 
 
+def legacy_tokens(x: Column | str) -> Column:
+    """The distinct tokens that the integer score compares, sorted."""
+    ascii_only = F.regexp_replace(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")), r"[^\x00-\x7F]", "")
+    return tokens(F.lower(F.regexp_replace(ascii_only, r"[^A-Za-z0-9_]", " ")))
+
+
+def legacy_tokens_score(a: Column, b: Column) -> Column:
+    """The integer score of two arrays of such tokens."""
+    return legacy_token_set_score(F.array_join(a, " "), F.array_join(b, " "))
+
+
+def legacy_tokens_bound(a: Column, b: Column) -> Column:
+    """At least that score: matching blocks are common subsequences, and rounding adds half a point at most."""
+    return tokens_bound(a, b) + 0.5
+
+
 def composite_score(label: Column, prompt: Column, seed_label: Column, seed_prompt: Column) -> Column:
     """0 unless both labels are empty or equal, else the integer score of the prompts."""
     return F.when(F.coalesce(label, F.lit("")) == F.coalesce(seed_label, F.lit("")), legacy_token_set_score(prompt, seed_prompt)).otherwise(0)

@@ -1,84 +1,49 @@
 """Greedy clustering by similarity, in blocks of seeds.
 
 In processing order, an item joins the seed that is most similar to it, the earliest of equals, if the score reaches the
-threshold; else it becomes a seed itself. So an item is a seed just if no earlier seed reaches the threshold with it.
-
-Each round takes the first ``BLOCK`` items that no seed so far has reached, decides among them which are seeds, and scores
-all items against those new seeds, a broadcast of at most ``BLOCK`` rows. The work is items times seeds, as the rule asks
-for, spread over all tasks. Scores below the threshold, ruled out by the texts' lengths first, are never kept.
+threshold; else it becomes a seed itself. So an item is a seed just if no earlier seed reaches the threshold with it. Items
+meet seeds by the index of ``simjoin``; those of equal tokens meet them once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import count
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
 from ..storage import cut, numbered
+from .simjoin import greedy_edges
 
 #: Items decided, and so seeds broadcast, in one round.
-BLOCK = 256
-
+BLOCK = 1024
 
-def _edges(items: DataFrame, seeds: DataFrame, columns: list[str], score: Callable[[dict, dict], Column], bound: Callable[[dict, dict], Column] | None, threshold: float) -> DataFrame:
-    other = seeds.select(F.col("ord").alias("seed_ord"), *[F.col(c).alias(f"seed_{c}") for c in columns])
-    pairs = items.crossJoin(F.broadcast(other))
-    own, seed = {c: F.col(c) for c in columns}, {c: F.col(f"seed_{c}") for c in columns}
-    if bound is not None:
-        pairs = pairs.where(bound(own, seed) >= threshold)
-    return pairs.select("ord", "seed_ord", score(own, seed).cast("double").alias("score")).where(F.col("score") >= threshold)
 
-
-def greedy_edges(items: DataFrame, columns: list[str], score, threshold: float, bound=None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(edges (ord, seed_ord, score) of every item and seed that reach the threshold, seeds (seed_ord)).
-
-    ``items``: ``ord``, unique, and the columns that ``score(item, seed)`` compares. An item's own seed counts only if it
-    reaches the threshold with itself, so the caller adds each seed's own row.
-    """
-    items = cut(items.select("ord", *columns))
-    spark = items.sparkSession
-    edges = spark.createDataFrame([], "ord long, seed_ord long, score double")
-    seeds = spark.createDataFrame([], "seed_ord long")
-    open_items = items
-    for n in count(1):
-        first = open_items.orderBy("ord").limit(block)
-        first = spark.createDataFrame(first.collect(), first.schema)  # at most ``block`` rows
-        near = {(r.ord, r.seed_ord) for r in _edges(first, first, columns, score, bound, threshold).where("seed_ord < ord").collect()}
-        new: list[int] = []
-        for (o,) in sorted(first.select("ord").collect()):
-            if not any((o, s) in near for s in new):
-                new.append(o)
-        if not new:
-            return edges, seeds
-        chosen = spark.createDataFrame([(s,) for s in new], "seed_ord long")
-        found = cut(_edges(items, first.join(F.broadcast(chosen), F.col("ord") == F.col("seed_ord"), "left_semi"), columns, score, bound, threshold))
-        edges, seeds = edges.unionByName(found), seeds.unionByName(chosen)
-        if n % 16 == 0:  # a plan of hundreds of parts is slow to make
-            edges, seeds = cut(edges), cut(seeds)
-        reached = found.where("seed_ord < ord").select("ord").distinct()
-        open_items = cut(open_items.join(reached, "ord", "left_anti").join(F.broadcast(chosen), F.col("ord") == F.col("seed_ord"), "left_anti"))
-
-
-def _numbered(seeds: DataFrame, threshold: float) -> DataFrame:
+def _numbered(seeds: DataFrame) -> DataFrame:
     """seed_ord to cluster, from 0 in processing order. Seeds are few: as many as clusters."""
     return numbered(seeds.select("seed_ord"), "nth", F.col("seed_ord")).select("seed_ord", (F.col("nth") - 1).cast("int").alias("cluster"))
 
 
-def _best(candidates: DataFrame) -> DataFrame:
-    """ord, seed_ord and score of the best seed, the earliest of equals."""
-    return candidates.groupBy("ord").agg(F.max_by(F.struct("seed_ord", "score"), F.struct("score", (-F.col("seed_ord")).alias("early"))).alias("b")).select("ord", "b.seed_ord", "b.score")
-
-
 def text_order(long: DataFrame, column: str = "question_text") -> DataFrame:
     """Distinct texts with ``ord`` from 1: most frequent first, then longest, then by the text itself."""
     freq = long.groupBy(F.col(column).alias("question_text")).agg(F.count(F.lit(1)).alias("freq"))
     return numbered(freq, "ord", F.desc("freq"), F.desc(F.length("question_text")), F.asc("question_text"))
 
 
+def _assigned(items: DataFrame, threshold: float, score, bound, block: int, slack: float = 0) -> tuple[DataFrame, DataFrame]:
+    """(ord, seed_ord, score of every item; seed_ord of every seed) for ``items`` (ord, part, tokens). An item without tokens is a
+    seed of its own with a score of 0."""
+    items = cut(items.select("ord", "part", "tokens"))
+    sets = cut(items.where(F.size("tokens") > 0).groupBy("part", "tokens").agg(F.min("ord").alias("first")))
+    edges, seeds = greedy_edges(sets.select(F.col("first").alias("ord"), "part", "tokens"), threshold, score, bound, block, slack)
+    by_set = edges.withColumnRenamed("ord", "first").join(sets, "first").drop("first")
+    met = items.join(by_set, ["part", "tokens"]).where("seed_ord <= ord").select("ord", "seed_ord", "score")
+    # A seed's own row is its own, whatever else it resembles; an earlier seed would have kept it from being one.
+    best = met.groupBy("ord").agg(F.max_by(F.struct("seed_ord", "score"), F.struct("score", (-F.col("seed_ord")).alias("early"))).alias("b")).select("ord", "b.seed_ord", "b.score")
+    alone = items.where(F.size("tokens") == 0).select("ord", F.col("ord").alias("seed_ord"), F.lit(0.0).alias("score"))
+    return best.unionByName(alone), seeds.unionByName(alone.select("seed_ord"))
+
+
 def cluster_texts(long: DataFrame, threshold: float = 85, column: str = "question_text", block: int = BLOCK) -> DataFrame:
     """question_text, cluster, seed_text, for each distinct text."""
     texts = cut(text_order(long, column).select("ord", "question_text", S.tokens(T.norm_match("question_text")).alias("tokens")))
@@ -86,12 +51,8 @@ def cluster_texts(long: DataFrame, threshold: float = 85, column: str = "questio
         seeds = texts.where("ord = 1").select(F.col("ord").alias("seed_ord"))
         assigned = texts.select("ord", F.lit(1).cast("long").alias("seed_ord"))
     else:
-        score = lambda a, b: S.tokens_score(a["tokens"], b["tokens"])
-        bound = lambda a, b: S.tokens_bound(a["tokens"], b["tokens"])
-        edges, seeds = greedy_edges(texts, ["tokens"], score, threshold, bound, block)
-        members = edges.where("seed_ord < ord").join(seeds.select(F.col("seed_ord").alias("ord")), "ord", "left_anti")
-        assigned = _best(members).select("ord", "seed_ord").unionByName(seeds.select(F.col("seed_ord").alias("ord"), "seed_ord"))
-    named = assigned.join(_numbered(seeds, threshold), "seed_ord").join(texts.select(F.col("ord").alias("seed_ord"), F.col("question_text").alias("seed_text")), "seed_ord")
+        assigned, seeds = _assigned(texts.withColumn("part", F.lit("")), threshold, S.tokens_score, S.tokens_bound, block)
+    named = assigned.select("ord", "seed_ord").join(_numbered(seeds), "seed_ord").join(texts.select(F.col("ord").alias("seed_ord"), F.col("question_text").alias("seed_text")), "seed_ord")
     return texts.select("ord", "question_text").join(named, "ord").select("question_text", "cluster", "seed_text")
 
 
@@ -103,23 +64,12 @@ def with_clusters(long: DataFrame, threshold: float = 85, block: int = BLOCK) ->
 def cluster_rows(rows: DataFrame, threshold: int = 80, block: int = BLOCK) -> DataFrame:
     """``rows`` (ord, option_label, prompt, ...) with ``group``, ``seed_ord`` and ``match_score``, row by row in their order.
 
-    Rows match on the first line of the prompt, given equal labels. Equal keys are scored once; a prompt that doesn't
-    reach the threshold with itself makes a group of each of its rows.
+    Rows match on the first line of the prompt, given equal labels. Equal prompts are scored once; a prompt without letters
+    and digits of ASCII makes a group of each of its rows.
     """
     keyed = cut(rows.withColumns({"label_key": T.match_key("option_label"), "prompt_key": T.match_key("prompt")}))
-    own = S.composite_score(F.col("label_key"), F.col("prompt_key"), F.col("label_key"), F.col("prompt_key"))
-    keys = cut(keyed.groupBy("label_key", "prompt_key").agg(F.min("ord").alias("first")).withColumn("self", own))
-    alone = keys.where(F.col("self") < threshold).select("label_key", "prompt_key")
-    matched = keys.where(F.col("self") >= threshold).select(F.col("first").alias("ord"), "label_key", "prompt_key")
-    score = lambda a, b: S.composite_score(a["label_key"], a["prompt_key"], b["label_key"], b["prompt_key"])
-    bound = lambda a, b: F.when(a["label_key"] == b["label_key"], 100.0).otherwise(0.0)
-    edges, seeds = greedy_edges(matched, ["label_key", "prompt_key"], score, threshold, bound, block)
-    by_key = edges.withColumnRenamed("ord", "first").join(keys.select("first", "label_key", "prompt_key"), "first").drop("first")
-    in_order = keyed.select("ord", "label_key", "prompt_key").join(by_key, ["label_key", "prompt_key"]).where("seed_ord <= ord")
-    # A seed's own row is its own, whatever else it resembles; an earlier seed would have kept it from being one.
-    best = _best(in_order)
-    lonely = keyed.join(alone, ["label_key", "prompt_key"]).select("ord", F.col("ord").alias("seed_ord"), F.lit(0.0).alias("score"))
-    assigned = best.unionByName(lonely)
-    groups = _numbered(seeds.unionByName(lonely.select("seed_ord")), threshold).withColumnRenamed("cluster", "group")
+    items = keyed.select("ord", F.col("label_key").alias("part"), S.legacy_tokens("prompt_key").alias("tokens"))
+    assigned, seeds = _assigned(items, threshold, S.legacy_tokens_score, S.legacy_tokens_bound, block, slack=0.5)
+    groups = _numbered(seeds).withColumnRenamed("cluster", "group")
     out = keyed.join(assigned, "ord").join(groups, "seed_ord")
     return out.withColumn("match_score", F.col("score").cast("int")).drop("score")

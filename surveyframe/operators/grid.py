@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .longframe import PARSED_COLUMNS
+from .ranges import KEY, entry_cells, located
 
-KEY = ["file_name", "sheet"]
 FIRST, LAST = T.column_number("B"), T.column_number("AO")
 SIDE_LAST = T.column_number("K")
 
@@ -22,7 +22,7 @@ _STYLE = {"fill_rgb": "string", "fill_type": "string", "bold": "boolean", "itali
 
 def merged_cells(merges: DataFrame) -> DataFrame:
     """file_name, sheet, row, col, anchor_row, anchor_col of every cell of every merged range; of overlapping ranges the
-    one that starts last."""
+    one that starts last. A row for each cell: for ranges of some cells. ``ranges.located`` asks for cells instead."""
     rows = merges.select(*KEY, F.col("min_row").alias("anchor_row"), F.col("min_col").alias("anchor_col"), F.explode(F.sequence("min_row", "max_row")).alias("row"), "min_col", "max_col")
     cells = rows.select(*KEY, "row", F.explode(F.sequence("min_col", "max_col")).alias("col"), "anchor_row", "anchor_col")
     last = F.max(F.struct("anchor_row", "anchor_col")).alias("a")
@@ -30,7 +30,8 @@ def merged_cells(merges: DataFrame) -> DataFrame:
 
 
 def dropdown_cells(dropdowns: DataFrame) -> DataFrame:
-    """file_name, sheet, row, col, options of every cell with a list; a later rule replaces an earlier one."""
+    """file_name, sheet, row, col, options of every cell with a list; a later rule replaces an earlier one. A row for each cell, as
+    above."""
     rows = dropdowns.select(*KEY, F.explode(F.sequence("min_row", "max_row")).alias("row"), "min_col", "max_col", F.btrim("options", F.lit('"')).alias("options"), "pos")
     cells = rows.select(*KEY, "row", F.explode(F.sequence("min_col", "max_col")).alias("col"), "options", "pos")
     return cells.groupBy(*KEY, "row", "col").agg(F.max_by("options", "pos").alias("options"))
@@ -39,26 +40,27 @@ def dropdown_cells(dropdowns: DataFrame) -> DataFrame:
 def resolved_cells(cells: DataFrame, merges: DataFrame | None = None, dropdowns: DataFrame | None = None) -> DataFrame:
     """``cells`` with anchor_row, anchor_col, the anchor's text, fill and style, and options (the cell's own, else the anchor's).
 
-    Cells inside a merged range that the grid lacks, as files may leave them out, are there too.
+    Files may leave out cells inside a merged range; those at which a reader meets the range are there too, in rows in use.
+    Ranges are joined by bands of rows, so their size costs nothing.
     """
     base = cells.select(*KEY, "row", "col", "value", *[F.col(c) if c in cells.columns else F.lit(None).cast(k).alias(c) for c, k in _STYLE.items()])
-    if base.schema["fill_type"].nullable and "fill_type" not in cells.columns:
+    if "fill_type" not in cells.columns:
         base = base.withColumn("fill_type", F.lit("rgb"))
     if merges is not None:
-        base = base.join(merged_cells(merges), [*KEY, "row", "col"], "full")
-    else:
-        base = base.withColumns({"anchor_row": F.lit(None).cast("int"), "anchor_col": F.lit(None).cast("int")})
-    base = base.withColumns({"anchor_row": F.coalesce("anchor_row", "row"), "anchor_col": F.coalesce("anchor_col", "col")})
-    if merges is not None:
-        anchor = cells.select(*KEY, F.col("row").alias("anchor_row"), F.col("col").alias("anchor_col"), F.struct("value", *[F.col(c) if c in cells.columns else F.lit(None).cast(k).alias(c) for c, k in _STYLE.items()]).alias("of_anchor"))
-        base = base.join(anchor, [*KEY, "anchor_row", "anchor_col"], "left")
-        base = base.withColumns({c: F.coalesce(F.col(f"of_anchor.{c}"), F.col(c)) for c in ("value", *_STYLE)}).drop("of_anchor")
-    if dropdowns is not None:
-        lists = dropdown_cells(dropdowns)
-        base = base.join(lists, [*KEY, "row", "col"], "left")
-        of_anchor = lists.select(*KEY, F.col("row").alias("anchor_row"), F.col("col").alias("anchor_col"), F.col("options").alias("of_anchor"))
-        base = base.join(of_anchor, [*KEY, "anchor_row", "anchor_col"], "left").withColumn("options", F.coalesce("options", "of_anchor")).drop("of_anchor")
+        held = F.struct("value", *_STYLE)
+        at = [F.coalesce(f"anchor_{c}", c).alias(f"anchor_{c}") for c in ("row", "col")]
+        points = base.select(*KEY, "row", "col", held.alias("own")).unionByName(entry_cells(cells, merges, dropdowns, FIRST, SIDE_LAST), allowMissingColumns=True)
+        points = located(points, merges, dropdowns)
+        points = points.select(*KEY, "row", "col", "own", *at, *(["options"] if dropdowns is not None else []))
+        starts = located(merges.select(*KEY, F.col("min_row").alias("row"), F.col("min_col").alias("col")).distinct(), None, dropdowns)
+        starts = starts.join(base.select(*KEY, "row", "col", held.alias("of_anchor")), [*KEY, "row", "col"], "left").withColumnsRenamed({"row": "anchor_row", "col": "anchor_col", "options": "of_options"})
+        base = points.join(starts, [*KEY, "anchor_row", "anchor_col"], "left").withColumns({c: F.coalesce(f"of_anchor.{c}", f"own.{c}") for c in ("value", *_STYLE)})
+        if dropdowns is not None:
+            base = base.withColumn("options", F.coalesce("options", "of_options")).drop("of_options")
+        base = base.drop("own", "of_anchor")
     else:
+        base = located(base, None, dropdowns).withColumns({"anchor_row": F.col("row"), "anchor_col": F.col("col")})
+    if dropdowns is None:
         base = base.withColumn("options", F.lit(None).cast("string"))
     text = F.coalesce(T.strip("value"), F.lit(""))
     return base.withColumns({"text": text, "fill": T.fill_class("fill_rgb", "fill_type")}).withColumns({"bold": F.coalesce("bold", F.lit(False)), "italic": F.coalesce("italic", F.lit(False))})

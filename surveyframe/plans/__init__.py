@@ -79,7 +79,8 @@ def compare_files(spark: SparkSession, path: str, output: str | None = None, thr
 def parse_files(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Styled workbooks to cells (resolved), sub_questions, remarks and json."""
     files = xlsx.list_files(spark, path, "parse")
-    resolved = cut(grid.resolved_cells(xlsx.read_cells(files), xlsx.read_merges(files), xlsx.read_dropdowns(files)))
+    parts = cut(xlsx.read_parts(files))
+    resolved = cut(grid.resolved_cells(xlsx.cells_of(parts), xlsx.merges_of(parts), xlsx.dropdowns_of(parts)))
     flat, notes = cut(grid.sub_questions(resolved)), grid.remarks(resolved)
     return {"cells": resolved, "sub_questions": flat, "remarks": notes, "json": grid.nested_sheets(flat, notes, grid.source_rows(resolved))}
 

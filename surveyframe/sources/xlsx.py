@@ -1,6 +1,7 @@
 """Reads and writes workbooks with the standard library alone.
 
-Files are read with Spark's binaryFile source, a row and so a task's work for each, from any store that Spark reaches.
+Files are read with Spark's binaryFile source, a row and so a task's work for each, from any store that Spark reaches; or by
+``xlsx_source``, a task for each sheet. A sheet is read by events, so only one of its rows is held at a time.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import re
 import zipfile
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
+from itertools import islice
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -56,12 +58,16 @@ def is_date_format(code: str) -> bool:
 
 
 class Workbook:
-    """The cells, merged ranges and list validations of a workbook's sheets. Formulas give their cached values."""
+    """The cells, merged ranges and list validations of a workbook's sheets. Formulas give their cached values.
 
-    def __init__(self, data: bytes):
-        self.zip = zipfile.ZipFile(io.BytesIO(data))
+    ``data``: the file's bytes, or a file that can be read at any place.
+    """
+
+    def __init__(self, data):
+        self.zip = zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data)
         names = set(self.zip.namelist())
-        self.strings = ["".join(t.text or "" for t in si.iter(_MAIN + "t")) for si in self._xml("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
+        self._shared = "xl/sharedStrings.xml" in names
+        self._strings: list[str] | None = None
         self.dates: set[int] = set()
         self.styles = self._styles() if "xl/styles.xml" in names else []
         targets = {r.get("Id"): r.get("Target") for r in self._xml("xl/_rels/workbook.xml.rels")}
@@ -72,6 +78,30 @@ class Workbook:
             if "worksheets/" in target:
                 self.sheets.append((s.get("name"), target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
 
+    @property
+    def strings(self) -> list[str]:
+        """The shared strings, read when the first is asked for."""
+        if self._strings is None:
+            self._strings = ["".join(t.text or "" for t in si.iter(_MAIN + "t")) for si in self._events("xl/sharedStrings.xml", {"si"})] if self._shared else []
+        return self._strings
+
+    def _events(self, name: str, tags: set[str]) -> Iterator:
+        """The elements of these tags as they end, in the file's order. What has been seen is dropped."""
+        wanted = {_MAIN + t for t in tags}
+        with self.zip.open(name) as f:
+            path, inside = [], 0
+            for event, node in ElementTree.iterparse(f, ("start", "end")):
+                if event == "start":
+                    path.append(node)
+                    inside += node.tag in wanted
+                    continue
+                path.pop()
+                inside -= node.tag in wanted
+                if node.tag in wanted:
+                    yield node
+                if path and not inside:
+                    path[-1].remove(node)
+
     def _xml(self, name: str):
         return ElementTree.fromstring(self.zip.read(name))
 
@@ -117,36 +147,48 @@ class Workbook:
         early = self.epoch.year == 1899 and 1 <= days < 60
         return str(self.epoch + timedelta(days=int(days) + early, milliseconds=round(days % 1 * 86_400_000)))
 
-    def cells(self) -> Iterator[tuple]:
-        """(sheet, sheet_pos, row, col, value, fill_rgb, fill_type, bold, italic, font_size) of cells with a value or a fill."""
-        for pos, (name, path) in enumerate(self.sheets):
-            for c in self._xml(path).iter(_MAIN + "c"):
-                value, style = self._value(c), int(c.get("s", 0))
+    def parts(self, pos: int, kinds: set[str] = frozenset(("cell", "merge", "list"))) -> Iterator[tuple[str, tuple]]:
+        """(kind, row) of a sheet, in one pass: ("cell", (row, col, value, fill_rgb, fill_type, bold, italic, font_size)) of cells with a
+        value or a fill, ("merge", range), ("list", (*range, options, pos)). A range: (min_row, max_row, min_col, max_col)."""
+        rules = 0
+        tags = {"c"} if kinds == {"cell"} else {"mergeCell", "dataValidation"} | ({"c"} if "cell" in kinds else set())
+        for node in self._events(self.sheets[pos][1], tags | {"row"}):
+            if node.tag == _MAIN + "c" and "cell" in kinds:
+                value, style = self._value(node), int(node.get("s", 0))
                 rgb, kind, bold, italic, size = self.styles[style] if style < len(self.styles) else (None, None, False, False, None)
                 if value is not None or rgb is not None:
-                    yield (name, pos, *_place(c.get("r")), value, rgb, kind, bold, italic, size)
+                    yield "cell", (*_place(node.get("r")), value, rgb, kind, bold, italic, size)
+            elif node.tag == _MAIN + "mergeCell" and "merge" in kinds:
+                yield "merge", _range(node.get("ref"))
+            elif node.tag == _MAIN + "dataValidation":
+                formula = node.find(_MAIN + "formula1")
+                if node.get("type") == "list" and formula is not None and "list" in kinds:
+                    for ref in (node.get("sqref") or "").split():
+                        yield "list", (*_range(ref), formula.text or "", rules)
+                rules += 1
+
+    def _of_all(self, kind: str) -> Iterator[tuple]:
+        for pos, (name, _) in enumerate(self.sheets):
+            for _, row in self.parts(pos, {kind}):
+                yield (name, pos, *row) if kind == "cell" else (name, *row)
+
+    def cells(self) -> Iterator[tuple]:
+        """(sheet, sheet_pos, row, col, value, fill_rgb, fill_type, bold, italic, font_size) of cells with a value or a fill."""
+        return self._of_all("cell")
 
     def merges(self) -> Iterator[tuple]:
-        for name, path in self.sheets:
-            for m in self._xml(path).iter(_MAIN + "mergeCell"):
-                yield (name, *_range(m.get("ref")))
+        return self._of_all("merge")
 
     def dropdowns(self) -> Iterator[tuple]:
-        for name, path in self.sheets:
-            for pos, d in enumerate(self._xml(path).iter(_MAIN + "dataValidation")):
-                formula = d.find(_MAIN + "formula1")
-                if d.get("type") == "list" and formula is not None:
-                    for ref in (d.get("sqref") or "").split():
-                        yield (name, *_range(ref), formula.text or "", pos)
+        return self._of_all("list")
 
     def table(self, sheet: str | None = "questions") -> tuple[list[str], list[list[str | None]]]:
         """Header and rows of the named sheet, else of the first; all cells as text."""
         names = [n for n, _ in self.sheets]
         pos = names.index(sheet) if sheet in names else 0
         rows: dict[int, dict[int, str | None]] = {}
-        for name, at, row, col, value, *_ in self.cells():
-            if at == pos and name == names[pos]:
-                rows.setdefault(row, {})[col] = value
+        for _, (row, col, value, *_) in self.parts(pos, {"cell"}) if names else ():
+            rows.setdefault(row, {})[col] = value
         if not rows:
             return [], []
         first = min(rows)
@@ -173,25 +215,63 @@ def is_folder(spark: SparkSession, path: str) -> bool | None:
     return found.getFileStatus(target).isDirectory() if found.exists(target) else None
 
 
+#: Rows of one batch on their way out of Python.
+_BATCH = 20_000
+
+
 def _each(files: DataFrame, schema: str, rows, skip_broken: bool = False) -> DataFrame:
     columns = [c.split()[0] for c in schema.split(", ")]
 
+    def found(name: str, data: bytes) -> Iterator[tuple]:
+        try:
+            for r in rows(Workbook(data)):
+                yield (name, *r)
+        except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, AttributeError):
+            if not skip_broken:
+                raise
+
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, data in zip(frame["file_name"], frame["content"], strict=True):
-                try:
-                    found = [(name, *r) for r in rows(Workbook(bytes(data)))]
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, AttributeError):
-                    if not skip_broken:
-                        raise
-                    found = []
-                out = pd.DataFrame(found, columns=columns, dtype=object)
-                if len(out):
-                    yield out
+                left = found(name, bytes(data))
+                while some := list(islice(left, _BATCH)):
+                    yield pd.DataFrame(some, columns=columns, dtype=object)
 
     return files.select("file_name", "content").mapInPandas(run, schema)
 
 
+PART_SCHEMA = CELL_SCHEMA + ", kind string, min_row int, max_row int, min_col int, max_col int, options string, pos int"
+
+
+def read_parts(files: DataFrame, skip_broken: bool = False) -> DataFrame:
+    """Cells, merges and lists of all workbooks in one pass, told apart by ``kind`` (cell, merge, list). See ``cells_of`` and its
+    like; write the table once before using several of them."""
+
+    def rows(book: Workbook):
+        for pos, (name, _) in enumerate(book.sheets):
+            for kind, row in book.parts(pos):
+                cell, rest = (row, ()) if kind == "cell" else ((None,) * 8, row)
+                yield (name, pos, *cell, kind, *rest, *(None,) * (6 - len(rest)))
+
+    return _each(files, PART_SCHEMA, rows, skip_broken)
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def cells_of(parts: DataFrame) -> DataFrame:
+    return parts.where("kind = 'cell'").select(*_columns(CELL_SCHEMA))
+
+
+def merges_of(parts: DataFrame) -> DataFrame:
+    return parts.where("kind = 'merge'").select(*_columns(MERGE_SCHEMA))
+
+
+def dropdowns_of(parts: DataFrame) -> DataFrame:
+    return parts.where("kind = 'list'").select(*_columns(DROPDOWN_SCHEMA))
+
+
 def read_cells(files: DataFrame, skip_broken: bool = False) -> DataFrame:
     """The cells of all workbooks; one that can't be read fails the run, or gives no rows if ``skip_broken``."""
     return _each(files, CELL_SCHEMA, Workbook.cells, skip_broken)

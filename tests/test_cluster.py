@@ -62,3 +62,27 @@ def test_rows_against_sequential_greedy(spark):
             seeds.append((key(label), key(prompt)))
             expected[i] = len(seeds) - 1
     assert found == expected
+
+
+def test_join_against_all_pairs(spark):
+    """Typos, so that similar texts share no token; long and short texts; parts that don't meet."""
+    from surveyframe.functions import similarity as S
+    from surveyframe.operators import simjoin
+
+    rnd = random.Random(8)
+
+    def typo(text):
+        at = rnd.randrange(len(text))
+        return text[:at] + rnd.choice(["", "e", "zz", text[at] * 2]) + text[at + 1 :]
+
+    texts = ["custodian", "is the custodian", "registered office address of the custodian", "ownership", "é 中文 x", "a", "b c"]
+    for _ in range(110):
+        texts.append(typo(typo(rnd.choice(texts))) or "x")
+    rows = [(i, rnd.choice("pq"), sorted(set(t.split()))) for i, t in enumerate(texts)]
+    items = spark.createDataFrame([(*r, "clash") for r in rows], "ord long, part string, tokens array<string>, key string")
+    pairs = items.alias("a").crossJoin(items.alias("b")).where("a.part = b.part")
+    for score, bound, slack, threshold in ((S.tokens_score, S.tokens_bound, 0, 60), (S.tokens_score, S.tokens_bound, 0, 85), (S.legacy_tokens_score, S.legacy_tokens_bound, 0.5, 80)):
+        wanted = {(r[0], r[1]): r[2] for r in pairs.select("a.ord", "b.ord", score(F.col("a.tokens"), F.col("b.tokens")).cast("double")).collect() if r[2] >= threshold}
+        found = simjoin.edges(items, simjoin.index(items, threshold - slack), items.select(F.col("ord").alias("seed_ord")), threshold, score, bound, slack)
+        assert {(r.ord, r.seed_ord): r.score for r in found.collect()} == wanted and len(wanted) > len(rows)
+        assert "CartesianProduct" not in (plan := found._jdf.queryExecution().toString()) and "BroadcastNestedLoopJoin" not in plan

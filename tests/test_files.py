@@ -184,3 +184,76 @@ def test_dates_and_merges_from_a_file():
     assert [(c[2], c[3], c[4], c[5], c[7], c[9]) for c in book.cells()] == [(1, 1, "2024-01-02 00:00:00", "FFD9D9D9", True, 14.0), (1, 2, "18:00:00", None, True, 14.0), (1, 3, "45293", None, True, 14.0), (1, 4, "2024-01-02 12:00:00", None, True, 14.0)]
     assert list(book.merges()) == [("s", 1, 2, 1, 2)] and list(book.dropdowns()) == [("s", 1, 3, 3, 3, '"YES,NO"', 0)]
     assert [xlsx.is_date_format(f) for f in ("0.00", "General", '"days" 0', "[Red]0", "[h]:mm", "yyyy")] == [False, False, False, False, True, True]
+
+
+def _styled(path):
+    """A workbook with merges, lists, styles and shared strings, as a spreadsheet program writes them."""
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cell = lambda ref, text, style: f'<c r="{ref}" s="{style}" t="inlineStr"><is><t>{text}</t></is></c>' if text is not None else f'<c r="{ref}" s="{style}"/>'
+    rows = {
+        1: [("N1", "COMPANY PROFILE", 1)], 2: [("L2", "Q1", 0), ("N2", "Which channels?", 0)], 3: [("B3", "YES", 2), ("N3", "Branch", 0)], 4: [("B4", "NO", 2), ("N4", "Online", 0)],
+        6: [("B6", "YES", 2), ("L6", "Q2", 0), ("N6", "Regulator", 0)], 7: [("N7", "e.g. SFC", 3)], 8: [("N8", "HKMA", 2)], 9: [("AQ9", "check this", 0)], 10: [("N10", None, 2)],
+    }
+    data = "".join(f'<row r="{r}">{"".join(cell(*c) for c in cells)}</row>' for r, cells in rows.items())
+    merges = ["N1:AC1", "N2:AC2", "B3:G3", "B4:G4", "B6:G6", "N8:AC8"]
+    sheet = f'<worksheet {main}><sheetData>{data}</sheetData><mergeCells>{"".join(f"""<mergeCell ref="{m}"/>""" for m in merges)}</mergeCells><dataValidations><dataValidation type="list" sqref="B1:B1048576"><formula1>"YES,NO"</formula1></dataValidation><dataValidation type="whole" sqref="C1"/><dataValidation type="list" sqref="Z1 Z2"><formula1>"x"</formula1></dataValidation></dataValidations></worksheet>'
+    styles = f'<styleSheet {main}><fonts><font><sz val="11"/></font><font><b/><sz val="14"/></font><font><i/><sz val="11"/></font></fonts><fills><fill><patternFill/></fill><fill><patternFill><fgColor rgb="00D9D9D9"/></patternFill></fill></fills><cellXfs><xf fontId="0" fillId="0"/><xf fontId="1" fillId="0"/><xf fontId="0" fillId="1"/><xf fontId="2" fillId="0"/></cellXfs></styleSheet>'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="One" sheetId="1" r:id="a"/><sheet name="Two" sheetId="2" r:id="b"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", styles)
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>shared</t></si><si><r><t>two </t></r><r><t>runs</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {main}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row></sheetData></worksheet>')
+
+
+def test_a_styled_file_end_to_end(spark, tmp_path):
+    _styled(tmp_path / "s.xlsx")
+    tables = plans.parse_files(spark, str(tmp_path))
+    rows = tables["sub_questions"].orderBy("segment", "sub_idx").collect()
+    assert [(r.section, r.question_id, r.sub_idx, r.option_label, r.prompt, r.hint, r.answer, r.answer_cell, r.side_answer, r.side_answer_options, r.side_answer_cell) for r in rows] == [
+        ("COMPANY PROFILE", "Q1", 0, "", "Which channels?", "", "Branch", "", "", "", ""),
+        ("COMPANY PROFILE", "Q2", 0, "", "Regulator\ne.g. SFC", "e.g. SFC", "HKMA", "N8", "YES", "YES,NO", "B6"),
+        ("COMPANY PROFILE", "Q2", 1, "", "", "", "", "N10", "", "", ""),
+    ]
+    assert [(r.sheet, r.cell, r.value) for r in tables["remarks"].orderBy("sheet", "cell").collect()] == [("One", "AQ9", "check this"), ("Two", "A1", "shared")]
+    files = xlsx.list_files(spark, str(tmp_path))
+    parts = xlsx.read_parts(files)
+    assert sorted(xlsx.merges_of(parts).collect()) == sorted(xlsx.read_merges(files).collect()) and sorted(map(str, xlsx.dropdowns_of(parts).collect())) == sorted(map(str, xlsx.read_dropdowns(files).collect()))
+    assert {(r.min_row, r.max_row, r.pos) for r in xlsx.dropdowns_of(parts).collect()} == {(1, 1048576, 0), (1, 1, 2), (2, 2, 2)}
+
+
+def test_xlsx_source(spark, tmp_path):
+    from surveyframe.sources.xlsx_source import XlsxCells
+
+    _styled(tmp_path / "s.xlsx")
+    _styled(tmp_path / "t.xlsx")
+    (tmp_path / "~$s.xlsx").write_bytes(b"lock")
+    spark.dataSource.register(XlsxCells)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        cells = spark.read.format("xlsx_cells").load(str(tmp_path))
+        assert sorted(map(str, cells.collect())) == sorted(map(str, xlsx.read_cells(xlsx.list_files(spark, str(tmp_path))).collect()))
+        some = cells.where("sheet = 'One' and file_name = 's.xlsx' and col between 2 and 41 and row > 2")
+        assert some.rdd.getNumPartitions() == 1 and {r.row for r in some.collect()} == {3, 4, 6, 7, 8, 10}
+        few = spark.read.format("xlsx_cells").schema("row int, value string").load(str(tmp_path / "s.xlsx"))
+        assert few.columns == ["row", "value"] and few.where("row = 1").count() == 3
+        assert cells.where("sheet = 'none'").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_sheet_of_many_rows_is_read_by_rows(tmp_path):
+    import tracemalloc
+
+    path = tmp_path / "big.xlsx"
+    path.write_bytes(xlsx.workbook_bytes({"q": (["a", "b"], [(f"text {i}", i) for i in range(60_000)])}))
+    tracemalloc.start()
+    with open(path, "rb") as f:
+        assert sum(1 for _ in xlsx.Workbook(f).parts(0)) == 120_002
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import json
+import random
 
 from surveyframe import fixtures
 from surveyframe.operators import grid
+from surveyframe.operators.ranges import band_index
+from surveyframe.storage import cut
 
 
 def test_demo_grid(spark):
@@ -65,3 +68,76 @@ def test_json(spark):
 def test_empty(spark):
     cells, merges, lists = (d.limit(0) for d in fixtures.demo_grid(spark))
     assert grid.sub_questions(grid.resolved_cells(cells, merges, lists)).count() == 0
+
+
+SCHEMAS = (
+    "file_name string, sheet string, row int, col int, value string, fill_rgb string, fill_type string, bold boolean, italic boolean, font_size double",
+    "file_name string, sheet string, min_row int, max_row int, min_col int, max_col int",
+    "file_name string, sheet string, min_row int, max_row int, min_col int, max_col int, options string, pos int",
+)
+
+
+def _random_sheet(rnd, name):
+    """Cells, merges that don't overlap and lists of a sheet of 40 rows; texts of questions, headers, labels and slots."""
+    cells, merges, lists, taken = {}, [], [], set()
+    for _ in range(rnd.randrange(25)):
+        r, c, h, w = rnd.randint(1, 40), rnd.choice([1, 2, 5, 11, 12, 14, 20, 40, 42]), rnd.choice([1, 1, 2, 5]), rnd.choice([1, 3, 16])
+        area = {(x, y) for x in range(r, r + h) for y in range(c, c + w)}
+        if not area & taken:
+            taken |= area
+            merges.append(("f", name, r, r + h - 1, c, c + w - 1))
+    for k in range(rnd.randrange(6)):
+        r, c = rnd.randint(1, 40), rnd.choice([2, 3, 6, 14])
+        lists.append(("f", name, r, rnd.choice([r, r + 4, 1048576]), c, rnd.choice([c, c + 3, 16384]), f'"list {k}"', k))
+    inner = {p for _, _, r1, r2, c1, c2 in merges for p in ((x, y) for x in range(r1, r2 + 1) for y in range(c1, c2 + 1)) if p != (r1, c1)}
+    for _ in range(120):
+        at = (rnd.randint(1, 40), rnd.choice([1, 2, 3, 5, 11, 12, 14, 15, 20, 40, 41, 42, 60]))
+        if at not in inner:
+            text = rnd.choice(["Q1", "Q2", "Q33", "PART ONE", "a text", "YES", "0", None, None, " ", "more"])
+            cells[at] = ("f", name, *at, text, rnd.choice([None, "00D9D9D9", "00FFFF00"]), "rgb", text == "PART ONE", rnd.random() < 0.2, 14.0 if text == "PART ONE" else 11.0)
+    return cells, merges, lists
+
+
+def test_ranges_by_bands_and_cell_by_cell(spark):
+    """What a reader gets from files that leave out the inner cells of merges is what it gets from files that hold them all."""
+    rnd = random.Random(4)
+    few, every, merges, lists = [], [], [], []
+    for k in range(12):
+        cells, m, v = _random_sheet(rnd, f"s{k}")
+        used = {r for r, _ in cells}
+        few += cells.values()
+        whole = dict(cells)
+        for _, name, r1, r2, c1, c2 in m:
+            for at in ((x, y) for x in range(r1, r2 + 1) for y in range(c1, c2 + 1) if x in used):
+                whole.setdefault(at, ("f", name, *at, None, None, None, False, False, None))
+        every += whole.values()
+        merges += m
+        lists += v
+    few, every = (spark.createDataFrame(rows, SCHEMAS[0]) for rows in (few, every))
+    merges, lists = spark.createDataFrame(merges, SCHEMAS[1]), spark.createDataFrame(lists, SCHEMAS[2])
+    rows = lambda df: sorted(map(str, df.collect()))
+    a, b = cut(grid.resolved_cells(few, merges, lists)), cut(grid.resolved_cells(every, merges, lists))
+    for view in (grid.sub_questions, grid.remarks, grid.row_kinds, grid.source_rows):
+        assert rows(view(a)) == rows(view(b)), view.__name__
+    assert rows(grid.slot_answers(few, merges)) == rows(grid.slot_answers(every, merges))
+    # Each cell's anchor and options, cell by cell.
+    spans, rules, texts = merges.collect(), lists.collect(), {(r.sheet, r.row, r.col): r for r in every.collect()}
+    option = lambda s, r, c: max(((v.pos, v.options.strip('"')) for v in rules if v.sheet == s and v.min_row <= r <= v.max_row and v.min_col <= c <= v.max_col), default=(0, None))[1]
+    for r in b.collect():
+        anchor = next(((m.min_row, m.min_col) for m in spans if m.sheet == r.sheet and m.min_row <= r.row <= m.max_row and m.min_col <= r.col <= m.max_col), (r.row, r.col))
+        own = texts.get((r.sheet, *anchor))
+        assert (r.anchor_row, r.anchor_col) == anchor and r.text == (own.value if own and own.value else "").strip()
+        assert r.options == (option(r.sheet, r.row, r.col) or option(r.sheet, *anchor))
+
+
+def test_ranges_over_whole_rows_and_columns(spark):
+    cells = spark.createDataFrame([("f", "s", r, 14, f"t{r}", None, None, False, False, 11.0) for r in range(1, 30)], SCHEMAS[0])
+    merges = spark.createDataFrame([("f", "s", 30, 1048576, 1, 16384), ("f", "s", 3, 3, 14, 16384)], SCHEMAS[1])
+    lists = spark.createDataFrame([("f", "s", 1, 1048576, c, c, f'"{c}"', c) for c in range(10, 26)] + [("f", "s", 5, 5, 14, 14, '"later"', 99)], SCHEMAS[2])
+    found = {(r.row, r.col): r for r in grid.resolved_cells(cells, merges, lists).collect()}
+    assert len(found) == 29 and {r.options for k, r in found.items() if k[0] != 5} == {"14"} and found[5, 14].options == "later"
+    assert band_rows(merges, lists) < 60
+
+
+def band_rows(*ranges):
+    return sum(band_index(r).count() for r in ranges)
