@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import plans
 from .operators import grid, windows
 from .sources import extract, xlsx
+from .sources.named_files import write_named
 from .storage import cut
 
 
@@ -74,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
         tables = plans.parse_files(spark, target)
         _write_json(tables["json"], a.output)
         if a.debug:
-            grid.row_kinds(tables["cells"]).write.mode("overwrite").parquet(f"{a.output}/row_kinds")
+            grid.trace(tables["cells"]).write.mode("overwrite").parquet(f"{a.output}/row_kinds")
         xlsx.write_workbook({"questions": tables["sub_questions"].withColumn("file_name", _stem()).select(*grid.PARSED_COLUMNS)}, f"{a.output}/{dated()}.xlsx")
     elif a.run == "extract":
         pages = cut(extract.render_pages(files, _made(a.renderer), a.dpi))
@@ -110,9 +111,14 @@ def _stem() -> Column:
 
 
 def _write_json(files: DataFrame, folder: str) -> None:
-    """A file for each row (file_name, json), one at a time."""
-    for r in files.withColumn("file_name", _stem()).toLocalIterator():
-        xlsx.write_bytes(files.sparkSession, f"{folder}/{r.file_name}.json", json.dumps(json.loads(r.json), indent=2, ensure_ascii=False).encode())
+    """A file for each row (file_name, json)."""
+
+    def shown(rows):
+        for frame in rows:
+            yield frame.assign(content=[json.dumps(json.loads(j), indent=2, ensure_ascii=False) for j in frame["content"]])
+
+    named = files.select(F.concat(_stem(), F.lit(".json")).alias("name"), F.col("json").alias("content"))
+    write_named(named.mapInPandas(shown, "name string, content string"), folder)
 
 
 if __name__ == "__main__":

@@ -22,6 +22,30 @@ GRID_CONV = """
     SELECT 'conversations', CAST(conv_id AS STRING), CAST(turn + 1 AS INT), 14, CASE WHEN role = 'system' THEN replace(upper(replace(text, 'ß', '~~')), '~~', 'ß') ELSE text END,
       CASE WHEN role = 'assistant' THEN '00D9D9D9' ELSE '00000000' END, role = 'system', CAST(CASE WHEN role = 'system' THEN 14 ELSE 11 END AS DOUBLE)
     FROM conversations"""
+#: Brands are sheets; a part makes up to three of six rows: a section, questions with hints, slots and side answers, branches, merges
+#: down and across, remarks. The anchor of a side answer's merge may lie left of the content.
+STYLED_PART = """
+    WITH p AS (SELECT p_partkey AS k, p_brand AS sheet, CAST(p_partkey * 6 AS INT) AS b, p_partkey % 8 AS t, p_name AS n, p_type AS y, p_size AS z FROM part)
+    SELECT 'parts' AS file_name, sheet, b AS row, 14 AS col, CASE WHEN t = 0 THEN upper(n) ELSE n END AS value, CASE WHEN t = 4 THEN '00C6EFCE' ELSE '00000000' END AS fill_rgb, t = 0 AS bold, false AS italic, CAST(CASE WHEN t = 0 THEN 14 ELSE 11 END AS DOUBLE) AS font_size, 's' AS value_type FROM p WHERE t <> 7
+    UNION ALL SELECT 'parts', sheet, b, 12, concat('Q', CAST(k AS STRING)), '00000000', false, false, CAST(11 AS DOUBLE), 's' FROM p WHERE t IN (1, 2, 3, 5)
+    UNION ALL SELECT 'parts', sheet, b + 1, 14, y, '00000000', false, t < 3, CAST(11 AS DOUBLE), 's' FROM p WHERE t IN (1, 2, 4, 6)
+    UNION ALL SELECT 'parts', sheet, b + 2, 14, CASE WHEN t = 4 OR k % 3 = 0 THEN CAST(NULL AS STRING) ELSE concat('a ', CAST(z AS STRING)) END, CASE WHEN t = 5 THEN '00FFFF00' ELSE '00D9D9D9' END, false, false, CAST(11 AS DOUBLE), 's' FROM p WHERE t IN (1, 2, 4, 5)
+    UNION ALL SELECT 'parts', sheet, b + 1, 14, concat('a ', CAST(z AS STRING)), '00D9D9D9', false, false, CAST(11 AS DOUBLE), 's' FROM p WHERE t IN (3, 7)
+    UNION ALL SELECT 'parts', sheet, b, 20, concat('b ', CAST(z AS STRING)), '00D9D9D9', false, false, CAST(11 AS DOUBLE), 's' FROM p WHERE t = 6
+    UNION ALL SELECT 'parts', sheet, b, CASE WHEN t = 2 THEN 1 ELSE 2 END, CASE WHEN k % 2 = 0 THEN 'YES' ELSE 'NO' END, '00D9D9D9', false, false, CAST(11 AS DOUBLE), 's' FROM p WHERE t IN (2, 3, 4, 6)
+    UNION ALL SELECT 'parts', sheet, b, 3, '0', '00000000', false, false, CAST(11 AS DOUBLE), CASE WHEN k % 3 = 0 THEN 'n' ELSE 's' END FROM p WHERE t = 7
+    UNION ALL SELECT 'parts', sheet, b, 14, y, '00000000', false, false, CAST(11 AS DOUBLE), 's' FROM p WHERE t = 7
+    UNION ALL SELECT 'parts', sheet, b, 42, concat('note ', n), '00000000', false, false, CAST(11 AS DOUBLE), 's' FROM p WHERE t = 5"""
+STYLED_MERGES = """
+    WITH p AS (SELECT p_brand AS sheet, CAST(p_partkey * 6 AS INT) AS b, p_partkey % 8 AS t FROM part)
+    SELECT 'parts' AS file_name, sheet, b AS min_row, CASE WHEN t = 5 THEN b + 1 ELSE b END AS max_row, 14 AS min_col, 29 AS max_col FROM p WHERE t IN (1, 2, 3, 5)
+    UNION ALL SELECT 'parts', sheet, b, b + 1, 12, 12 FROM p WHERE t = 5
+    UNION ALL SELECT 'parts', sheet, b, CASE WHEN t = 6 THEN b + 1 ELSE b END, CASE WHEN t = 2 THEN 1 ELSE 2 END, 7 FROM p WHERE t IN (2, 3, 4, 6)"""
+#: A list on a whole column of each sheet, and later ones on single ranges.
+STYLED_LISTS = """
+    WITH p AS (SELECT p_brand AS sheet, p_partkey AS k, CAST(p_partkey * 6 AS INT) AS b, p_partkey % 8 AS t FROM part)
+    SELECT DISTINCT 'parts' AS file_name, sheet, 1 AS min_row, 1048576 AS max_row, 2 AS min_col, 2 AS max_col, '"ANY"' AS options, CAST(-1 AS BIGINT) AS pos FROM p
+    UNION ALL SELECT 'parts', sheet, b, b, CASE WHEN t = 7 THEN 3 ELSE 2 END, CASE WHEN t = 7 THEN 3 ELSE 7 END, CASE WHEN t = 7 THEN '"0,1"' ELSE '"YES,NO"' END, CAST(k AS BIGINT) FROM p WHERE t IN (3, 4, 7)"""
 WINDOWS_CONV = "SELECT conv_id AS sheet, CAST(max(turn) + 1 AS INT) AS n_pages FROM conversations GROUP BY conv_id"
 
 
@@ -40,6 +64,12 @@ def grid_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, GRID_CONV, "conversations").withColumns({"italic": F.lit(False), "fill_type": F.lit("rgb")})
 
 
+def styled_part(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, merges, dropdowns)."""
+    cells, merges, lists = (view(spark, sf_dir, sql, "part") for sql in (STYLED_PART, STYLED_MERGES, STYLED_LISTS))
+    return cells.withColumn("fill_type", F.lit("rgb")), merges, lists
+
+
 def items_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn in every window of two pages that holds it; the answer is the next turn if the window holds it, and
     every third one is cut after 20 characters."""

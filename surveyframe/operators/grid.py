@@ -1,6 +1,7 @@
 """From a styled cell grid to sub-questions, as windows over cells.
 
-Input ``cells``: file_name, sheet, row, col, value, fill_rgb, fill_type, bold, italic, font_size. ``merges``: file_name,
+Input ``cells``: file_name, sheet, row, col, value, fill_rgb, fill_type, bold, italic, font_size, and value_type (n for numbers, b for
+booleans, any other is text). ``merges``: file_name,
 sheet, min_row, max_row, min_col, max_col. ``dropdowns``: the same with options, pos. Columns B to AO are content, B to K
 side answers, those right of K the main part; the rest is remarks.
 """
@@ -17,7 +18,7 @@ from .ranges import KEY, entry_cells, located
 FIRST, LAST = T.column_number("B"), T.column_number("AO")
 SIDE_LAST = T.column_number("K")
 
-_STYLE = {"fill_rgb": "string", "fill_type": "string", "bold": "boolean", "italic": "boolean", "font_size": "double"}
+_STYLE = {"fill_rgb": "string", "fill_type": "string", "bold": "boolean", "italic": "boolean", "font_size": "double", "value_type": "string"}
 
 
 def merged_cells(merges: DataFrame) -> DataFrame:
@@ -89,8 +90,9 @@ def row_kinds(resolved: DataFrame) -> DataFrame:
         F.min(F.when(T.question_id("text").isNotNull(), F.struct("col", T.question_id("text").alias("qid")))).alias("q"),
         F.bool_or((F.col("col") > SIDE_LAST) & is_slot(F.col("fill"))).alias("has_slot"), F.bool_or((F.col("col") > SIDE_LAST) & ~is_slot(F.col("fill")) & (F.col("text") != "")).alias("has_text"),
     )
-    # Side answers look at what a cell shows, met before or not.
-    truthy = (F.col("text") != "") & ~F.col("text").isin("0", "0.0", "False", "FALSE")
+    # Side answers look at what a cell shows, met before or not; the number zero and false are no answers, their texts are.
+    zero = F.coalesce(F.col("value_type").isin("n", "b"), F.lit(False)) & F.col("text").isin("0", "0.0", "False")
+    truthy = (F.coalesce("value", F.lit("")) != "") & ~zero
     side = resolved.where(F.col("col").between(FIRST, SIDE_LAST) & truthy & (F.col("options").isNotNull() | (F.col("fill") == "grey")))
     sides = side.groupBy(*KEY, "row").agg(F.min(F.struct("col", "text", "options")).alias("side"))
     kind = F.when(F.col("lead.is_header"), "section").when(F.col("q").isNotNull(), "question").otherwise("content")
@@ -99,6 +101,16 @@ def row_kinds(resolved: DataFrame) -> DataFrame:
     return rows.select(*KEY, "row", kind.alias("kind"), F.col("q.col").alias("q_col"), F.col("q.qid").alias("qid"), F.col("lead.text").alias("lead"), "side", branch.alias("branch"))
 
 
+def trace(resolved: DataFrame) -> DataFrame:
+    """What a run that explains itself says: file_name, sheet, row, kind, cell, text. A line for each row with content (section,
+    question, content) and one for each remark (REMARK), with up to 60 characters of its text; rows without either are empty and say
+    nothing."""
+    none = F.lit(None).cast("string")
+    kinds = row_kinds(resolved).select(*KEY, "row", "kind", none.alias("cell"), none.alias("text"))
+    notes = seen_cells(resolved).where("not content").select(*KEY, "row", F.lit("REMARK").alias("kind"), coordinate("row", "col").alias("cell"), F.substr("text", F.lit(1), F.lit(60)).alias("text"))
+    return kinds.unionByName(notes)
+
+
 def question_rows(kinds: DataFrame) -> DataFrame:
     """``kinds`` with segment (a running number that a question or section row raises), question_id, section and opened
     (whether a question row opened the segment)."""

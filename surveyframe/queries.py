@@ -420,6 +420,51 @@ def remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("sheet", F.regexp_extract("cell", "^([A-Z]+)", 1).alias("letters"), F.regexp_extract("cell", "([0-9]+)$", 1).cast("int").alias("row"), "value")
 
 
+# Cell by cell: every column of every row in use, with the last merge and the last list over it.
+_STYLED = f"""sc as ({fixtures.STYLED_PART}), sm as ({fixtures.STYLED_MERGES}), sl as ({fixtures.STYLED_LISTS}),
+gr as (select sheet, row, c.c::int as col from (select distinct sheet, row from sc), range(1, 43) c(c)),
+am as (select gr.sheet, gr.row, gr.col, arg_max(min_row, row(min_row, min_col)) as mr, arg_max(min_col, row(min_row, min_col)) as mc from gr join sm on sm.sheet = gr.sheet and gr.row between min_row and max_row and gr.col between min_col and max_col group by all),
+an as (select sheet, row, col, coalesce(mr, row) as ar, coalesce(mc, col) as ac from gr left join am using (sheet, row, col)),
+ol as (select gr.sheet, gr.row, gr.col, arg_max(trim(options, '"'), pos) as options from gr join sl on sl.sheet = gr.sheet and gr.row between min_row and max_row and gr.col between min_col and max_col group by all),
+ef as (select an.*, value, {_strip("value")} as text, fill_rgb in ('00D9D9D9', '00FFFF00') as slot, fill_rgb = '00D9D9D9' as grey, bold, italic, font_size, value_type, coalesce(o.options, a.options) as options, col between 2 and 41 as content
+  from an join (select sheet, row as ar, col as ac, * exclude (sheet, row, col) from sc) c using (sheet, ar, ac) left join ol o using (sheet, row, col) left join (select sheet, row as ar, col as ac, options from ol) a using (sheet, ar, ac)),
+se as (select * from ef where text <> '' or slot qualify row_number() over (partition by sheet, ar, ac order by row, content desc, col) = 1),
+cn as (select * from se where content),
+sd as (select sheet, row, min(col) as side_col, arg_min(text, col) as side_text, arg_min(options, col) as side_options from ef where col between 2 and 11 and coalesce(value, '') <> '' and not (value_type in ('n', 'b') and text in ('0', '0.0', 'False')) and (options is not null or grey) group by all),
+rk as (select sheet, row, coalesce(arg_min(bold and font_size >= 12 and text = upper(text) and text <> lower(text) and length(text) > 4, col), false) as is_header, arg_min(text, col) as lead, min(case when regexp_matches(text, '^Q\\p{{Nd}}+$') then col end) as q_col, arg_min(text, col) filter (regexp_matches(text, '^Q\\p{{Nd}}+$')) as qid, bool_or(col > 11 and slot) as has_slot, bool_or(col > 11 and not slot and text <> '') as has_text from cn group by all),
+kd as (select rk.*, side_col, side_text, side_options, case when is_header then 'section' when q_col is not null then 'question' else 'content' end as kind, side_col is not null and not has_slot and has_text as branch from rk left join sd using (sheet, row)),
+sg as (select *, sum((kind <> 'content')::int) over (partition by sheet order by row) as segment, coalesce(last_value(case when kind = 'section' then lead end ignore nulls) over (partition by sheet order by row), '') as section from kd),
+op as (select *, max((kind = 'question')::int) over (partition by sheet, segment) = 1 as opened, max(case when kind = 'question' then qid end) over (partition by sheet, segment) as question_id from sg),
+ev as (select sheet, segment, section, question_id, row, col as place, kind, branch, text, case when kind = 'question' then 'prompt' when slot then 'answer' when branch and not italic then 'option_label' when italic then 'hint' else 'prompt' end as role, chr(64 + ac) || ar as cell, null as options
+    from op join cn using (sheet, row) where opened and kind <> 'section' and ((kind = 'question' and col > q_col and text <> '') or (kind = 'content' and col > 11))
+  union all select sheet, segment, section, question_id, row, -1, kind, branch, side_text, 'side', chr(64 + side_col) || row, side_options from op where opened and kind <> 'section' and side_col is not null),
+eb as (select *, (branch and kind = 'content' and row_number() over (partition by sheet, segment, row order by place) = 1)::int as begins, (role = 'answer' and kind = 'content')::int as is_slot from ev),
+su as (select *, sum(begins) over (partition by sheet, segment order by row, place) + coalesce(sum(is_slot) over (partition by sheet, segment order by row, place rows between unbounded preceding and 1 preceding), 0) as sub from eb),
+fl as (select sheet, segment, section, question_id, sub, {", ".join(f"coalesce(string_agg(text, chr(10) order by row, place) filter (role in ({roles}) and text <> ''), '') as {name}" for name, roles in (("option_label", "'option_label'"), ("prompt", "'prompt', 'hint'"), ("hint", "'hint'"), ("answer", "'answer'")))},
+  coalesce(arg_max(cell, row(row, place)) filter (role = 'answer'), '') as answer_cell, {", ".join(f"coalesce(arg_max(coalesce({x}, ''), row) filter (role = 'side'), '') as {name}" for name, x in (("side_answer", "text"), ("side_answer_options", "options"), ("side_answer_cell", "cell")))} from su group by all)"""
+
+
+def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.resolved_cells(*fixtures.styled_part(spark, sf_dir))
+
+
+@query(f"with {_STYLED} select sheet, row, kind, qid, side_text as side, side_options as options, branch from kd")
+def styled_row_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of sheets with merges, lists, side answers and branches."""
+    return grid.row_kinds(_styled(spark, sf_dir)).select("sheet", "row", "kind", "qid", F.col("side.text").alias("side"), F.col("side.options").alias("options"), "branch")
+
+
+@query(f"with {_STYLED} select sheet, section, question_id, (row_number() over (partition by sheet, segment order by sub) - 1)::int as sub_idx, option_label, prompt, hint, answer, answer_cell, side_answer, side_answer_options, side_answer_cell from fl where prompt <> '' or option_label <> '' or answer <> '' or side_answer <> '' or answer_cell <> ''")
+def styled_sub_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = grid.sub_questions(_styled(spark, sf_dir), consolidate=False)
+    return found.select("sheet", "section", "question_id", "sub_idx", "option_label", "prompt", "hint", "answer", "answer_cell", "side_answer", "side_answer_options", "side_answer_cell")
+
+
+@query(f"with {_STYLED} select sheet, row, kind, null::varchar as cell, null::varchar as text from kd union all select sheet, row, 'REMARK', 'A' || chr(38 + col) || row, substr(text, 1, 60) from se where not content and col > 26 and text <> '' union all select sheet, row, 'REMARK', chr(64 + col) || row, substr(text, 1, 60) from se where not content and col < 27 and text <> ''")
+def styled_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.trace(_styled(spark, sf_dir)).select("sheet", "row", "kind", "cell", "text")
+
+
 _RANGES = "rg as (select 'f' as file_name, p_brand as sheet, (p_partkey * 4 + 1)::int as min_row, (p_partkey * 4 + 1 + p_size % 3)::int as max_row, 2::int as min_col, (2 + p_size % 5)::int as max_col, '\"' || p_type || ',' || p_name || '\"' as options, p_partkey as pos from part)"
 
 

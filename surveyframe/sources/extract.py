@@ -73,11 +73,11 @@ def render_pages(files: DataFrame, make_renderer: Callable[[], Callable[[bytes,
 
 
 def write_pages(pages: DataFrame, folder: str) -> None:
-    """Page images as files page_001.png and so on in a folder of each file's and sheet's name; for looking at, one page at a time."""
-    from .xlsx import write_bytes
+    """Page images as files page_001.png and so on in a folder of each file's and sheet's name."""
+    from .named_files import write_named
 
-    for r in pages.where("png is not null").toLocalIterator():
-        write_bytes(pages.sparkSession, f"{folder}/{r.file_name}/{r.sheet}/page_{r.page_no:03d}.png", bytes(r.png))
+    name = F.format_string("%s/%s/page_%03d.png", "file_name", "sheet", "page_no")
+    write_named(pages.where("png is not null").select(name.alias("name"), F.col("png").alias("content")), folder)
 
 
 def image_url(png: str = "png"):

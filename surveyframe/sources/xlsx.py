@@ -8,19 +8,21 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
-from itertools import islice
+from itertools import accumulate, islice
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import column_number
-from ..storage import numbered
+from ..storage import cut, numbered, shared_dir
 
 # Name spaces and content types of the file format.
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -29,7 +31,7 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 DATE_FORMATS = {*range(14, 23), *range(45, 48)}
 #: Rows that a sheet can hold.
 MAX_ROWS = 1_048_576
-CELL_SCHEMA = "file_name string, sheet string, sheet_pos int, row int, col int, value string, fill_rgb string, fill_type string, bold boolean, italic boolean, font_size double"
+CELL_SCHEMA = "file_name string, sheet string, sheet_pos int, row int, col int, value string, fill_rgb string, fill_type string, bold boolean, italic boolean, font_size double, value_type string"
 MERGE_SCHEMA = "file_name string, sheet string, min_row int, max_row int, min_col int, max_col int"
 DROPDOWN_SCHEMA = MERGE_SCHEMA + ", options string, pos int"
 
@@ -148,7 +150,7 @@ class Workbook:
         return str(self.epoch + timedelta(days=int(days) + early, milliseconds=round(days % 1 * 86_400_000)))
 
     def parts(self, pos: int, kinds: set[str] = frozenset(("cell", "merge", "list"))) -> Iterator[tuple[str, tuple]]:
-        """(kind, row) of a sheet, in one pass: ("cell", (row, col, value, fill_rgb, fill_type, bold, italic, font_size)) of cells with a
+        """(kind, row) of a sheet, in one pass: ("cell", (row, col, value, fill_rgb, fill_type, bold, italic, font_size, value_type)) of cells with a
         value or a fill, ("merge", range), ("list", (*range, options, pos)). A range: (min_row, max_row, min_col, max_col)."""
         rules = 0
         tags = {"c"} if kinds == {"cell"} else {"mergeCell", "dataValidation"} | ({"c"} if "cell" in kinds else set())
@@ -157,7 +159,8 @@ class Workbook:
                 value, style = self._value(node), int(node.get("s", 0))
                 rgb, kind, bold, italic, size = self.styles[style] if style < len(self.styles) else (None, None, False, False, None)
                 if value is not None or rgb is not None:
-                    yield "cell", (*_place(node.get("r")), value, rgb, kind, bold, italic, size)
+                    given = node.get("t", "n")
+                    yield "cell", (*_place(node.get("r")), value, rgb, kind, bold, italic, size, given if given in ("n", "b") else "s")
             elif node.tag == _MAIN + "mergeCell" and "merge" in kinds:
                 yield "merge", _range(node.get("ref"))
             elif node.tag == _MAIN + "dataValidation":
@@ -173,7 +176,7 @@ class Workbook:
                 yield (name, pos, *row) if kind == "cell" else (name, *row)
 
     def cells(self) -> Iterator[tuple]:
-        """(sheet, sheet_pos, row, col, value, fill_rgb, fill_type, bold, italic, font_size) of cells with a value or a fill."""
+        """(sheet, sheet_pos, row, col, value, fill_rgb, fill_type, bold, italic, font_size, value_type) of cells with a value or a fill."""
         return self._of_all("cell")
 
     def merges(self) -> Iterator[tuple]:
@@ -250,7 +253,7 @@ def read_parts(files: DataFrame, skip_broken: bool = False) -> DataFrame:
     def rows(book: Workbook):
         for pos, (name, _) in enumerate(book.sheets):
             for kind, row in book.parts(pos):
-                cell, rest = (row, ()) if kind == "cell" else ((None,) * 8, row)
+                cell, rest = (row, ()) if kind == "cell" else ((None,) * 9, row)
                 yield (name, pos, *cell, kind, *rest, *(None,) * (6 - len(rest)))
 
     return _each(files, PART_SCHEMA, rows, skip_broken)
@@ -328,26 +331,45 @@ def _cell(ref: str, value) -> str:
     return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
+def _frame(names: list[str]) -> dict[str, str]:
+    """The parts of a workbook that hold it together, by path."""
+    kinds, links, sheets = [], [], []
+    for k, name in enumerate(names, 1):
+        kinds.append(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>')
+        links.append(f'<Relationship Id="rId{k}" Type="{_REL[1:-1]}/worksheet" Target="worksheets/sheet{k}.xml"/>')
+        sheets.append(f'<sheet name="{escape(name[:31], {chr(34): "&quot;"})}" sheetId="{k}" r:id="rId{k}"/>')
+    return {
+        "[Content_Types].xml": f'{_TYPES}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{"".join(kinds)}</Types>',
+        "_rels/.rels": f'{_TYPES}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{_REL[1:-1]}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/_rels/workbook.xml.rels": f'{_TYPES}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(links)}</Relationships>',
+        "xl/workbook.xml": f'{_TYPES}<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_REL[1:-1]}"><sheets>{"".join(sheets)}</sheets></workbook>',
+    }
+
+
+def _row(r: int, values) -> str:
+    return f'<row r="{r}">{"".join(_cell(f"{_letters(c)}{r}", v) for c, v in enumerate(values, 1))}</row>'
+
+
+def _sheet_start(header: list[str], wide: list[float], freeze: bool) -> str:
+    cols = "".join(f'<col min="{i}" max="{i}" width="{w}" customWidth="1"/>' for i, w in enumerate(wide, 1))
+    view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>' if freeze else ""
+    return f'{_TYPES}<worksheet xmlns="{_MAIN[1:-1]}">{view}{f"<cols>{cols}</cols>" if cols else ""}<sheetData>{_row(1, header)}'
+
+
+_SHEET_END = "</sheetData></worksheet>"
+
+
 def workbook_bytes(sheets: dict[str, tuple[list[str], list[tuple]]], widths: dict[str, list[float]] | None = None, freeze: bool = True, wide_columns: set[str] = frozenset()) -> bytes:
-    """A workbook of (header, rows) by sheet name; names are cut to 31 characters, the header row stays in view."""
+    """A small workbook of (header, rows) by sheet name; names are cut to 31 characters, the header row stays in view."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        kinds, links, names = [], [], []
         for k, (name, (header, rows)) in enumerate(sheets.items(), 1):
             if len(rows) >= MAX_ROWS:
                 raise ValueError(f"{name} has more rows than a sheet can hold")
             wide = (widths or {}).get(name) or fitted_widths(header, rows, wide_columns)
-            cols = "".join(f'<col min="{i}" max="{i}" width="{w}" customWidth="1"/>' for i, w in enumerate(wide, 1))
-            body = "".join(f'<row r="{r}">{"".join(_cell(f"{_letters(c)}{r}", v) for c, v in enumerate(row, 1))}</row>' for r, row in enumerate([header, *rows], 1))
-            view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>' if freeze else ""
-            z.writestr(f"xl/worksheets/sheet{k}.xml", f'{_TYPES}<worksheet xmlns="{_MAIN[1:-1]}">{view}{f"<cols>{cols}</cols>" if cols else ""}<sheetData>{body}</sheetData></worksheet>')
-            kinds.append(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>')
-            links.append(f'<Relationship Id="rId{k}" Type="{_REL[1:-1]}/worksheet" Target="worksheets/sheet{k}.xml"/>')
-            names.append(f'<sheet name="{escape(name[:31], {chr(34): "&quot;"})}" sheetId="{k}" r:id="rId{k}"/>')
-        z.writestr("[Content_Types].xml", f'{_TYPES}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{"".join(kinds)}</Types>')
-        z.writestr("_rels/.rels", f'{_TYPES}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{_REL[1:-1]}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'{_TYPES}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(links)}</Relationships>')
-        z.writestr("xl/workbook.xml", f'{_TYPES}<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_REL[1:-1]}"><sheets>{"".join(names)}</sheets></workbook>')
+            z.writestr(f"xl/worksheets/sheet{k}.xml", _sheet_start(header, wide, freeze) + "".join(_row(r, row) for r, row in enumerate(rows, 2)) + _SHEET_END)
+        for part, text in _frame(list(sheets)).items():
+            z.writestr(part, text)
     return out.getvalue()
 
 
@@ -369,13 +391,61 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
 
 
 def write_workbook(tables: dict[str, DataFrame], path: str, widths: dict[str, list[float]] | None = None, freeze: bool = True, wide_columns: set[str] = frozenset()) -> None:
-    """Report tables as the sheets of one workbook. A table that is larger than a sheet is an error; reports are small."""
-    sheets, spark = {}, None
-    for name, df in tables.items():
-        spark = df.sparkSession
-        rows = df.limit(MAX_ROWS).collect()
-        flat = [tuple("" if v is None else v for v in r) for r in rows]
-        sheets[name] = (df.columns, flat)
-    if spark is None:
+    """Tables, in their order, as the sheets of one workbook; one with more rows than a sheet can hold is an error.
+
+    Tasks write the rows of a sheet as pieces of its XML to the shared folder. The driver's JVM copies these, piece after piece, into the
+    file, so no table passes through the driver's memory. A run that fails leaves no file.
+    """
+    if not tables:
         raise ValueError("no tables")
-    write_bytes(spark, path, workbook_bytes(sheets, widths, freeze, wide_columns))
+    spark = next(iter(tables.values())).sparkSession
+    folder = f"{shared_dir(spark)}/workbook-{uuid.uuid4().hex}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path
+    target = place(path)
+    store, work = target.getFileSystem(conf), place(folder).getFileSystem(conf)
+    draft = place(f"{path}.{uuid.uuid4().hex}.draft")
+    try:
+        starts = [_write_rows(df, name, f"{folder}/{k}", (widths or {}).get(name), freeze, wide_columns) for k, (name, df) in enumerate(tables.items(), 1)]
+        out = jvm.java.util.zip.ZipOutputStream(store.create(draft, True))
+        try:
+            for k, start in enumerate(starts, 1):
+                out.putNextEntry(jvm.java.util.zip.ZipEntry(f"xl/worksheets/sheet{k}.xml"))
+                out.write(bytearray(start.encode()))
+                parts = [s.getPath() for s in work.listStatus(place(f"{folder}/{k}")) if s.getPath().getName().startswith("part-")]
+                for p in sorted(parts, key=lambda p: int(p.getName().split("-")[1])):
+                    piece = work.open(p)
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(piece, out, 1 << 16, False)
+                    piece.close()
+                out.write(bytearray(_SHEET_END.encode()))
+            for part, text in _frame(list(tables)).items():
+                out.putNextEntry(jvm.java.util.zip.ZipEntry(part))
+                out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        store.delete(target, False)
+        if not store.rename(draft, target):
+            raise OSError(f"{path} can't be written")
+    finally:
+        store.delete(draft, False)
+        work.delete(place(folder), True)
+
+
+def _write_rows(df: DataFrame, name: str, folder: str, wide: list[float] | None, freeze: bool, wide_columns: set[str]) -> str:
+    """Writes the rows of a sheet below its header; gives what stands before them."""
+    held = cut(df.toDF(*[f"c{i}" for i in range(len(df.columns))]).withColumn("id", F.monotonically_increasing_id()))
+    counts = held.groupBy(F.expr("id >> 33").alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # one row for each partition
+    if sum(r.n for r in counts) >= MAX_ROWS:
+        raise ValueError(f"{name} has more rows than a sheet can hold")
+    before = dict(zip((r.part for r in counts), accumulate([2, *(r.n for r in counts)]), strict=False))
+    first = held.orderBy("id").limit(200).drop("id").collect()
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(batch.num_columns - 1).to_pylist()
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns - 1)]
+            rows = zip(*columns, strict=True) if columns else [()] * len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([_row(before[i >> 33] + (i & 0x1FFFFFFFF), ("" if v is None else v for v in row)) for i, row in zip(ids, rows, strict=True)], pa.string())], ["value"])
+
+    held.mapInArrow(run, "value string").write.option("compression", "none").option("lineSep", "\n").text(folder)
+    return _sheet_start(df.columns, wide or fitted_widths(df.columns, [tuple("" if v is None else v for v in r) for r in first], wide_columns), freeze)

@@ -71,10 +71,10 @@ class XlsxReader(DataSourceReader):
         columns = [f.name for f in self.schema]
         kind, held, n = to_arrow_schema(self.schema), {c: [] for c in columns}, 0
         with _store(self.path)[0].open_input_file(partition.path) as f:
-            for _, (row, col, value, rgb, fill_type, bold, italic, size) in Workbook(f).parts(partition.pos, {"cell"}):
+            for _, (row, col, value, rgb, fill_type, bold, italic, size, given) in Workbook(f).parts(partition.pos, {"cell"}):
                 if not self._passes(row=row, col=col):
                     continue
-                cell = {"file_name": partition.file_name, "sheet": partition.name, "sheet_pos": partition.pos, "row": row, "col": col, "value": value, "fill_rgb": rgb, "fill_type": fill_type, "bold": bold, "italic": italic, "font_size": size}
+                cell = {"file_name": partition.file_name, "sheet": partition.name, "sheet_pos": partition.pos, "row": row, "col": col, "value": value, "fill_rgb": rgb, "fill_type": fill_type, "bold": bold, "italic": italic, "font_size": size, "value_type": given}
                 for c in columns:
                     held[c].append(cell[c])
                 n += 1

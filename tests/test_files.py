@@ -257,3 +257,52 @@ def test_a_sheet_of_many_rows_is_read_by_rows(tmp_path):
         assert sum(1 for _ in xlsx.Workbook(f).parts(0)) == 120_002
     assert tracemalloc.get_traced_memory()[1] < 4 << 20
     tracemalloc.stop()
+
+
+def test_named_files(spark, tmp_path):
+    from surveyframe.sources.named_files import write_named
+
+    files = spark.range(300, numPartitions=5).selectExpr("concat('d', id % 7, '/f', id, '.bin') as name", "cast(concat('x\n', id) as binary) as content", "id as more")
+    write_named(files, str(tmp_path / "out"))
+    found = sorted(p for p in (tmp_path / "out").rglob("*") if p.is_file())
+    assert len(found) == 300 and (tmp_path / "out/d3/f10.bin").read_bytes() == b"x\n10" and not list((tmp_path / "out").glob("_temporary*"))
+    write_named(spark.createDataFrame([("d3/f10.bin", "äö")], "name string, content string"), str(tmp_path / "out"))
+    assert (tmp_path / "out/d3/f10.bin").read_text() == "äö" and len(list((tmp_path / "out/d3").iterdir())) == 43
+    for bad in (["a", "a"], ["../a"], ["/a"], [None]):
+        with pytest.raises(Exception):
+            write_named(spark.createDataFrame([(n, "x") for n in bad], "name string, content string"), str(tmp_path / "bad"))
+        assert not [p for p in (tmp_path / "bad").rglob("*") if p.is_file()] and not (tmp_path / "a").exists()
+
+
+def test_half_written_files_never_show(spark, tmp_path):
+    from surveyframe.sources.named_files import NamedWriter
+
+    writer = NamedWriter(str(tmp_path / "o"))
+    row = lambda n: {"name": n, "content": b"1"}
+    writer.write(iter([row("a")]))  # an attempt that was lost before its commit
+    kept = writer.write(iter([row("a"), row("b")]))
+    assert not (tmp_path / "o/a").exists()
+    writer.commit([kept, None])
+    assert sorted(p.name for p in (tmp_path / "o").iterdir()) == ["a", "b"]
+    failing = NamedWriter(str(tmp_path / "o"))
+    failing.write(iter([row("c")]))
+    failing.abort([None])
+    assert sorted(p.name for p in (tmp_path / "o").iterdir()) == ["a", "b"]
+
+
+def test_workbook_of_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    many = spark.range(30_000, numPartitions=6).select((30_000 - F.col("id")).alias("n"), F.concat(F.lit("text <&> \n"), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 3 > 0, F.col("id") / 2).alias("half"), (F.col("id") % 2 == 0).alias("even"))
+    path = str(tmp_path / "w.xlsx")
+    xlsx.write_workbook({"many": many.orderBy("n"), "none": many.where("n < 0"), "a" * 40: many.limit(1)}, path)
+    book = xlsx.Workbook(open(path, "rb").read())
+    assert [n for n, _ in book.sheets] == ["many", "none", "a" * 31] and [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["w.xlsx"]
+    header, rows = book.table("many")
+    assert header == ["n", "text", "half", "even"] and len(rows) == 30_000 and [r[0] for r in rows] == [str(i) for i in range(1, 30_001)]
+    assert rows[0] == ["1", "text <&> \n29999", "14999.5", "False"] and rows[2][2] == "" and rows[1][2] == "14999.0" and rows[3][3] == "True"
+    assert book.table("none") == (["n", "text", "half", "even"], [])
+    broken = many.select(F.raise_error("no").cast("string").alias("x"))
+    with pytest.raises(Exception, match="no"):
+        xlsx.write_workbook({"many": many, "broken": broken}, path)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["w.xlsx"] and len(xlsx.Workbook(open(path, "rb").read()).sheets) == 3
