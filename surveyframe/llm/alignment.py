@@ -29,7 +29,7 @@ from .common import cut, join_hot, remove, shared_dir, slices, texts
 PAIRS = 2_000_000
 SALTS = 16
 #: Bytes of text that are aligned at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Characters that are encoded in one call: pieces take longer for each in a longer text.
 CALL = 1 << 13
 
