@@ -7,10 +7,12 @@ make them; each partition makes its own once. ``stub_extractor`` stands in for a
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import time
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,6 +43,44 @@ def retry(fn: Callable, attempts: int = ATTEMPTS, base_delay: float = BASE_DELAY
     return run
 
 
+def in_flight(fn: Callable, jobs: Iterable[tuple], attempts: int = ATTEMPTS, base_delay: float = BASE_DELAY, at_once: int = 8, clock: Callable[[], float] = time.monotonic) -> Iterator[tuple[object, str | None]]:
+    """(result, error) of each job's call, in the jobs' order, with up to ``at_once`` calls under way.
+
+    Calls that fail are due again after a delay that doubles, as with ``retry``; until then others go on in their place. A job that
+    fails every attempt has its last error and no result. Jobs are taken as places become free, and at most four times as
+    many are held as calls may be under way.
+    """
+    left, done, due, running = enumerate(jobs), {}, [], {}
+    taken = given = 0
+    with ThreadPoolExecutor(at_once) as pool:
+        while True:
+            while taken - given < 4 * at_once and len(due) + len(running) < 2 * at_once and (job := next(left, None)) is not None:
+                heapq.heappush(due, (clock(), job[0], 1, job[1]))
+                taken += 1
+            while due and len(running) < at_once and due[0][0] <= clock():
+                _, n, attempt, args = heapq.heappop(due)
+                running[pool.submit(fn, *args)] = (n, attempt, args)
+            if not due and not running and given == taken:
+                return
+            pause = max(0.0, due[0][0] - clock()) if due and len(running) < at_once else None
+            if running:
+                ended, _ = wait(running, timeout=pause, return_when=FIRST_COMPLETED)
+            else:
+                time.sleep(pause or 0)
+                ended = ()
+            for call in ended:
+                n, attempt, args = running.pop(call)
+                if (error := call.exception()) is None:
+                    done[n] = (call.result(), None)
+                elif attempt == attempts or not isinstance(error, Exception):
+                    done[n] = (None, str(error))
+                else:
+                    heapq.heappush(due, (clock() + base_delay * 2 ** (attempt - 1), n, attempt + 1, args))
+            while given in done:
+                yield done.pop(given)
+                given += 1
+
+
 def retry_delays(df: DataFrame, attempts: str = "attempts", base: float = BASE_DELAY) -> DataFrame:
     """``df`` with delays, the pauses before each further attempt."""
     n = F.col(attempts).cast("int")
@@ -85,20 +125,16 @@ def image_url(png: str = "png"):
     return F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(png), "[\r\n]", ""))
 
 
-def extract_windows(windows: DataFrame, make_extractor: Callable[[], Extractor], attempts: int = ATTEMPTS, base_delay: float = BASE_DELAY) -> DataFrame:
+def extract_windows(windows: DataFrame, make_extractor: Callable[[], Extractor], attempts: int = ATTEMPTS, base_delay: float = BASE_DELAY, at_once: int = 8) -> DataFrame:
     """sheet, window_no, pages, response, error, of rows (sheet, window_no, pages, images array<binary>), with file_name if
-    they have one. A window that fails
-    every attempt has an error and no response; the others go on."""
+    they have one. A window that fails every attempt has an error and no response; the others go on. A task keeps ``at_once`` calls
+    under way, so an extractor has to bear calls from several threads, or ``at_once`` be 1."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = retry(make_extractor(), attempts, base_delay)
+        call = make_extractor()
         for frame in frames:
-            out = []
-            for pages, images in zip(frame["pages"], frame["images"], strict=True):
-                try:
-                    out.append((call([bytes(i) for i in images], [int(p) for p in pages]), None))
-                except Exception as e:
-                    out.append((None, str(e)))
+            jobs = (([bytes(i) for i in images], [int(p) for p in pages]) for pages, images in zip(frame["pages"], frame["images"], strict=True))
+            out = list(in_flight(call, jobs, attempts, base_delay, at_once))
             frame["response"], frame["error"] = [o[0] for o in out], [o[1] for o in out]
             yield frame[[*keys, "window_no", "pages", "response", "error"]]
 
@@ -117,6 +153,16 @@ def response_items(responses: DataFrame) -> DataFrame:
     return rows.select(*keys, "question_id", "question", "answer", F.col("pages").alias("source_pages"), F.lit("llm").alias("answer_source"), (F.col("window_no").cast("long") * (1 << 20) + F.col("place")).alias("arrival"))
 
 
+def prompted(model: Callable[[str, list[str]], str], prompt: str = PROMPT) -> Extractor:
+    """An extractor of a model that takes a prompt and the data URLs of images."""
+
+    def run(images: list[bytes], pages: list[int]) -> str:
+        urls = ["data:image/png;base64," + base64.b64encode(i).decode() for i in images]
+        return model(f"{prompt}\nPages: {', '.join(map(str, pages))}.", urls)
+
+    return run
+
+
 def stub_extractor(images: list[bytes], pages: list[int]) -> str:
     """Each image is a JSON list of items; a stand-in for a model."""
     return json.dumps([item for image in images for item in json.loads(image)])

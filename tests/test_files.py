@@ -306,3 +306,36 @@ def test_workbook_of_tables(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         xlsx.write_workbook({"many": many, "broken": broken}, path)
     assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["w.xlsx"] and len(xlsx.Workbook(open(path, "rb").read()).sheets) == 3
+
+
+def test_windows_in_flight():
+    import threading
+    import time
+
+    lock, calls, now, most = threading.Lock(), {}, [0], [0]
+
+    def call(n):
+        with lock:
+            calls.setdefault(n, []).append(time.monotonic())
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.05)
+        with lock:
+            now[0] -= 1
+        if n % 10 == 3 and len(calls[n]) < 3 or n == 50:
+            raise OSError(f"no {n}")
+        return n * n
+
+    start = time.monotonic()
+    out = list(extract.in_flight(call, ((n,) for n in range(100)), attempts=3, base_delay=0.1, at_once=16))
+    took = time.monotonic() - start
+    assert out == [(n * n, None) if n != 50 else (None, "no 50") for n in range(100)]
+    assert took < 100 * 0.05 / 4 and most[0] <= 16 and {len(c) for n, c in calls.items() if n % 10 == 3 or n == 50} == {3}
+    assert all(b - a >= d for n, c in calls.items() if len(c) == 3 for a, b, d in zip(c, c[1:], (0.1, 0.2)))
+    assert list(extract.in_flight(call, [])) == []
+
+
+def test_prompt_reaches_the_model():
+    seen = []
+    extractor = extract.prompted(lambda prompt, urls: seen.append((prompt, urls)) or "[]")
+    assert extractor([b"png"], [3, 4]) == "[]" and seen[0][0].startswith(extract.PROMPT) and seen[0][0].endswith("Pages: 3, 4.") and extract.decode_image_url(seen[0][1][0]) == b"png"
