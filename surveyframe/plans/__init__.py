@@ -93,7 +93,7 @@ def extract_items(pages: DataFrame, make_extractor, window: int = 2, stride: int
     keys = windows.place_keys(pages)
     sheets = pages.groupBy(*keys).agg(F.max("page_no").alias("n_pages"))
     spans = windows.page_windows(sheets, window, stride).select(*keys, "window_no", "pages")
-    cells = spans.select(*keys, "window_no", "pages", F.explode("pages").alias("page_no")).join(pages.select(*keys, "page_no", "png"), [*keys, "page_no"])
+    cells = spans.select(*keys, "window_no", "pages", F.explode("pages").alias("page_no")).join(extract.fit_images(pages.select(*keys, "page_no", "png")), [*keys, "page_no"])
     images = cells.groupBy(*keys, "window_no", "pages").agg(F.array_sort(F.collect_list(F.struct("page_no", "png"))).alias("p"))
     ready = images.select(*keys, "window_no", "pages", F.transform("p", lambda x: x["png"]).alias("images"))
     items = extract.response_items(extract.extract_windows(ready, make_extractor, attempts))

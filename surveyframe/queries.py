@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -350,13 +353,14 @@ def reconcile_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.flat_items(_reconciled(spark, sf_dir)).withColumn("sheet", F.col("sheet").cast("long"))
 
 
-@query(f"""with {_RECONCILED} select '' as file_name, count(*) as n, sum(length(question))::bigint as chars from rc""")
+@query(f"""with {_RECONCILED}, fi as (select *, 'file' || (sheet // 20) as file_name from rc) select file_name, (row_number() over (partition by file_name order by sheet::varchar, substr(question_id, 2)::int, question_id) - 1)::int as place, sheet::varchar as sheet, question_id, question, answer, source_pages::varchar as source_pages, answer_source from fi""")
 def nested_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON of a file, read again."""
-    nested = windows.nested_items(_reconciled(spark, sf_dir).withColumn("sheet", F.col("sheet").cast("string")))
-    kind = "struct<file_name:string,questions:array<struct<question_id:string,question:string>>>"
-    items = nested.select(F.from_json("json", kind).alias("j")).select("j.file_name", F.explode("j.questions").alias("q"))
-    return items.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("q.question")).alias("chars"))
+    """The JSON of each file, read again: its items in their order. Twenty conversations make a file."""
+    rows = _reconciled(spark, sf_dir).withColumns({"file_name": F.concat(F.lit("file"), F.expr("sheet div 20").cast("string")), "sheet": F.col("sheet").cast("string")})
+    item = "question_id:string,question:string,answer:string,source_pages:array<int>,answer_source:string,sheet:string"
+    read_again = F.from_json("json", f"struct<file_name:string,questions:array<struct<{item}>>>")
+    items = windows.nested_items(rows).select(read_again.alias("j")).select("j.file_name", F.posexplode("j.questions").alias("place", "q"))
+    return items.select("file_name", "place", "q.*").withColumn("source_pages", F.col("source_pages").cast("string"))
 
 
 @query(f"with {_RECONCILED} select count_if(answer_source = 'xlsx_reconciled')::bigint as n_substituted from rc")
@@ -376,6 +380,28 @@ def image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return png.select("doc_id", extract.image_url().alias("url"))
 
 
+@query()
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a grey image with a pixel for each byte, 256 to a row, downscaled to sides of 64 at most: its size and digest."""
+    from .sources import png
+
+    @F.pandas_udf("binary")
+    def drawn(texts: pd.Series) -> pd.Series:
+        def one(text):
+            data = np.frombuffer((text or " ").encode() or b" ", np.uint8)
+            return png.write_png(np.pad(data, (0, -len(data) % 256), constant_values=32).reshape(-1, 256, 1))
+
+        return texts.map(one)
+
+    @F.pandas_udf("width int, height int, pixels_sha256 string")
+    def seen(images: pd.Series) -> pd.DataFrame:
+        found = [png.read_png(bytes(x)) for x in images]
+        return pd.DataFrame({"width": [x.shape[1] for x in found], "height": [x.shape[0] for x in found], "pixels_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in found]})
+
+    pages = read(spark, sf_dir, "documents").select("doc_id", drawn("text").alias("png"))
+    return extract.fit_images(pages, 64).select("doc_id", seen("png").alias("s")).select("doc_id", "s.*")
+
+
 # --- Grids.
 
 _GRID = f"""gc as ({fixtures.GRID_CONV}), ce as (select sheet, row, col, {_strip("value")} as text, fill_rgb = '00D9D9D9' as slot, bold, font_size from gc), mt as (select * from ce where text <> '' or slot),

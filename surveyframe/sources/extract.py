@@ -22,6 +22,8 @@ from ..functions import text as T
 from ..operators.windows import place_keys
 
 ATTEMPTS, BASE_DELAY = 4, 2.0
+#: Pixels of an image's longer side.
+MAX_SIDE = 2000
 ITEMS = "array<struct<question_id:string,question:string,answer:string>>"
 PROMPT = "Return every question on these pages as a JSON list of objects with question_id, question and answer. Copy texts as they stand; leave the answer empty where there is none."
 #: (images, page numbers) to a JSON list.
@@ -120,6 +122,23 @@ def write_pages(pages: DataFrame, folder: str) -> None:
     write_named(pages.where("png is not null").select(name.alias("name"), F.col("png").alias("content")), folder)
 
 
+def fit_images(pages: DataFrame, max_side: int = MAX_SIDE, png: str = "png") -> DataFrame:
+    """``pages`` with images no side of which is longer than ``max_side``. What isn't a PNG image stays as it is."""
+    from .png import fitted
+
+    @F.pandas_udf("binary")
+    def fit(column: pd.Series) -> pd.Series:
+        def one(data):
+            try:
+                return None if data is None else fitted(bytes(data), max_side)
+            except ValueError:
+                return bytes(data)
+
+        return column.map(one)
+
+    return pages.withColumn(png, fit(png))
+
+
 def image_url(png: str = "png"):
     """A data URL of an image's bytes."""
     return F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(png), "[\r\n]", ""))
