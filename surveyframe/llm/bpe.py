@@ -258,6 +258,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Rows (doc_id, ids, n_tokens, ids_sha256, decoded_sha256): encodes each text, then decodes its ids, in one pass.
 
     ``ids_sha256`` is of the decimal ids, joined by spaces. Without ``with_ids`` the ids stay where they were made.
+    A null text is an empty one and has no ids. Each row is encoded by itself, repeated ones too; null ids are kept and no rows give no rows.
     """
 
     def make(enc, buffers):

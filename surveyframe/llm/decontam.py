@@ -200,7 +200,11 @@ def cut_words(text: bytes, spans: list[dict]) -> bytes:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: str = "documents", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` with its columns, cleaned: ``remove`` is "documents" (any hit removes the row) or "spans" (hit words are
-    cut out of the text and the row stays). A null text stays as it is."""
+    cut out of the text and the row stays). A null text stays as it is.
+
+    Each row is judged by itself, repeated ones too, and null ids play no part. Items without words, and a benchmark without
+    items, mark nothing; no rows give no rows.
+    """
     if remove not in ("documents", "spans"):
         raise ValueError('remove must be "documents" or "spans"')
     blocks = list(_blocks(benchmark, window, item_col, item_text_col, max_windows))

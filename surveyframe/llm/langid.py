@@ -136,7 +136,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, lang_pred, score. Nothing but the text decides; whole texts count."""
+    """One row for each row of ``docs``: doc_id, lang_pred, score. Nothing but the text decides; whole texts count.
+
+    A null text, or one without letters, is UNKNOWN with a score of 0. Repeated rows get equal predictions, null ids are kept, and no
+    rows give no rows. Of languages at equal distance the first by name wins.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [profiles.predict(t) for t in batch.column("text").to_pylist()]

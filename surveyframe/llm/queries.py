@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, bpe, chat, cuckoo, decontam, langid, licenses, packing, sharding, simhash, tokenfile, toxicity, whitening
-from .common import shared_dir
+from .common import remove, shared_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,7 +81,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     tokenfile.write_token_files(table(spark, sf_dir, "documents"), folder, lambda: tokenfile.word_tokenizer(WORD_BPE, 2))
-    return tokenfile.read_documents(spark, folder)
+    out = tokenfile.read_documents(spark, folder)
+    remove(spark, folder)  # what was read lies in a checkpoint
+    return out
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,14 +221,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: Callable[[], Word
     dealt = src.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     # The text writer puts a line feed, the last byte of the layout, behind each row.
     rows = dealt.mapInArrow(run, "data binary").select(F.expr("cast(substring(data, 1, length(data) - 1) as string)").alias("data"))
-    rows.write.option("maxRecordsPerFile", 1).text(folder)
+    rows.write.option("maxRecordsPerFile", 1).option("compression", "none").option("lineSep", "\n").text(folder)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32) of the documents in the files of a folder.
 
     ``start`` is the number of ids of all documents before this one, over all files; ``ids_crc32`` is the unsigned crc32
-    of the document's ids as 32-bit little-endian integers.
+    of the document's ids as 32-bit little-endian integers. The rows are written to the shared folder, so the files may go afterwards.
+    A folder without files gives no rows.
     """
 
     def run(batches):

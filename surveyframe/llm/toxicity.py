@@ -197,7 +197,11 @@ def score_texts(data: list[bytes], chain: list[Link]) -> tuple[list[int], np.nda
 
 
 def predict(docs: DataFrame, chain: list[Link], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, and p_<category> for each category. Null is an empty text."""
+    """One row for each row of ``docs``: doc_id, n_words, and p_<category> for each category. Null is an empty text.
+
+    Each row is scored by itself: repeated rows get equal scores, null ids are kept, and no rows give no rows. A chain without rows
+    to learn from says a half.
+    """
     names = [f"p_{link.category}" for link in chain]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
