@@ -138,11 +138,27 @@ def is_conditional(x: Column | str, extra: list[str] | None = None) -> Column:
 
 
 def digit_runs(x: Column | str) -> Column:
-    """All runs of digits as numbers, [10^9] without any: sorts Q2 before Q10. Longer runs than 18 digits come last."""
+    """All runs of digits as numbers, [10^9] without any: sorts Q2 before Q10. Longer runs than 18 digits are cut to the largest number; ``digit_order`` sorts them, too."""
     runs = F.transform(F.regexp_extract_all(F.coalesce(_c(x), F.lit("")), F.lit(DIGIT_RUNS), 1), lambda d: F.coalesce(d.try_cast("bigint"), F.lit((1 << 63) - 1)))
     return F.when(F.size(runs) > 0, runs).otherwise(F.array(F.lit(10**9).cast("bigint")))
 
 
+def digit_order(x: Column | str) -> Column:
+    """What sorts ids by all their runs of digits as numbers, however long: for each run its digits without leading zeros, shorter
+    ones first; ids without any as if they had 10^9. Digits of any script count."""
+    found = F.regexp_extract_all(F.coalesce(_c(x), F.lit("")), F.lit(DIGIT_RUNS), 1)
+    runs = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(str(10**9))))
+    plain = lambda d: F.regexp_replace(F.translate(d, *_digit_table()), "^0+(?=.)", "")
+    return F.transform(F.transform(runs, plain), lambda d: F.struct(F.length(d).alias("length"), d.alias("digits")))
+
+
+@lru_cache(maxsize=1)
+def _digit_table() -> tuple[str, str]:
+    """All decimal digits beyond ASCII, and their values."""
+    others = [chr(i) for i in range(0x80, 0x20000) if chr(i).isdecimal()]
+    return "".join(others), "".join(str(int(c)) for c in others)
+
+
 def rate(part: Column, whole: Column, digits: int = 4) -> Column:
     """part / whole, rounded half away from zero; null if whole is 0."""
     return F.round(F.try_divide(part.cast("double"), whole.cast("double")), digits)

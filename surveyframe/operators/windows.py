@@ -46,7 +46,7 @@ def dedupe_by_id(items: DataFrame) -> DataFrame:
 
 def in_question_order(items: DataFrame) -> DataFrame:
     """By file and sheet, then the numbers in the id, then the id."""
-    return items.orderBy(*place_keys(items), T.digit_runs("question_id"), "question_id")
+    return items.orderBy(*place_keys(items), T.digit_order("question_id"), "question_id")
 
 
 def reconcile(items: DataFrame, truth: DataFrame, slack: int = SLACK) -> DataFrame:
@@ -77,7 +77,7 @@ def flat_items(items: DataFrame) -> DataFrame:
 def nested_items(items: DataFrame) -> DataFrame:
     """One JSON text for each file: file_name and its questions, pages as numbers."""
     file_name = F.col("file_name") if "file_name" in items.columns else F.lit("")
-    order = F.struct("sheet", T.digit_runs("question_id").alias("numbers"), "question_id")
+    order = F.struct("sheet", T.digit_order("question_id").alias("numbers"), "question_id")
     item = F.struct("question_id", "question", "answer", "source_pages", "answer_source", "sheet")
     one = items.groupBy(file_name.alias("file_name")).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), item.alias("item")))).alias("q"))
     return one.select("file_name", F.to_json(F.struct("file_name", F.transform("q", lambda x: x["item"]).alias("questions"))).alias("json"))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +67,10 @@ def test_joined_and_lines(spark):
     rows = spark.createDataFrame([(" a ", "b"), ("", "b"), (None, None), ("a", " ")], "x string, y string")
     assert [r[0] for r in rows.select(T.joined("x", "y")).collect()] == ["a - b", "b", "", "a"]
     assert [r[0] for r in rows.select(T.append_line("x", "y")).collect()] == ["a \nb", "b", None, "a"]
+
+
+def test_digit_order(spark):
+    ids = ["Q2", "Q10", "Q010", "Q9", "", "x", "Q1.2", "Q1.10", "Q1", "Q" + "9" * 19, "Q" + "9" * 20, "Q1" + "0" * 25, "Q999999999", "Q1000000001", "Q٣", "Q4"]
+    number = lambda t: [int(d) for d in re.findall(r"\d+", t)] or [10**9]
+    found = [r.t for r in spark.createDataFrame([(t,) for t in ids], "t string").orderBy(T.digit_order("t"), "t").collect()]
+    assert found == sorted(ids, key=lambda t: (number(t), t.encode()))
