@@ -33,6 +33,8 @@ from .common import cut, join_hot, map_slices, slices, spaced_words, store, text
 from .graph import components
 
 SEED = 42
+#: Shared keys (some 50 bytes each) up to which they are sent to all variants; more of them are joined by a shuffle of the variants.
+KEYS = 500_000
 #: Fingerprints that may share a key and still be joined with one another.
 HOT = 8
 #: Shingles hashed and counted at a time.
@@ -117,7 +119,8 @@ def linked(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     bit_of = F.shiftrightunsigned("key", 32).cast("int")
     place = F.call_function("shiftleft", F.lit(1).cast("long"), bit_of)
     mixed = F.col("some").bitwiseXOR(F.col("all")).bitwiseAND(place) != 0
-    shared = cut(variants.join(counted.where("n > 2").select("key", "n", mixed.alias("mixed")), "key"))
+    keys = counted.where("n > 2").select("key", "n", mixed.alias("mixed"))
+    shared = cut(variants.join(F.broadcast(keys) if keys.count() <= KEYS else keys, "key"))
     few = shared.where(F.col("n") <= hot).select("key", "fp")
     left, right = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
     joined = left.join(right, (left.key == right.key) & (F.col("a") < F.col("b")) & near).select("a", "b")
