@@ -99,19 +99,23 @@ def coverage_matrix(long: DataFrame, labels: DataFrame, names: list[str] | None
 
 def question_presence(long: DataFrame, labels: DataFrame) -> DataFrame:
     """Questions that some questionnaire lacks, those that the fewest lack first."""
-    every = long.agg(F.array_sort(F.collect_set("questionnaire")).alias("every"))
     held = long.groupBy("cluster").agg(F.array_sort(F.collect_set("questionnaire")).alias("held"))
-    rows = held.crossJoin(F.broadcast(every)).where("size(held) < size(every)").join(labels, "cluster")
+    lacking = missing_pairs(long).groupBy("cluster").agg(F.array_sort(F.collect_list("questionnaire")).alias("lacking"))
+    rows = held.join(lacking, "cluster").join(labels, "cluster")
     return rows.select(
-        canonical_id().alias("canonical_id"), "canonical_text", F.size("held").alias("present_count"), (F.size("every") - F.size("held")).alias("missing_count"),
-        F.array_join("held", "; ").alias("present_in"), F.array_join(F.array_except("every", "held"), "; ").alias("missing_from"),
+        canonical_id().alias("canonical_id"), "canonical_text", F.size("held").alias("present_count"), F.size("lacking").alias("missing_count"),
+        F.array_join("held", "; ").alias("present_in"), F.array_join("lacking", "; ").alias("missing_from"),
     ).orderBy("missing_count", "canonical_id")
 
 
 def missing_pairs(long: DataFrame) -> DataFrame:
-    """(cluster, questionnaire) where the questionnaire lacks the question: an anti-join of the grid of both."""
-    grid = long.select("cluster").distinct().crossJoin(long.select("questionnaire").distinct())
-    return grid.join(long.select("cluster", "questionnaire").distinct(), ["cluster", "questionnaire"], "left_anti")
+    """(cluster, questionnaire) where the questionnaire lacks the question: an anti-join of the grid of both, which is made for
+    questions alone that some questionnaire lacks. So it has as many rows as are there and as are missing."""
+    present = long.select("cluster", "questionnaire").distinct()
+    every = present.select("questionnaire").distinct()
+    total = every.agg(F.count(F.lit(1)).alias("total"))
+    some = present.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).where("n < total").select("cluster")
+    return some.crossJoin(every).join(present, ["cluster", "questionnaire"], "left_anti")
 
 
 def variant_users(long: DataFrame) -> DataFrame:
