@@ -148,7 +148,7 @@ class WordTokenizer:
         """The ids of each text, ``width`` bytes each, with the end id; null is an empty text."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = split.flatten().dictionary_encode()
-        known = self._known(coded.dictionary.to_pylist())
+        known = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         starts = np.cumsum([0, *map(len, known)])
         sizes, at = np.diff(starts), coded.indices.to_numpy()
         each = pa.LargeListArray.from_arrays(pa.array(starts // self.width), pa.array(np.frombuffer(b"".join(known), dtype=f"<u{self.width}")))
