@@ -79,9 +79,11 @@ def test_join_against_all_pairs(spark):
     for _ in range(110):
         texts.append(typo(typo(rnd.choice(texts))) or "x")
     rows = [(i, rnd.choice("pq"), sorted(set(t.split()))) for i, t in enumerate(texts)]
-    items = spark.createDataFrame([(*r, "clash") for r in rows], "ord long, part string, tokens array<string>, key string")
-    pairs = items.alias("a").crossJoin(items.alias("b")).where("a.part = b.part")
     for score, bound, slack, threshold in ((S.tokens_score, S.tokens_bound, 0, 60), (S.tokens_score, S.tokens_bound, 0, 85), (S.legacy_tokens_score, S.legacy_tokens_bound, 0.5, 80)):
+        # The integer score's tokens hold ASCII alone.
+        some = [r for r in rows if score is S.tokens_score or " ".join(r[2]).isascii()]
+        items = spark.createDataFrame([(*r, "clash") for r in some], "ord long, part string, tokens array<string>, key string")
+        pairs = items.alias("a").crossJoin(items.alias("b")).where("a.part = b.part")
         wanted = {(r[0], r[1]): r[2] for r in pairs.select("a.ord", "b.ord", score(F.col("a.tokens"), F.col("b.tokens")).cast("double")).collect() if r[2] >= threshold}
         found = simjoin.edges(items, simjoin.index(items, threshold - slack), items.select(F.col("ord").alias("seed_ord")), threshold, score, bound, slack)
         assert {(r.ord, r.seed_ord): r.score for r in found.collect()} == wanted and len(wanted) > len(rows)
