@@ -522,7 +522,8 @@ def effective_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = ranges.join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), "p_name"), "pos")
     cells = anchors.select("file_name", "sheet", F.col("min_row").alias("row"), F.col("min_col").alias("col"), F.col("p_name").alias("value"))
     odd = ranges.select("file_name", "sheet", F.explode(F.sequence("min_row", "max_row")).alias("min_row"), "min_col", "max_col", "options", "pos").where("min_row % 2 = 1 and pos % 3 > 0").withColumn("max_row", F.col("min_row"))
-    out = grid.resolved_cells(cells, ranges, odd)
+    every = grid.merged_cells(ranges).select("file_name", "sheet", "row", "col")  # a file holds them as cells without a value
+    out = grid.resolved_cells(every.join(cells, ["file_name", "sheet", "row", "col"], "left"), ranges, odd)
     return out.select("file_name", "sheet", "row", "col", "text", "options")
 
 
