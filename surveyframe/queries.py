@@ -471,7 +471,8 @@ fl as (select sheet, segment, section, question_id, sub, {", ".join(f"coalesce(s
 
 
 def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.resolved_cells(*fixtures.styled_part(spark, sf_dir))
+    """Written once, as the grid's operators read it several times."""
+    return cut(grid.resolved_cells(*fixtures.styled_part(spark, sf_dir)))
 
 
 @query(f"with {_STYLED} select sheet, row, kind, qid, side_text as side, side_options as options, branch from kd")
