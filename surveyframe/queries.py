@@ -64,11 +64,15 @@ def _norm(x: str) -> str:
     return f"""{_collapse(f"regexp_replace(regexp_replace({_fold(x)}, '{numbering}', ''), '[^\\p{{L}}\\p{{N}}_{T.WS_SET}]', ' ', 'g')")}"""
 
 
-_LONG = f"""
-lp as ({fixtures.LONG_PART}),
+def _long(part: str) -> str:
+    return f"""
+lp as ({part}),
 lg as (select ord, file_name || ' | ' || sheet as questionnaire, file_name, sheet, question_id, {_strip("question")} as question_text,
   case when answer in ('', 'N/A') then '' else {_strip("answer")} end as answer from lp),
 long as (select *, answer = '' as is_blank, regexp_matches(question_text, '{_sql(T.conditional_pattern()[4:])}', 'i') as conditional, {_norm("question_text")} as norm from lg where question_text <> '')"""
+
+
+_WHOLE, _LONG = _long(fixtures.LONG_PART), _long(fixtures.GAPS_PART)
 _GIVEN = f"""{_LONG},
 fo as (select *, case when split_part(norm, ' ', 1) in ('blue', 'cold') then split_part(norm, ' ', 1) when split_part(norm, ' ', 1) in ('hot', 'large') then split_part(norm, ' ', 1) || ' ' || split_part(norm, ' ', 2) else norm end as form from long),
 ids as (select form, (row_number() over (order by form) - 1)::int as cluster from (select distinct form from fo)),
@@ -85,7 +89,7 @@ def given(spark: SparkSession, sf_dir: str, by_sheet: bool = True) -> DataFrame:
     norm = T.norm_match("question_text")
     first, two = (F.substring_index("norm", " ", n) for n in (1, 2))
     form = F.when(first.isin("blue", "cold"), first).when(first.isin("hot", "large"), two).otherwise(F.col("norm"))
-    long = cut(fixtures.long_part(spark, sf_dir, by_sheet).withColumn("norm", norm).withColumn("form", form).drop("norm"))
+    long = cut(fixtures.gaps_part(spark, sf_dir, by_sheet).withColumn("norm", norm).withColumn("form", form).drop("norm"))
     ids = numbered(long.select("form").distinct(), "nth", F.col("form")).select("form", (F.col("nth") - 1).cast("int").alias("cluster"))
     return long.join(ids, "form").drop("form")
 
@@ -93,14 +97,14 @@ def given(spark: SparkSession, sf_dir: str, by_sheet: bool = True) -> DataFrame:
 # --- Loading.
 
 
-@query(f"with {_LONG} select ord, questionnaire, file_name, sheet, question_id, question_text, answer, is_blank, conditional from long")
+@query(f"with {_WHOLE} select ord, questionnaire, file_name, sheet, question_id, question_text, answer, is_blank, conditional from long")
 def load_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.long_part(spark, sf_dir)
 
 
-@query(f"with lp as ({fixtures.LONG_PART}) select ord, file_name, sheet, question as prompt, coalesce(trunc(try_cast(case when ord % 7 = 0 then 'x' else (ord % 4)::varchar || '.0' end as double)), 0)::int as sub_idx from lp where {_strip('question')} <> ''")
+@query(f"with lp as ({fixtures.GAPS_PART}) select ord, file_name, sheet, question as prompt, coalesce(trunc(try_cast(case when ord % 7 = 0 then 'x' else (ord % 4)::varchar || '.0' end as double)), 0)::int as sub_idx from lp where {_strip('question')} <> ''")
 def load_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.view(spark, sf_dir, fixtures.LONG_PART, "part").withColumnRenamed("question", "prompt")
+    rows = fixtures.view(spark, sf_dir, fixtures.GAPS_PART, "part").withColumnRenamed("question", "prompt")
     rows = rows.withColumn("sub_idx", F.when(F.col("ord") % 7 == 0, "x").otherwise(F.concat((F.col("ord") % 4).cast("string"), F.lit(".0"))))
     halves = [rows.where("ord % 2 = 0"), rows.where("ord % 2 = 1").drop("answer")]
     return longframe.load_all(halves).select("ord", "file_name", "sheet", "prompt", "sub_idx")
@@ -154,7 +158,7 @@ def id_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_LONG} select questionnaire, arg_min(file_name, ord) as file_name, arg_min(sheet, ord) as sheet, count(*) as n_questions, count_if(not is_blank)::bigint as n_answered, count_if(is_blank)::bigint as n_blank, round(count_if(not is_blank)::double / count(*), 4) as answer_rate,
  count_if(not conditional)::bigint as n_required, count_if(not conditional and is_blank)::bigint as n_required_missing, round(count_if(not conditional and not is_blank)::double / nullif(count_if(not conditional), 0), 4) as required_answer_rate, count_if(conditional and is_blank)::bigint as n_optional_blank from long group by questionnaire""")
 def per_questionnaire_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.per_questionnaire(fixtures.long_part(spark, sf_dir))
+    return report.per_questionnaire(fixtures.gaps_part(spark, sf_dir))
 
 
 @query("with q as (select l_suppkey, l_partkey, l_discount = 0 as blank from lineitem) select l_suppkey::varchar as questionnaire, count(*) as n_questions, count_if(not blank)::bigint as n_answered, count_if(blank)::bigint as n_blank, round(count_if(not blank)::double / count(*), 4) as answer_rate from q group by all")
@@ -165,7 +169,7 @@ def lineitem_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_LONG} select question_text, count(*) as freq, row_number() over (order by count(*) desc, length(question_text) desc, question_text) as ord from long group by question_text")
 def text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.text_order(fixtures.long_part(spark, sf_dir))
+    return cluster.text_order(fixtures.gaps_part(spark, sf_dir))
 
 
 @query(f"with {_GIVEN} select cluster, canonical_text from lab")
@@ -266,7 +270,7 @@ sc as (select a, b, case when a = '' or b = '' then 0.0 when si <> '' and (pq.x
 
 @query(f"with recursive {_LONG}, norms as (select distinct norm as nm from long), {_PAIRS} select a, b, round(score, 6) as score from sc")
 def token_set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norms = fixtures.long_part(spark, sf_dir).select(T.norm_match("question_text").alias("nm")).distinct()
+    norms = fixtures.gaps_part(spark, sf_dir).select(T.norm_match("question_text").alias("nm")).distinct()
     pairs = norms.select(F.col("nm").alias("a")).join(norms.select(F.col("nm").alias("b")), F.col("a") <= F.col("b"))
     return pairs.select("a", "b", F.round(S.token_set_score(F.col("a"), F.col("b")), 6).alias("score"))
 
@@ -281,7 +285,7 @@ gr(i, seeds, cid, t) as (select 0::bigint, []::varchar[], -1::bigint, ''::varcha
 
 @query(f"with recursive {_CLUSTERS} select t as question_text, cid::int as cluster from gr where i > 0")
 def cluster_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_texts(fixtures.long_part(spark, sf_dir), 85).select("question_text", "cluster")
+    return cluster.cluster_texts(fixtures.gaps_part(spark, sf_dir), 85).select("question_text", "cluster")
 
 
 @query(f"""with recursive {_CLUSTERS}, gg as (select long.*, cid as cluster from long join gr on gr.t = question_text and gr.i > 0),
@@ -290,23 +294,23 @@ lab as (select cluster, arg_max(question_text, row(freq, (question_text = {_stri
 au as (select gg.*, canonical_text, {_norm("canonical_text")} as cn from gg join lab using (cluster))
 select 'CQ' || (cluster + 1) as canonical_id, canonical_text, questionnaire, file_name, sheet, question_id, question_text, round(m[cn], 1) as match_to_canonical, answer, is_blank, conditional from au join mp on mp.a = au.norm""")
 def clusters_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = cluster.with_clusters(fixtures.long_part(spark, sf_dir), 85)
+    long = cluster.with_clusters(fixtures.gaps_part(spark, sf_dir), 85)
     return report.clusters_audit(long, report.canonical_labels(long))
 
 
 @query()
 def comparison_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.view(spark, sf_dir, fixtures.LONG_PART, "part").select("ord", "file_name", "sheet", F.col("question").alias("prompt"), "answer", F.when(F.col("ord") % 10 == 0, "Option A").alias("option_label"))
+    rows = fixtures.view(spark, sf_dir, fixtures.GAPS_PART, "part").select("ord", "file_name", "sheet", F.col("question").alias("prompt"), "answer", F.when(F.col("ord") % 10 == 0, "Option A").alias("option_label"))
     return cluster.cluster_rows(rows, 80).select("ord", "group", "seed_ord", "match_score")
 
 
 # --- Comparison.
 
-_HITS = f"""lp as ({fixtures.LONG_PART}), h as (select file_name, sheet, substr(question_id, 2)::int - 1 as grp, count(*) as n_hits, arg_min(concat_ws(' - ', case when ord % 10 = 0 then 'Option A' end, {_strip("question")}), ord) as question, arg_min(case when ord % 6 = 0 then case when {_strip("answer")} = '' then 'YES' else 'YES - ' || {_strip("answer")} end else {_strip("answer")} end, ord) as answer, arg_min((ord % 101)::int, ord) as match_score from lp group by all)"""
+_HITS = f"""lp as ({fixtures.GAPS_PART}), h as (select file_name, sheet, substr(question_id, 2)::int - 1 as grp, count(*) as n_hits, arg_min(concat_ws(' - ', case when ord % 10 = 0 then 'Option A' end, {_strip("question")}), ord) as question, arg_min(case when ord % 6 = 0 then case when {_strip("answer")} = '' then 'YES' else 'YES - ' || {_strip("answer")} end else {_strip("answer")} end, ord) as answer, arg_min((ord % 101)::int, ord) as match_score from lp group by all)"""
 
 
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.view(spark, sf_dir, fixtures.LONG_PART, "part")
+    rows = fixtures.view(spark, sf_dir, fixtures.GAPS_PART, "part")
     return rows.select("ord", "file_name", "sheet", F.col("question").alias("prompt"), "answer", F.when(F.col("ord") % 10 == 0, "Option A").alias("option_label"), F.when(F.col("ord") % 6 == 0, "YES").alias("side_answer"), (F.substr("question_id", F.lit(2)).cast("int") - 1).alias("group"), (F.col("ord") % 101).cast("int").alias("match_score"))
 
 
