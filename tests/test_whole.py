@@ -15,6 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables
 #: What a query shows of the rows that it has taken, and the same of the table.
 WHOLE = {
     "load_long": (lambda out: out.count(), lambda part: part.count()),
+    "load_all": (lambda out: out.count(), lambda part: part.count()),
 }
 
 
