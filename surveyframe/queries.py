@@ -155,10 +155,10 @@ def id_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Reports.
 
 
-@query(f"""with {_LONG} select questionnaire, arg_min(file_name, ord) as file_name, arg_min(sheet, ord) as sheet, count(*) as n_questions, count_if(not is_blank)::bigint as n_answered, count_if(is_blank)::bigint as n_blank, round(count_if(not is_blank)::double / count(*), 4) as answer_rate,
+@query(f"""with {_WHOLE} select questionnaire, arg_min(file_name, ord) as file_name, arg_min(sheet, ord) as sheet, count(*) as n_questions, count_if(not is_blank)::bigint as n_answered, count_if(is_blank)::bigint as n_blank, round(count_if(not is_blank)::double / count(*), 4) as answer_rate,
  count_if(not conditional)::bigint as n_required, count_if(not conditional and is_blank)::bigint as n_required_missing, round(count_if(not conditional and not is_blank)::double / nullif(count_if(not conditional), 0), 4) as required_answer_rate, count_if(conditional and is_blank)::bigint as n_optional_blank from long group by questionnaire""")
 def per_questionnaire_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.per_questionnaire(fixtures.gaps_part(spark, sf_dir))
+    return report.per_questionnaire(fixtures.long_part(spark, sf_dir))
 
 
 @query("with q as (select l_suppkey, l_partkey, l_discount = 0 as blank from lineitem) select l_suppkey::varchar as questionnaire, count(*) as n_questions, count_if(not blank)::bigint as n_answered, count_if(blank)::bigint as n_blank, round(count_if(not blank)::double / count(*), 4) as answer_rate from q group by all")

@@ -16,6 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables
 WHOLE = {
     "load_long": (lambda out: out.count(), lambda part: part.count()),
     "load_all": (lambda out: out.count(), lambda part: part.count()),
+    "per_questionnaire_missing": (lambda out: out.agg(F.sum("n_questions")).first()[0], lambda part: part.count()),
 }
 
 
