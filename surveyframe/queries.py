@@ -167,9 +167,9 @@ def lineitem_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.per_questionnaire(rows).select("questionnaire", "n_questions", "n_answered", "n_blank", "answer_rate")
 
 
-@query(f"with {_LONG} select question_text, count(*) as freq, row_number() over (order by count(*) desc, length(question_text) desc, question_text) as ord from long group by question_text")
+@query(f"with {_WHOLE} select question_text, count(*) as freq, row_number() over (order by count(*) desc, length(question_text) desc, question_text) as ord from long group by question_text")
 def text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.text_order(fixtures.gaps_part(spark, sf_dir))
+    return cluster.text_order(fixtures.long_part(spark, sf_dir))
 
 
 @query(f"with {_GIVEN} select cluster, canonical_text from lab")

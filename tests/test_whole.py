@@ -17,6 +17,7 @@ WHOLE = {
     "load_long": (lambda out: out.count(), lambda part: part.count()),
     "load_all": (lambda out: out.count(), lambda part: part.count()),
     "per_questionnaire_missing": (lambda out: out.agg(F.sum("n_questions")).first()[0], lambda part: part.count()),
+    "text_order": (lambda out: out.agg(F.sum("freq")).first()[0], lambda part: part.count()),
 }
 
 
