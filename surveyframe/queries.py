@@ -73,7 +73,10 @@ long as (select *, answer = '' as is_blank, regexp_matches(question_text, '{_sql
 
 
 _WHOLE, _LONG = _long(fixtures.LONG_PART), _long(fixtures.GAPS_PART)
-_GIVEN = f"""{_LONG},
+
+
+def _given(long: str) -> str:
+    return f"""{long},
 fo as (select *, case when split_part(norm, ' ', 1) in ('blue', 'cold') then split_part(norm, ' ', 1) when split_part(norm, ' ', 1) in ('hot', 'large') then split_part(norm, ' ', 1) || ' ' || split_part(norm, ' ', 2) else norm end as form from long),
 ids as (select form, (row_number() over (order by form) - 1)::int as cluster from (select distinct form from fo)),
 g as (select fo.* exclude (form), ids.cluster from fo join ids using (form)),
@@ -82,14 +85,18 @@ tx as (select cluster, question_text, count(*) as freq, min(ord) as first from g
 lab as (select cluster, arg_max(question_text, row(freq, (question_text = {_strip("question_text")} and not regexp_matches(question_text, '{_WS}{{2,}}'))::int, length(regexp_replace(question_text, '[^\\p{{Lu}}]', '', 'g')), length(question_text), -first)) as canonical_text from tx group by cluster)"""
 
 
-def given(spark: SparkSession, sf_dir: str, by_sheet: bool = True) -> DataFrame:
+_GIVEN = _given(_LONG)
+
+
+def given(spark: SparkSession, sf_dir: str, by_sheet: bool = True, whole: bool = False) -> DataFrame:
     """The long frame with clusters by fixed rules, so that reports are checked apart from clustering: some texts by their normal
     form, which drift in form only, others by its first word or two, which drift in substance. Written once, as reports read it
-    several times."""
+    several times. ``whole``: with the questions that reports on gaps leave out."""
+    part = fixtures.long_part if whole else fixtures.gaps_part
     norm = T.norm_match("question_text")
     first, two = (F.substring_index("norm", " ", n) for n in (1, 2))
     form = F.when(first.isin("blue", "cold"), first).when(first.isin("hot", "large"), two).otherwise(F.col("norm"))
-    long = cut(fixtures.gaps_part(spark, sf_dir, by_sheet).withColumn("norm", norm).withColumn("form", form).drop("norm"))
+    long = cut(part(spark, sf_dir, by_sheet).withColumn("norm", norm).withColumn("form", form).drop("norm"))
     ids = numbered(long.select("form").distinct(), "nth", F.col("form")).select("form", (F.col("nth") - 1).cast("int").alias("cluster"))
     return long.join(ids, "form").drop("form")
 
@@ -242,9 +249,9 @@ def variant_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.variant_users(given(spark, sf_dir, False)).withColumn("users", F.col("users").cast("string"))
 
 
-@query(f"with {_GIVEN} select count(distinct questionnaire) as n_questionnaires, count(distinct case when is_blank and not conditional then questionnaire end) as n_lacking from g")
+@query(f"with {_given(_WHOLE)} select count(distinct questionnaire) as n_questionnaires, count(distinct case when is_blank and not conditional then questionnaire end) as n_lacking from g")
 def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.distinct_counts(given(spark, sf_dir))
+    return report.distinct_counts(given(spark, sf_dir, whole=True))
 
 
 @query(f"""with {_GIVEN}, pe as (select cluster, count(distinct question_text) as texts, count(distinct norm) as forms, count(distinct questionnaire) as held from g group by cluster), t as (select count(distinct questionnaire) a, count(distinct cluster) b, count(*) c, count_if(not is_blank) d, count_if(is_blank) e, count_if(conditional) h, count_if(not conditional) r, count_if(not conditional and is_blank) i from g),

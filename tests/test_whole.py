@@ -12,12 +12,22 @@ from surveyframe import queries
 DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
 
+
+def lacking(part):
+    """Questionnaires, and those with a blank that isn't conditional: an empty answer or 'N/A', without '(if any)'."""
+    key = F.col("p_partkey")
+    lacks = ((key % 4 == 0) | (key % 9 == 0)) & (key % 5 != 3)
+    each = F.struct("file_name", "sheet")
+    return tuple(part.agg(F.count_distinct(each), F.count_distinct(F.when(lacks, each))).first())
+
+
 #: What a query shows of the rows that it has taken, and the same of the table.
 WHOLE = {
     "load_long": (lambda out: out.count(), lambda part: part.count()),
     "load_all": (lambda out: out.count(), lambda part: part.count()),
     "per_questionnaire_missing": (lambda out: out.agg(F.sum("n_questions")).first()[0], lambda part: part.count()),
     "text_order": (lambda out: out.agg(F.sum("freq")).first()[0], lambda part: part.count()),
+    "distinct_counts": (lambda out: tuple(out.first()), lacking),
 }
 
 
