@@ -282,7 +282,7 @@ def token_set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", F.round(S.token_set_score(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-_CLUSTERS = f"""{_LONG}, items as (select row_number() over (order by n desc, length(t) desc, t) i, t, nm from (select question_text t, norm nm, count(*) n from long group by all)), norms as (select distinct nm from items), {_PAIRS},
+_CLUSTERS = f"""{_WHOLE}, items as (select row_number() over (order by n desc, length(t) desc, t) i, t, nm from (select question_text t, norm nm, count(*) n from long group by all)), norms as (select distinct nm from items), {_PAIRS},
 s2 as (select a, b, score from sc union select b, a, score from sc),
 mp as (select a, map_from_entries(list((b, score))) m from s2 group by a),
 gr(i, seeds, cid, t) as (select 0::bigint, []::varchar[], -1::bigint, ''::varchar union all
@@ -292,7 +292,7 @@ gr(i, seeds, cid, t) as (select 0::bigint, []::varchar[], -1::bigint, ''::varcha
 
 @query(f"with recursive {_CLUSTERS} select t as question_text, cid::int as cluster from gr where i > 0")
 def cluster_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_texts(fixtures.gaps_part(spark, sf_dir), 85).select("question_text", "cluster")
+    return cluster.cluster_texts(fixtures.long_part(spark, sf_dir), 85).select("question_text", "cluster")
 
 
 @query(f"""with recursive {_CLUSTERS}, gg as (select long.*, cid as cluster from long join gr on gr.t = question_text and gr.i > 0),
@@ -301,7 +301,7 @@ lab as (select cluster, arg_max(question_text, row(freq, (question_text = {_stri
 au as (select gg.*, canonical_text, {_norm("canonical_text")} as cn from gg join lab using (cluster))
 select 'CQ' || (cluster + 1) as canonical_id, canonical_text, questionnaire, file_name, sheet, question_id, question_text, round(m[cn], 1) as match_to_canonical, answer, is_blank, conditional from au join mp on mp.a = au.norm""")
 def clusters_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = cluster.with_clusters(fixtures.gaps_part(spark, sf_dir), 85)
+    long = cluster.with_clusters(fixtures.long_part(spark, sf_dir), 85)
     return report.clusters_audit(long, report.canonical_labels(long))
 
 

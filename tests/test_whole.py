@@ -12,6 +12,9 @@ from surveyframe import queries
 DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
 
+#: The wording that each part is given.
+TEXT = "trim(case p_partkey % 5 when 0 then p_name when 1 then concat('Q', size, '. ', upper(p_name)) when 2 then concat(p_name, '?') when 3 then concat(p_name, ' (if any)') else replace(p_name, ' ', '  ') end)"
+
 
 def lacking(part):
     """Questionnaires, and those with a blank that isn't conditional: an empty answer or 'N/A', without '(if any)'."""
@@ -28,6 +31,8 @@ WHOLE = {
     "per_questionnaire_missing": (lambda out: out.agg(F.sum("n_questions")).first()[0], lambda part: part.count()),
     "text_order": (lambda out: out.agg(F.sum("freq")).first()[0], lambda part: part.count()),
     "distinct_counts": (lambda out: tuple(out.first()), lacking),
+    "cluster_texts": (lambda out: out.count(), lambda part: part.selectExpr(TEXT).distinct().count()),
+    "clusters_audit": (lambda out: out.count(), lambda part: part.count()),
 }
 
 
