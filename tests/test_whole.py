@@ -35,6 +35,7 @@ WHOLE = {
     "clusters_audit": (lambda out: out.count(), lambda part: part.count()),
     "comparison_wide": (lambda out: sum(v is not None for r in out.collect() for c, v in r.asDict().items() if c.endswith("Percentage")), lambda part: part.select("file_name", "sheet", "size").distinct().count()),
     "duplicate_hits": (lambda out: out.agg(F.sum("n_hits")).first()[0], lambda part: part.groupBy("file_name", "sheet", "size").count().where("count > 1").agg(F.sum("count")).first()[0]),
+    "comparison_groups": (lambda out: out.count(), lambda part: part.count()),
 }
 
 
