@@ -17,25 +17,41 @@ from .ranges import KEY, entry_cells, located
 
 FIRST, LAST = T.column_number("B"), T.column_number("AO")
 SIDE_LAST = T.column_number("K")
+#: Binary logarithm of the rows of a band, by which ranges are dealt before their cells are made.
+BAND = 6
 
 _STYLE = {"fill_rgb": "string", "fill_type": "string", "bold": "boolean", "italic": "boolean", "font_size": "double", "value_type": "string"}
 
 
+def _cells_of(ranges: DataFrame, last: Column) -> DataFrame:
+    """KEY, row, col of every cell of the ranges, and what ``last`` takes of those over it as ``of``.
+
+    Ranges are dealt by bands of rows, of which most touch one, and cells are made and sorted behind that shuffle. So what a task
+    holds is its share of the cells, whatever part of the ranges it has read. Small bands would be put together again
+    by what they take compressed, which says little about their cells; hence a number of partitions.
+    """
+    low, high = F.least("min_row", "max_row"), F.greatest("min_row", "max_row")
+    first = F.call_function("shiftleft", F.col("band"), F.lit(BAND))
+    bands = ranges.withColumn("band", F.explode(F.sequence(F.call_function("shiftright", low, F.lit(BAND)), F.call_function("shiftright", high, F.lit(BAND)))))
+    share = F.xxhash64(*KEY, "band").alias("share")  # one column, as one that is the same for all rows would be left out of the grouping
+    dealt = bands.select("*", share).repartition(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "share")
+    rows = dealt.withColumn("row", F.explode(F.sequence(F.greatest(low, first), F.least(high, first + (1 << BAND) - 1))))
+    cells = rows.withColumn("col", F.explode(F.sequence("min_col", "max_col")))
+    return cells.groupBy("share", *KEY, "row", "col").agg(last.alias("of"))
+
+
 def merged_cells(merges: DataFrame) -> DataFrame:
     """file_name, sheet, row, col, anchor_row, anchor_col of every cell of every merged range; of overlapping ranges the
     one that starts last. A row for each cell: for ranges of some cells. ``ranges.located`` asks for cells instead."""
-    rows = merges.select(*KEY, F.col("min_row").alias("anchor_row"), F.col("min_col").alias("anchor_col"), F.explode(F.sequence("min_row", "max_row")).alias("row"), "min_col", "max_col")
-    cells = rows.select(*KEY, "row", F.explode(F.sequence("min_col", "max_col")).alias("col"), "anchor_row", "anchor_col")
-    last = F.max(F.struct("anchor_row", "anchor_col")).alias("a")
-    return cells.groupBy(*KEY, "row", "col").agg(last).select(*KEY, "row", "col", "a.anchor_row", "a.anchor_col")
+    last = F.max(F.struct(F.col("min_row").alias("anchor_row"), F.col("min_col").alias("anchor_col")))
+    return _cells_of(merges.select(*KEY, "min_row", "max_row", "min_col", "max_col"), last).select(*KEY, "row", "col", "of.anchor_row", "of.anchor_col")
 
 
 def dropdown_cells(dropdowns: DataFrame) -> DataFrame:
     """file_name, sheet, row, col, options of every cell with a list; a later rule replaces an earlier one. A row for each cell, as
     above."""
-    rows = dropdowns.select(*KEY, F.explode(F.sequence("min_row", "max_row")).alias("row"), "min_col", "max_col", F.btrim("options", F.lit('"')).alias("options"), "pos")
-    cells = rows.select(*KEY, "row", F.explode(F.sequence("min_col", "max_col")).alias("col"), "options", "pos")
-    return cells.groupBy(*KEY, "row", "col").agg(F.max_by("options", "pos").alias("options"))
+    spans = dropdowns.select(*KEY, "min_row", "max_row", "min_col", "max_col", F.btrim("options", F.lit('"')).alias("options"), "pos")
+    return _cells_of(spans, F.max_by("options", "pos")).select(*KEY, "row", "col", F.col("of").alias("options"))
 
 
 def resolved_cells(cells: DataFrame, merges: DataFrame | None = None, dropdowns: DataFrame | None = None) -> DataFrame:

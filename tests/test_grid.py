@@ -3,6 +3,8 @@ from __future__ import annotations
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from surveyframe import fixtures
 from surveyframe.operators import grid
 from surveyframe.operators.ranges import band_index
@@ -141,3 +143,15 @@ def test_ranges_over_whole_rows_and_columns(spark):
 
 def band_rows(*ranges):
     return sum(band_index(r).count() for r in ranges)
+
+
+def test_cells_are_made_behind_the_shuffle(spark):
+    """Before, each task sorted all cells of the ranges that it had read."""
+    columns = "file_name string, sheet string, min_row int, max_row int, min_col int, max_col int, options string, pos int"
+    rows = [("a", "s", 60, 70, 2, 3, '"X"', 0), ("a", "s", 64, 64, 3, 4, '"Y"', 1), ("b", "s", 1, 130, 2, 2, '"Z"', 2), ("b", "t", 5, 4, 2, 2, '"R"', 3)]
+    out = grid.dropdown_cells(spark.createDataFrame(rows, columns).withColumn("file_name", F.lit("f")))
+    wanted = {(s, r, c): o for _, s, a, b, left, right, o, _ in rows for r in range(min(a, b), max(a, b) + 1) for c in range(left, right + 1)}
+    found = out.collect()
+    assert {(r.sheet, r.row, r.col): f'"{r.options}"' for r in found} == wanted and len(found) == len(wanted)
+    above, below = out._jdf.queryExecution().executedPlan().initialPlan().toString().split("Exchange hashpartitioning")
+    assert "max_by" in above and "max_by" not in below
