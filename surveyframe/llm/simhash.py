@@ -11,7 +11,8 @@ differs in those two at most, so such a group is linked as it stands, and it can
 That finds the same links, with work in proportion to the fingerprints of the key.
 
 ``near_duplicates`` takes a similarity of shingle sets instead of a number of bits. Two texts with a Jaccard similarity of
-0.8 typically differ in ten of 64 bits, far beyond what an index of bits can find in a large corpus. It therefore takes
+0.8 typically differ in ten of 64 bits, far beyond what an index of bits can find in a large corpus. So the texts that the index
+of deletion variants links are verified on their shingle sets, and others are looked for as well: by
 several SimHash fingerprints of each text, each over the five shingles that are smallest in an order of its own: texts
 of similarity s agree in one with a probability of about s to the fifth, and agreeing fingerprints are joined and verified on the
 shingle sets themselves. That finds most links cheaply and leaves few components. What it misses is found by an exact join
@@ -49,6 +50,8 @@ SAMPLE = 5
 COUNTERS = 1 << 20
 PIECES = 1 << 8
 SALTS = 16
+#: First bits of a text's hash by which it is told whether the text has a pair to be verified.
+BITS = 26
 #: Rows of one key that meet all others of it in one task.
 CHUNK = 256
 
@@ -244,20 +247,21 @@ def _levels(loads: np.ndarray) -> np.ndarray:
 
 
 def _sketches(texts: DataFrame, width: int, similarity: float, samples: int) -> DataFrame:
-    """Of each row (node, text): node, size (distinct shingles), parities, prints (the SimHash of each sample) and keys (the
-    shingles of the prefix, in their order)."""
+    """Of each row (node, text): node, fp (the SimHash of all shingles), size (distinct shingles), parities, prints (the SimHash of
+    each sample) and keys (the shingles of the prefix, in their order)."""
     factors = _orders(samples)
     levels = _levels(_loads(texts, width))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingle_hashes(t, width)) for t in texts_of(batch)]
+        every = [shingle_hashes(t, width) for t in texts_of(batch)]
+        whole, sets = np.array([majority(s) for s in every], dtype=np.uint64), [np.unique(s) for s in every]
         lists = [
             pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *parts])))
             for parts in ([_parities(s) for s in sets], [_samples(s, factors).view(np.int64) for s in sets], [_prefix(s, similarity, levels).view(np.int64) for s in sets])
         ]
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int32()), *lists], ["node", "size", "parities", "prints", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(whole.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), *lists], ["node", "fp", "size", "parities", "prints", "keys"])
 
-    return map_slices(texts, run, "node long, size int, parities array<long>, prints array<long>, keys array<long>")
+    return map_slices(texts, run, "node long, fp long, size int, parities array<long>, prints array<long>, keys array<long>")
 
 
 def _nodes(docs: DataFrame, text_col: str) -> DataFrame:
@@ -266,11 +270,22 @@ def _nodes(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("node"), F.xxhash64(F.lit(SEED), text).alias("other"), text.alias("text"))
 
 
+def _likely_in(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose node is one of ``nodes``, and those few that share its first bits. A bit for each value of these is
+    sent to all tasks, 8 MB for any input, so that texts without a pair aren't shuffled."""
+    first = lambda c: F.shiftrightunsigned(c, 64 - BITS)
+    block, place = F.shiftrightunsigned(first("node"), 15), first("node").bitwiseAND((1 << 15) - 1)
+    held = nodes.select(block.alias("block"), place.alias("place")).groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    met = texts.withColumns({"block": block, "place": place}).join(F.broadcast(held), "block")
+    return met.where(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).drop("block", "place", "bits")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those (a, b) whose shingle sets are similar enough. The texts are joined to their pairs; of different texts with one
     node, if there ever are any, the one with the smallest other hash stands for it."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    by_node, remove = store(texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min_by("text", "other").alias("text")), "candidates")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    by_node, remove = store(_likely_in(texts, nodes).groupBy("node").agg(F.min_by("text", "other").alias("text")), "candidates")
     left = by_node.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = by_node.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -295,16 +310,29 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_col:
     """Rows (a, b), a < b, of text hashes whose shingle sets have at least that Jaccard similarity: enough that their
     components are those of all such pairs.
 
-    First come the links by samples, then, by an exact join, those between texts that are still in different components.
+    First come the links by the index of deletion variants and those by samples, both verified, then, by an exact join, those between
+    texts that are still in different components.
     """
     texts = _nodes(docs, text_col)
     sketches, remove = store(_sketches(texts.select("node", "text"), width, similarity, SAMPLES), "sketches")
-    found = _verified(_by_samples(sketches, hot), texts, width, similarity)
+    likely = _by_variants(sketches).unionByName(_by_samples(sketches, hot)).distinct()
+    found = _verified(likely, texts, width, similarity)
     rest = _verified(_across(sketches, components(found), similarity), texts, width, similarity)
     remove()
     return found.unionByName(rest).distinct()
 
 
+def _by_variants(sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of texts whose SimHash fingerprints the index of deletion variants links, each fingerprint by the text with
+    the smallest hash; and of that text and each other one with the same fingerprint."""
+    rows = sketches.select("node", "fp").distinct()
+    least = cut(rows.groupBy("fp").agg(F.min("node").alias("least")))
+    left, right = least.select(F.col("fp").alias("a"), F.col("least").alias("x")), least.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+    near = linked(least.select("fp")).join(left, "a").join(right, "b")
+    same = rows.join(least, "fp").where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return cut(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(same))
+
+
 def _by_samples(sketches: DataFrame, hot: int) -> DataFrame:
     """Pairs (a, b), a < b, that are likely similar: texts that share a sample's fingerprint.
 

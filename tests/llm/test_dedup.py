@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from surveyframe.llm import common, cuckoo, graph, simhash
 
@@ -312,3 +313,28 @@ def test_frequent_shingles_come_last_in_prefixes():
     hashes = np.unique(np.concatenate([passage, own]))
     prefix = simhash._prefix(hashes, 0.8, simhash._levels(loads))
     assert len(prefix) == len(hashes) - int(np.ceil(0.8 * len(hashes))) + 1 and not set(prefix.tolist()) & set(passage.tolist())
+
+
+def test_near_dedup_asks_the_index_of_variants(spark, monkeypatch):
+    """Before, it found its candidates by samples alone."""
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(900)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join([*base, "end"]), " ".join(reversed(base)), " ".join(base) + "  ", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = simhash._nodes(docs, "text")
+    sketches = simhash._sketches(nodes.select("node", "text"), 5, 0.8, 2)
+    fps = {r.node: r.fp & (1 << 64) - 1 for r in sketches.collect()}
+    assert sorted(fps.values()) == sorted(simhash.majority(simhash.shingle_hashes(t.encode(), 5)) for t in texts)
+    pairs = {(r.a, r.b) for r in simhash._by_variants(sketches).collect()}
+    near = {(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2}
+    assert pairs and pairs <= near and {x for p in pairs for x in p} == {x for p in near for x in p}
+    asked = []
+    monkeypatch.setattr(simhash, "_by_variants", lambda s, old=simhash._by_variants: asked.append(1) or old(s))
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == {0, 2, 4} and asked
+
+
+def test_texts_without_a_pair_are_left_out_before_the_shuffle(spark):
+    texts = simhash._nodes(spark.range(3000).select(F.col("id").cast("string").alias("text")), "text")
+    some = texts.where("cast(text as int) % 7 = 0").select("node")
+    found = {r.text for r in simhash._likely_in(texts, some).collect()}
+    assert {str(k) for k in range(0, 3000, 7)} <= found and len(found) < 440
