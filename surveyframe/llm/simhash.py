@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_hot, map_slices, slices, spaced_words, store, texts_of
@@ -270,22 +270,27 @@ def _nodes(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("node"), F.xxhash64(F.lit(SEED), text).alias("other"), text.alias("text"))
 
 
-def _likely_in(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose node is one of ``nodes``, and those few that share its first bits. A bit for each value of these is
-    sent to all tasks, 8 MB for any input, so that texts without a pair aren't shuffled."""
+def _marked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``texts`` with ``likely``: whether the node is one of ``nodes``, or one of those few that share its first bits. A bit for each
+    value of these is sent to all tasks, 8 MB for any input, so that the other texts need no shuffle."""
     first = lambda c: F.shiftrightunsigned(c, 64 - BITS)
     block, place = F.shiftrightunsigned(first("node"), 15), first("node").bitwiseAND((1 << 15) - 1)
     held = nodes.select(block.alias("block"), place.alias("place")).groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits"))
     byte = F.conv(F.hex(F.expr("substring(bits, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("long")
-    met = texts.withColumns({"block": block, "place": place}).join(F.broadcast(held), "block")
-    return met.where(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).drop("block", "place", "bits")
+    met = texts.withColumns({"block": block, "place": place}).join(F.broadcast(held), "block", "left")
+    return met.withColumn("likely", F.coalesce(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1, F.lit(False))).drop("block", "place", "bits")
+
+
+def _likely_in(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``texts`` that are likely to have one of ``nodes``, all that have one among them."""
+    return _marked(texts, nodes).where("likely").drop("likely")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those (a, b) whose shingle sets are similar enough. The texts are joined to their pairs; of different texts with one
-    node, if there ever are any, the one with the smallest other hash stands for it."""
+    """Those (a, b) whose shingle sets are similar enough. The texts are dealt by node once, for both joins to their pairs; of
+    different texts with one node, if there ever are any, the one with the smallest other hash stands for it."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    by_node, remove = store(_likely_in(texts, nodes).groupBy("node").agg(F.min_by("text", "other").alias("text")), "candidates")
+    by_node = _likely_in(texts, nodes).groupBy("node").agg(F.min_by("text", "other").alias("text"))
     left = by_node.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = by_node.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -301,9 +306,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
             keep.append(not union or common >= similarity * union - 1e-9)
         return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    good = cut(map_slices(both, run, "a long, b long", "text_a"))
-    remove()
-    return good
+    return cut(map_slices(both, run, "a long, b long", "text_a"))
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -355,30 +358,33 @@ def _across(sketches: DataFrame, known: DataFrame, similarity: float) -> DataFra
     """Pairs (a, b), a < b, of different components that hold all similar ones; ``known`` has the components (node,
     component) so far.
 
-    Similar sets share a shingle of their prefixes. A key whose texts are all in one component asks for no comparison. The
-    others are joined with themselves, those of many texts in chunks. A pair is kept if the sets can be similar by what is
-    known without them: if this is the first shingle of the order that both have, only those behind it can be common, and
-    the sets differ in as many shingles as their parities differ in bits. A pair that has the shingle before as well
-    has been met there.
+    Similar sets share a shingle of their prefixes. A key of one text, or whose texts are all in one component, asks for no
+    comparison. The others are joined with themselves, those of many texts in chunks. A pair is kept if the sets can be similar by
+    what is known without them: at the first shingle of the order that both have, only those behind it can be common, and the sets
+    differ in as many shingles as their parities differ in bits. At a later common shingle the same bound asks for more, so it
+    adds no pair that isn't kept at the first.
+
+    Prefixes hold most rows of the near dedup: they are dealt by key once, without what a join by node adds later to those of shared keys.
     """
-    before = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.when(i > 0, F.get("keys", i - 1)).alias("before")))
-    keyed = sketches.select("node", "size", F.posexplode(before).alias("place", "k")).select("k.key", "node", "size", "place", "k.before")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    keyed = sketches.select("node", F.posexplode("keys").alias("place", "key"))
+    of_key = Window.partitionBy("key")
+    shared = keyed.withColumns({"least": F.min("node").over(of_key), "most": F.max("node").over(of_key)}).where("least < most").select("key", "node", "place").distinct()
     parities = [F.get("parities", F.lit(i)).alias(f"p{i}") for i in range(4)]
-    more = sketches.select("node", *parities).distinct().join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = cut(keyed.join(shared, "key").distinct().join(more, "node"))
+    more = sketches.select("node", "size", *parities).distinct().join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows, remove = store(shared.join(more, "node"), "prefixes")
     mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     held = rows.join(mixed.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "key")
-    columns = ["node", "component", "size", "place", "before", *[f"p{i}" for i in range(4)]]
+    columns = ["node", "component", "size", "place", *[f"p{i}" for i in range(4)]]
     left = held.select("key", F.pmod("node", "chunks").cast("int").alias("chunk"), F.struct(*columns).alias("x"))
     right = held.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.struct(*columns).alias("y"))
     total = F.col("x.size") + F.col("y.size")
     enough = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + 1e-6 >= similarity / (1 + similarity) * total
     bits = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(1, 4)), F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))))
     close = bits <= (1 - similarity) / (1 + similarity) * total + 1e-6
-    first = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
-    pairs = left.join(right, ["key", "chunk"]).where("x.node < y.node and x.component <> y.component").where(first & enough & close)
-    return cut(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    pairs = left.join(right, ["key", "chunk"]).where("x.node < y.node and x.component <> y.component").where(enough & close)
+    found = cut(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    remove()
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,5 +403,6 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     of_node = cut(ids.groupBy("component", "node").agg(F.min("other").alias("other"), F.min(F.struct(F.col("id").isNull(), "id")).alias("id")))
     best = of_node.groupBy("component").agg(F.min_by("node", F.struct("id", "node")).alias("best"))
     gone = cut(of_node.join(best, "component").where("node <> best").select(*keys))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node, other)
-    return rows.join(gone, keys, "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    rows = _marked(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node, other), gone)
+    kept = rows.where("not likely").unionByName(rows.where("likely").join(gone, keys, "left_anti").select(*rows.columns))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -338,3 +338,30 @@ def test_texts_without_a_pair_are_left_out_before_the_shuffle(spark):
     some = texts.where("cast(text as int) % 7 = 0").select("node")
     found = {r.text for r in simhash._likely_in(texts, some).collect()}
     assert {str(k) for k in range(0, 3000, 7)} <= found and len(found) < 440
+
+
+def _shuffled(spark) -> np.ndarray:
+    """Rows and bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return np.array([[s.shuffleWriteRecords(), s.shuffleWriteBytes()] for s in (stages.apply(i) for i in range(stages.size()))]).sum(axis=0)
+
+
+def test_near_dedup_shuffles_prefixes_once_and_at_the_end_few_texts(spark):
+    """Before, prefixes were dealt twice, and all texts at the end."""
+    rnd = random.Random(12)
+    texts = [" ".join(f"{rnd.getrandbits(40):x}" for _ in range(500)) for _ in range(120)]
+    docs = frame(spark, list(enumerate([*texts, *(t + " end" for t in texts[:6])]))).select("doc_id", "text").localCheckpoint()
+    nodes = simhash._nodes(docs, "text").localCheckpoint()
+    sketches = simhash._sketches(nodes.select("node", "text"), 5, 0.8, 2).localCheckpoint()
+    keys, known = sketches.agg(F.sum(F.size("keys"))).first()[0], spark.createDataFrame([], "node long, component long")
+    node = {r.text: r.node for r in nodes.collect()}
+    pairs = {tuple(sorted((node[t], node[t + " end"]))) for t in texts[:6]}
+    at = _shuffled(spark)
+    assert {tuple(r) for r in simhash._across(sketches, known, 0.8).collect()} == pairs
+    assert keys < (_shuffled(spark) - at)[0] < 1.5 * keys
+    kept = simhash.drop_near_duplicates(docs)
+    at = _shuffled(spark)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(120))
+    assert (_shuffled(spark) - at)[1] < sum(map(len, texts)) / 4
